@@ -222,6 +222,59 @@ def audit_sql(name: str) -> str:
     return _select(columns, source)
 
 
+# Profiling input ------------------------------------------------------------
+def _some_share(percent: int, value: str) -> str:
+    """``value`` in exactly ``percent`` of every hundred rows."""
+    return f"case when c_custkey % 100 < {percent} then {value} else 'plain text' end"
+
+
+_N = "cast(c_custkey as varchar(20))"
+_PAD4 = "lpad(cast(c_custkey % 10000 as varchar(20)), 4, '0')"
+
+PEOPLE_COLUMNS = [
+    ("c_custkey", "c_custkey"),
+    ("c_name", "c_name"),
+    ("email", f"concat('user', {_N}, '@mail.example.com')"),
+    ("ssn", f"case when c_custkey % 50 = 0 then null else concat('123-45-', {_PAD4}) end"),
+    ("card_number", f"concat('4111-1111-1111-', {_PAD4})"),
+    ("salary", "c_acctbal"),
+    ("zip", "concat('zip ', cast(c_nationkey as varchar(20)))"),
+    ("notes", "case when c_custkey % 3 = 0 then null when c_custkey % 3 = 1 then '  ' else 'ok' end"),
+    ("v_email", _some_share(10, f"concat('mail to u', {_N}, '@example.com now')")),
+    ("v_email_low", _some_share(9, f"concat('mail to u', {_N}, '@example.com now')")),
+    ("v_phone", _some_share(11, f"concat('call 555-123-', {_PAD4})")),
+    ("v_ssn", _some_share(10, f"concat('id 123 45 ', {_PAD4})")),
+    ("v_card", _some_share(10, f"concat('card 4111 1111 1111 ', {_PAD4})")),
+    ("v_iban", _some_share(10, f"concat('DE44', {_PAD4}, 'ABCD')")),
+    ("v_ip", _some_share(10, "concat('10.0.0.', cast(c_custkey % 250 as varchar(20)))")),
+    ("v_passport", _some_share(10, f"concat('pass A12345', {_PAD4})")),
+    ("segment", "c_mktsegment"),
+]
+
+
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derive(table(spark, sf_dir, "customer"), PEOPLE_COLUMNS)
+
+
+PEOPLE_SQL = _select(PEOPLE_COLUMNS, "customer")
+
+# Cleaning input: repeated keys, bad dates and bad numbers.
+RAW_ORDER_COLUMNS = [
+    ("order_id", "o_orderkey - (o_orderkey % 3)"),
+    ("position", "o_orderkey"),
+    ("ordered_on", "case when o_orderkey % 41 = 0 then 'someday' else cast(o_orderdate as varchar(40)) end"),
+    ("amount", "case when o_orderkey % 37 = 0 then 'n/a' else cast(o_custkey as varchar(40)) end"),
+    ("customer", "case when o_orderkey % 29 = 0 then null else o_custkey end"),
+]
+
+
+def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derive(table(spark, sf_dir, "orders"), RAW_ORDER_COLUMNS)
+
+
+RAW_ORDERS_SQL = _select(RAW_ORDER_COLUMNS, "orders")
+
+
 # Price bars ---------------------------------------------------------------
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

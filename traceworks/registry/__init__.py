@@ -3,6 +3,7 @@
 from traceworks.registry.base import ORACLES, QUERIES
 from traceworks.registry import (  # noqa: F401
     q_ledger,
+    q_quality,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
