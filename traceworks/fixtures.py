@@ -121,8 +121,8 @@ TRACE_EVENTS_SQL = (
 # Audit tables -------------------------------------------------------------
 # The tool names a pipeline step may carry.
 TOOL_NAMES = [
-    "ingest_file", "scan_and_classify_pii", "mask_pii_columns", "generate_compliance_report",
-    "check_data_quality", "check_primary_key", "generate_staging_sql",
+    "ingest_file", "profile_table", "scan_pii", "mask_pii_columns", "write_audit_log",
+    "generate_staging_sql", "tool_without_hint",
 ]
 
 _RUN = _id("run-", "{} % 200")
@@ -130,7 +130,7 @@ _RUN = _id("run-", "{} % 200")
 STEP_COLUMNS = [
     ("step_id", "concat('st-', cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(20)), "
                 "'-', cast(l_partkey as varchar(20)), '-', cast(l_suppkey as varchar(20)), '-', "
-                "cast(cast(l_extendedprice * 100 as bigint) as varchar(20)))"),
+                "cast(cast(floor(l_extendedprice * 100) as bigint) as varchar(20)))"),
     ("run_id", _RUN.format("l_orderkey")),
     ("sequence_num", "l_linenumber"),
     ("agent_name", _pick("l_linenumber % 3", ["ingest_agent", "compliance_agent", "quality_agent"])),
@@ -142,7 +142,7 @@ STEP_COLUMNS = [
 ]
 
 # One unknown model name on purpose: it must fall back to the default price.
-LLM_MODELS = ["gpt-5.1", "gpt-4o", "gpt-4o-mini", "claude-sonnet-4-6", "unpriced-model"]
+LLM_MODELS = ["gpt-4-turbo", "gpt-4o", "gpt-4o-mini", "claude-3-haiku-20240307", "unpriced-model"]
 
 LLM_CALL_COLUMNS = [
     ("call_id", _id("call-", "o_orderkey")),
@@ -153,14 +153,14 @@ LLM_CALL_COLUMNS = [
               + " ".join(f"when '{i + 1}' then '{m}'" for i, m in enumerate(LLM_MODELS)) + " end"),
     ("prompt_tokens", "cast(o_custkey as int) + 100"),
     ("completion_tokens", "cast(o_custkey % 300 as int)"),
-    ("latency_ms", "cast(o_totalprice as bigint) % 9000"),
+    ("latency_ms", "cast(floor(o_totalprice) as bigint) % 9000"),
     ("call_ts", "cast(o_orderdate as varchar(40))"),
 ]
 
 RUN_COLUMNS = [
     ("run_id", _id("run-", "o_orderkey")),
     ("started_at", "cast(o_orderdate as varchar(40))"),
-    ("duration_ms", "cast(o_totalprice as bigint)"),
+    ("duration_ms", "cast(floor(o_totalprice) as bigint)"),
     ("status", "case o_orderstatus when 'F' then 'completed' when 'O' then 'running' else 'failed' end"),
     ("source_file", "concat('/raw/order-', cast(o_custkey as varchar(20)), '.csv')"),
     ("table_name", "concat('tbl_', cast(o_custkey % 50 as varchar(20)))"),

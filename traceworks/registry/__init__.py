@@ -4,6 +4,8 @@ from traceworks.registry.base import ORACLES, QUERIES
 from traceworks.registry import (  # noqa: F401
     q_ledger,
     q_quality,
+    q_audit,
+    q_market,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
