@@ -6,6 +6,7 @@ from traceworks.registry import (  # noqa: F401
     q_quality,
     q_audit,
     q_market,
+    q_policy,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
