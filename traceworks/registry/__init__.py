@@ -7,6 +7,7 @@ from traceworks.registry import (  # noqa: F401
     q_audit,
     q_market,
     q_policy,
+    q_sources,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
