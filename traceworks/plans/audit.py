@@ -126,8 +126,10 @@ def finalised_runs(steps: DataFrame, calls: DataFrame) -> DataFrame:
 def cost_outliers(runs: DataFrame, newest: int = 100, factor: float = 2.0) -> DataFrame:
     """Runs among the newest ones that cost more than twice their median."""
     recent = recent_runs(runs, newest)
-    median = recent.agg(F.expr("percentile_cont(0.5) within group (order by estimated_cost_usd)").alias("median_cost"))
-    return recent.join(F.broadcast(median), F.col("estimated_cost_usd") > F.col("median_cost") * factor).select(
+    median = recent.agg(
+        F.expr("percentile_cont(0.5) within group (order by estimated_cost_usd)").alias("median_cost")).scalar()
+    return recent.withColumn("median_cost", median).where(
+        F.col("estimated_cost_usd") > F.col("median_cost") * factor).select(
         "run_id", "table_name", "total_steps", "estimated_cost_usd", "median_cost")
 
 

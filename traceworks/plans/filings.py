@@ -52,7 +52,7 @@ def _table(table: dict[str, str]) -> Column:
 
 
 def item_codes(raw: Column) -> Column:
-    return F.filter(F.transform(F.split(raw, ","), F.trim), lambda i: i != "")
+    return F.filter(F.transform(F.split(raw, ","), lambda i: F.trim(i)), lambda i: i != "")
 
 
 def without_exhibits(items: Column) -> Column:

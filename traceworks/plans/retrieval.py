@@ -140,7 +140,7 @@ def catalog_listing(kb: DataFrame) -> DataFrame:
 
 
 def without_document(kb: DataFrame, filename: str) -> DataFrame:
-    return kb.where(~(F.col("filename") <=> filename))
+    return kb.where(~F.col("filename").eqNullSafe(filename))
 
 
 def collections_holding(kb: DataFrame, filename: str) -> DataFrame:

@@ -8,6 +8,8 @@ from traceworks.registry import (  # noqa: F401
     q_market,
     q_policy,
     q_sources,
+    q_retrieval,
+    q_filings,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

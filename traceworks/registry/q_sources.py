@@ -263,11 +263,9 @@ def _(spark, sf):
   from {RAW} order by event_timestamp desc, trace_id limit 100""")
 def _(spark, sf):
     raw = fx.trace_events(spark, sf)
-    total = raw.agg(F.count("*").alias("true_count"))
-    shown = raw.orderBy(F.desc("event_timestamp"), "trace_id").limit(100).select("trace_id", "event_timestamp")
-    count = total.select(F.lit(1).alias("one"), "true_count")
-    return shown.withColumn("one", F.lit(1)).join(count, "one").select(
-        "trace_id", "event_timestamp", "true_count", F.lit(100).alias("shown_count"))
+    return raw.orderBy(F.desc("event_timestamp"), "trace_id").limit(100).select(
+        "trace_id", "event_timestamp", raw.agg(F.count("*")).scalar().alias("true_count"),
+        F.lit(100).alias("shown_count"))
 
 
 # Replay ---------------------------------------------------------------------------
