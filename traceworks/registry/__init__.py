@@ -10,6 +10,8 @@ from traceworks.registry import (  # noqa: F401
     q_sources,
     q_retrieval,
     q_filings,
+    q_basics,
+    q_streaming,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
