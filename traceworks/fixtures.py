@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traceworks.registry.base import table
+from traceworks.operators.spread import spread
+from traceworks.sources.tables import table
 
 EVENT_TYPES = [
     "request_received", "session_started", "memory_retrieved", "rag_retrieved",
@@ -109,7 +110,7 @@ def _derive(df: DataFrame, columns) -> DataFrame:
 def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw ledger: strings everywhere but two flags, timestamps as text."""
     columns = TRACE_EVENT_COLUMNS + [("event_id", "event_id")]
-    raw = _derive(table(spark, sf_dir, "events"), columns)
+    raw = _derive(spread(table(spark, sf_dir, "events")), columns)
     return raw.selectExpr("* except (event_id)", "sha2(sql_text, 256) as sql_hash")
 
 

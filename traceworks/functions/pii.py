@@ -68,5 +68,17 @@ def name_class_column(name: Column) -> Column:
     return chain
 
 
+# What a value must hold for a pattern to match at all; cheap to test.
+_NEEDED = {
+    "email": "@", "us_phone": r"\p{Nd}{3}", "ssn": r"\p{Nd}{3}", "credit_card": r"\p{Nd}{4}",
+    "iban": r"[A-Z]{2}\p{Nd}{2}", "ip_address": r"\p{Nd}\.\p{Nd}", "passport": r"[A-Z]\p{Nd}{6}",
+}
+
+
 def value_hits(text: Column) -> dict[str, Column]:
-    return {kind: text.rlike("(?U)" + pattern) for kind, pattern, _ in VALUE_PATTERNS}
+    def hit(kind: str, pattern: str) -> Column:
+        need = _NEEDED[kind]
+        possible = text.contains(need) if need == "@" else text.rlike(need)
+        return possible & text.rlike("(?U)" + pattern)
+
+    return {kind: hit(kind, pattern) for kind, pattern, _ in VALUE_PATTERNS}

@@ -1,0 +1,18 @@
+"""Parallelism for heavy per-row work over an input with few splits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan on all cores.
+
+    One small file is one split and one busy core; its rows are dealt out
+    first. An input with at least as many splits as cores, as any large one
+    has, is returned as it is and never shuffled here.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)

@@ -341,80 +341,67 @@ def audit_sql(statements: DataFrame, models: DataFrame, columns: DataFrame, stri
 
     ``statements`` has a unique ``statement_id``, ``sql_text``, ``use_case``,
     ``workspace_id`` and ``tenant_id``. Parsing happens once per statement;
-    what is exploded per group is the tables and columns of one statement.
+    the rows exploded from a statement are its tables and columns, folded back
+    under the same key, so both steps share one shuffle of the statements.
     ``strict`` also looks for closed columns behind aliases.
     """
     sql = F.col("sql_text")
+    names = sqltext.selected_expressions(sql) if strict else sqltext.selected_columns(sql)
     parsed = statements.select(
         "statement_id", "use_case", "workspace_id", "tenant_id",
-        sqltext.dangerous_verbs(sql).alias("verbs"),
-        sqltext.referenced_tables(sql).alias("tables"),
-        sqltext.selected_columns(sql).alias("outputs"),
-        *([sqltext.selected_expressions(sql).alias("expressions")] if strict else []))
-    clean = F.size("verbs") == 0
-
-    # One row per (statement, table) with the model beside it.
-    tables = parsed.where(clean).select("*", F.explode("tables").alias("table_name")).join(
-        _keyed(models, "default_answer_mode", *_RULES), "table_name", "left")
-    star = F.array_contains("outputs", "*")
-    aggregate_only = F.col("default_answer_mode") == "aggregate_only"
-    tables = tables.withColumns({
-        "rule": F.when(F.col("eligible").isNull(), "UNKNOWN_MODEL").otherwise(access_code()),
-        "agg": F.coalesce(aggregate_only, F.lit(False)),
-        "star": star,
-    }).withColumn("blocked", F.coalesce(F.col("rule") != "UNKNOWN_MODEL", F.lit(False)))
-
-    per_table = tables.groupBy("statement_id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("rule").isNotNull(), F.concat_ws(":", "rule", "table_name"))))
-        .alias("model_findings"),
-        F.sort_array(F.collect_list(F.when(F.col("blocked"), F.col("table_name")))).alias("blocked_models"),
-        F.sort_array(F.collect_list(F.when(
-            F.col("star") & F.col("agg") & F.col("rule").isNull(),
-            F.concat(F.lit("AGGREGATE_ONLY_VIOLATION:"), F.col("table_name"))))).alias("star_findings"),
-        F.bool_or(F.col("agg") & F.col("rule").isNull()).alias("has_aggregate_only"),
-    )
-
-    # One row per (statement, table, output column) with its policy beside it.
-    known = tables.where(F.col("eligible") & ~F.col("star"))
-    policy = _keyed(columns, "column_name", "phi", "pii", "output_safe", "allowed_in_output")
+        sqltext.dangerous_verbs(sql).alias("verbs"), sqltext.referenced_tables(sql).alias("tables"),
+        F.array_contains(sqltext.selected_columns(sql), "*").alias("star"), names.alias("outputs"))
+
+    # One row per (statement, table) with its model, folded back per statement.
+    touched = parsed.withColumn(
+        "table_name", F.explode_outer(F.when(F.size("verbs") == 0, F.col("tables")))).drop("tables")
+    judged = touched.join(_keyed(models, "default_answer_mode", *_RULES), "table_name", "left").withColumns({
+        "rule": F.when(F.col("table_name").isNull(), None).when(F.col("eligible").isNull(), "UNKNOWN_MODEL")
+        .otherwise(access_code()),
+        "agg": F.coalesce(F.col("default_answer_mode") == "aggregate_only", F.lit(False))})
+    open_agg = F.col("agg") & F.col("rule").isNull()
+
+    def listed(when: Column, value: Column) -> Column:
+        return F.sort_array(F.collect_list(F.when(when, value)))
+
+    name, rule = F.col("table_name"), F.col("rule")
+    folded = judged.groupBy("statement_id").agg(
+        *[F.any_value(c).alias(c) for c in ("verbs", "outputs", "star")],
+        listed(rule.isNotNull(), F.concat_ws(":", "rule", "table_name")).alias("model_findings"),
+        listed(rule != "UNKNOWN_MODEL", name).alias("blocked_models"),
+        listed(open_agg & F.col("star"), F.concat(F.lit("AGGREGATE_ONLY_VIOLATION:"), name)).alias("star_findings"),
+        listed(F.col("eligible"), name).alias("known"),
+        F.bool_or(open_agg).alias("agg"))
+
+    # One row per (known table, output column) of statements still to be judged.
+    outputs = F.col("outputs")
     if strict:
-        outputs = known.select("statement_id", "table_name", F.explode("expressions").alias("entry")).select(
-            "statement_id", "table_name",
-            F.explode(F.array_distinct(F.regexp_extract_all("entry", F.lit(r"(\w+)"), F.lit(1)))).alias("column_name"))
-    else:
-        outputs = known.select("statement_id", "table_name", F.explode("outputs").alias("column_name"))
-    per_column = (
-        outputs.join(policy, ["table_name", "column_name"])
-        .withColumn("rule", column_code()).where(F.col("rule").isNotNull())
-        .groupBy("statement_id").agg(
-            F.sort_array(F.collect_list(F.concat(
-                F.col("rule"), F.lit(":"), F.col("table_name"), F.lit("."), F.col("column_name")))).alias("column_findings"),
-            F.sort_array(F.collect_list(F.concat_ws(".", "table_name", "column_name"))).alias("blocked_columns")))
+        words = F.transform(outputs, lambda o: F.regexp_extract_all(o, F.lit(r"(\w+)"), F.lit(1)))
+        outputs = F.array_distinct(F.flatten(words))
+    pairs = F.flatten(F.transform("known", lambda t: F.transform(
+        outputs, lambda o: F.struct(t.alias("table_name"), o.alias("column_name")))))
+    undecided = (F.size("blocked_models") == 0) & ~F.col("star")
+    columns_hit = (
+        folded.withColumn("p", F.explode_outer(F.when(undecided, pairs)))
+        .select("*", "p.table_name", "p.column_name").drop("p", "known", "outputs", "star")
+        .join(_keyed(columns, "column_name", "phi", "pii", "output_safe", "allowed_in_output"),
+              ["table_name", "column_name"], "left")
+        .withColumn("rule", column_code()))
+    full_name = F.concat_ws(".", "table_name", "column_name")
+    kept = ["verbs", "model_findings", "blocked_models", "star_findings", "agg"]
+    verdict = columns_hit.groupBy("statement_id").agg(
+        *[F.any_value(c).alias(c) for c in kept],
+        listed(rule.isNotNull(), F.concat(rule, F.lit(":"), full_name)).alias("column_findings"),
+        listed(rule.isNotNull(), full_name).alias("blocked_columns"))
 
     none = F.array().cast("array<string>")
-
-    def listed(name: str) -> Column:
-        return F.coalesce(F.col(name), none)
-
-    joined = (
-        parsed.select("statement_id", "verbs").join(per_table, "statement_id", "left")
-        .join(per_column, "statement_id", "left"))
-    stopped = F.size(listed("blocked_models")) > 0
-    after_models = F.when(stopped, none)
-    verdict = joined.select(
-        "statement_id",
-        F.transform("verbs", lambda v: F.concat(F.lit("DANGEROUS_SQL:"), v)).alias("verb_findings"),
-        listed("model_findings").alias("model_findings"),
-        listed("blocked_models").alias("blocked_models"),
-        F.coalesce(after_models, listed("star_findings")).alias("star_findings"),
-        F.coalesce(after_models, listed("column_findings")).alias("column_findings"),
-        F.coalesce(after_models, listed("blocked_columns")).alias("blocked_columns"),
-        F.coalesce("has_aggregate_only", F.lit(False)).alias("agg"))
-    early = (F.size("verb_findings") > 0) | (F.size("blocked_models") > 0)
-    denied = early | (F.size("star_findings") > 0) | (F.size("column_findings") > 0)
+    verb_findings = F.transform("verbs", lambda v: F.concat(F.lit("DANGEROUS_SQL:"), v))
+    star_findings = F.when(F.size("blocked_models") > 0, none).otherwise(F.col("star_findings"))
+    early = (F.size("verbs") > 0) | (F.size("blocked_models") > 0)
+    denied = early | (F.size(star_findings) > 0) | (F.size("column_findings") > 0)
     return verdict.select(
         "statement_id", (~denied).alias("allowed"),
-        F.concat("verb_findings", "model_findings", "star_findings", "column_findings").alias("violations"),
+        F.concat(verb_findings, "model_findings", star_findings, "column_findings").alias("violations"),
         "blocked_models", "blocked_columns",
         F.when(early, "full").when(denied, "deny").when(F.col("agg"), "aggregate_only").otherwise("full")
         .alias("answer_mode"))
@@ -437,7 +424,7 @@ def check_requests(requests: DataFrame, models: DataFrame) -> DataFrame:
     check = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("use_case")), F.lit("generic"))
     # Retrieval is judged on its first model only.
     touched = F.when(F.col("check") == "retrieval", F.slice("model_names", 1, 1)).otherwise(F.col("model_names"))
-    rows = requests.withColumn("check", check).withColumn("name", F.explode(touched)).withColumn(
+    rows = requests.withColumn("check", check).withColumn("name", F.explode_outer(touched)).withColumn(
         "table_name", F.lower("name"))
     rows = rows.join(_keyed(models, "summarization_policy", "retrieval_policy", "rag_exposure",
                             "explanation_policy", "agent_action_policy", "export_policy", *_RULES),
@@ -469,7 +456,7 @@ def check_requests(requests: DataFrame, models: DataFrame) -> DataFrame:
         "request_id", "name",
         F.when(known, rule).alias("rule"), F.when(known, extra).alias("extra"),
         F.when(known & access_code().isNull(), mode).otherwise(0).alias("mode"),
-        (~known & on("retrieval")).alias("unknown_source"))
+        (~known & F.col("name").isNotNull() & on("retrieval")).alias("unknown_source"))
 
     def finding(code: str) -> Column:
         return F.collect_list(F.when(F.col(code).isNotNull(), F.concat_ws(":", code, "name")))
@@ -480,13 +467,8 @@ def check_requests(requests: DataFrame, models: DataFrame) -> DataFrame:
         .alias("notes"),
         F.max("mode").alias("mode"))
     modes = F.array(*map(F.lit, ["full", "masked", "aggregate_only", "metadata_only"]))
-    result = requests.select("request_id").join(grouped, "request_id", "left").select(
-        "request_id",
-        F.coalesce("violations", F.array().cast("array<string>")).alias("violations"),
-        F.coalesce("notes", F.array().cast("array<string>")).alias("notes"),
-        F.coalesce("mode", F.lit(0)).alias("mode"))
     allowed = F.size("violations") == 0
-    return result.select(
+    return grouped.select(
         "request_id", allowed.alias("allowed"), F.concat("violations", "notes").alias("violations"),
         F.when(~allowed, "deny").otherwise(F.element_at(modes, F.col("mode") + 1)).alias("answer_mode"))
 

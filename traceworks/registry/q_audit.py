@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from traceworks import fixtures as fx
 from traceworks.functions import prices
 from traceworks.plans import audit, cost
+from traceworks.operators.spread import spread
 from traceworks.registry.base import query, table
 from traceworks.registry.q_ledger import staged
 from traceworks.registry.q_quality import lit
@@ -331,7 +332,7 @@ def _(spark, sf):
 
 @query("f22_estimated_tokens", "select doc_id, (length(text) // 4)::bigint as tokens from documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", prices.estimated_tokens(F.col("text")).alias("tokens"))
+    return spread(table(spark, sf, "documents")).select("doc_id", prices.estimated_tokens(F.col("text")).alias("tokens"))
 
 
 @query("a12_step_averages", f"""select agent_name, round(avg(success::int) * 100, 1) as success_pct,
@@ -346,5 +347,5 @@ def _(spark, sf):
 
 @query("f20_truncations", f"""select doc_id, text[:200] as args, text[:500] as preview from documents""")
 def _(spark, sf):
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id", F.left("text", F.lit(200)).alias("args"), F.left("text", F.lit(500)).alias("preview"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from traceworks.functions import markup, routing
 from traceworks.functions.redact import cut
 from traceworks.plans import filings
+from traceworks.operators.spread import spread
 from traceworks.registry.base import query, table
 from traceworks.registry.q_quality import lit
 
@@ -178,17 +179,17 @@ def _(spark, sf):
 
 @query("f32_cut_with_notice", f"""select doc_id, case when length(text) > 800 then text[:800] || {lit(markup.CUT_NOTICE)[:-1] + "'"} else text end as text from documents""")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", markup.with_notice(F.col("text"), 800).alias("text"))
+    return spread(table(spark, sf, "documents")).select("doc_id", markup.with_notice(F.col("text"), 800).alias("text"))
 
 
 @query("f45_html_text")
 def _(spark, sf):
-    return table(spark, sf, "pages").select("page_id", markup.html_text(F.col("html")).alias("text"))
+    return spread(table(spark, sf, "pages")).select("page_id", markup.html_text(F.col("html")).alias("text"))
 
 
 @query("n02_filing_text")
 def _(spark, sf):
-    text = table(spark, sf, "pages").select("page_id", "url", markup.html_text(F.col("html")).alias("text"))
+    text = spread(table(spark, sf, "pages")).select("page_id", "url", markup.html_text(F.col("html")).alias("text"))
     return text.select("page_id", "url", F.coalesce(
         F.nullif(markup.with_notice(F.col("text")), F.lit("")),
         F.lit("(No readable text extracted from this filing)")).alias("text"))
@@ -203,7 +204,7 @@ _ASCII = f"regexp_replace({MESSAGE}, '[À-ÖØ-öø-ÿĀ-ſ]', '_', 'g')"
 
 
 def messages(spark, sf):
-    return table(spark, sf, "conversations").selectExpr("conv_id", "turn", f"{MESSAGE} as m")
+    return spread(table(spark, sf, "conversations")).selectExpr("conv_id", "turn", f"{MESSAGE} as m")
 
 
 MESSAGES_SQL = f"(select conv_id, turn, {MESSAGE} as raw, {_ASCII} as m from conversations)"
@@ -289,4 +290,4 @@ def _(spark, sf):
 
 @query("f13_short_cut", "select doc_id, case when length(text) > 80 then text[:80] || '…' else text end as head from documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", cut(F.col("text"), 80).alias("head"))
+    return spread(table(spark, sf, "documents")).select("doc_id", cut(F.col("text"), 80).alias("head"))

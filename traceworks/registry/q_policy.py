@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from traceworks.functions import sqltext
 from traceworks.plans import policy
+from traceworks.operators.spread import spread
 from traceworks.registry.base import query, table
 from traceworks.registry.q_quality import hash_sql, lit
+from traceworks.sources.sinks import scratch_path
 
 # Catalog input: a model per supplier, a column per part. --------------------
 _S = "s_suppkey"
@@ -72,6 +74,17 @@ def columns(spark, sf):
     return policy.compile_columns(_nodes(table(spark, sf, "part"), _COLUMN, COLUMN_META), models(spark, sf))
 
 
+def catalog(spark, sf):
+    """The compiled catalog as written tables: short plans for what reads it,
+    and a known size for the planner to choose joins by."""
+    paths = [scratch_path(spark, name) for name in ("models", "columns")]
+    models(spark, sf).write.parquet(paths[0])
+    known = spark.read.parquet(paths[0])
+    node_columns = _nodes(table(spark, sf, "part"), _COLUMN, COLUMN_META)
+    policy.compile_columns(node_columns, known).write.parquet(paths[1])
+    return known, spark.read.parquet(paths[1])
+
+
 # Check SQL for the compiled catalog -----------------------------------------
 def word(v: str, words: list[str], default: str) -> str:
     return f"(case when lower({v}) in ({', '.join(map(lit, words))}) then lower({v}) else {default} end)"
@@ -208,7 +221,7 @@ def _(spark, sf):
   count(*) filter (where output_safe) as output_safe_columns,
   count(*) filter (where not output_safe) as blocked_columns from cols) c"""))
 def _(spark, sf):
-    return policy.catalog_summary(models(spark, sf), columns(spark, sf))
+    return policy.catalog_summary(*catalog(spark, sf))
 
 
 @query("g09_explain_models", over_catalog("""select model_name, allowed, answer_mode, certified,
@@ -279,7 +292,7 @@ STATEMENT_FIELDS = [
 
 
 def statements(spark, sf):
-    return table(spark, sf, "events").selectExpr(*[f"{e} as {n}" for n, e in STATEMENT_FIELDS])
+    return spread(table(spark, sf, "events")).selectExpr(*[f"{e} as {n}" for n, e in STATEMENT_FIELDS])
 
 
 STATEMENTS_SQL = "statements as (select " + ", ".join(f"{e} as {n}" for n, e in STATEMENT_FIELDS) + " from events)"
@@ -355,20 +368,20 @@ from parsed left join per_table using (statement_id) left join per_column using
   case when len(vf) + len(bm) > 0 then 'full' when len(sf) + len(cf) > 0 then 'deny'
     when agg then 'aggregate_only' else 'full' end as answer_mode from verdicts""", *AUDIT_CTES))
 def _(spark, sf):
-    out = policy.audit_sql(statements(spark, sf), models(spark, sf), columns(spark, sf))
+    out = policy.audit_sql(statements(spark, sf), *catalog(spark, sf))
     return out.withColumns({c: F.array_join(c, ",") for c in ("violations", "blocked_models", "blocked_columns")})
 
 
 @query("g05_sql_audit_strict")
 def _(spark, sf):
-    out = policy.audit_sql(statements(spark, sf), models(spark, sf), columns(spark, sf), strict=True)
+    out = policy.audit_sql(statements(spark, sf), *catalog(spark, sf), strict=True)
     return out.withColumns({c: F.array_join(c, ",") for c in ("violations", "blocked_models", "blocked_columns")})
 
 
 @query("o05_first_three_reasons", over_catalog("""select statement_id,
   array_to_string((vf || mf || sf || cf)[1:3], '; ') as reasons from verdicts""", *AUDIT_CTES))
 def _(spark, sf):
-    out = policy.audit_sql(statements(spark, sf), models(spark, sf), columns(spark, sf))
+    out = policy.audit_sql(statements(spark, sf), *catalog(spark, sf))
     return out.select("statement_id", F.array_join(F.slice("violations", 1, 3), "; ").alias("reasons"))
 
 
@@ -484,7 +497,7 @@ def _(spark, sf):
     schema = table(spark, sf, "part").selectExpr(
         "concat('model_', p_partkey % 110) as table_name", "concat('col_', p_partkey) as column_name",
         "lower(p_type) as type", "p_name as description")
-    return policy.safe_schema(schema, models(spark, sf), columns(spark, sf), "text2sql", "ws_1")
+    return policy.safe_schema(schema, *catalog(spark, sf), "text2sql", "ws_1")
 
 
 @query("g07_schema_summary")
@@ -492,7 +505,7 @@ def _(spark, sf):
     schema = table(spark, sf, "part").selectExpr(
         "concat('model_', p_partkey % 110) as table_name", "concat('col_', p_partkey) as column_name",
         "lower(p_type) as type", "p_name as description")
-    return policy.schema_summary(policy.safe_schema(schema, models(spark, sf), columns(spark, sf)))
+    return policy.schema_summary(policy.safe_schema(schema, *catalog(spark, sf)))
 
 
 # Policy of one table, as rows of its column policies.

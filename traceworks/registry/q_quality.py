@@ -8,6 +8,7 @@ from traceworks import fixtures as fx
 from traceworks.functions import pii, redact
 from traceworks.operators import clean, dedup, expectations, profile
 from traceworks.plans import compliance
+from traceworks.operators.spread import spread
 from traceworks.registry.base import query, table
 from traceworks.registry.q_ledger import staged
 from traceworks.registry.sql import over_staged
@@ -54,7 +55,7 @@ def _(spark, sf):
 @query("q02_duplicate_rows", """select count(*) as row_count, u as unique_rows, count(*) - u as duplicate_rows
 from conversations, (select count(*) as u from (select distinct role, text from conversations)) group by u""")
 def _(spark, sf):
-    return profile.duplicate_rows(table(spark, sf, "conversations").select("role", "text"))
+    return profile.duplicate_rows(spread(table(spark, sf, "conversations")).select("role", "text"))
 
 
 @query("q02_quality_issues", f"""with people as ({fx.PEOPLE_SQL}),
@@ -217,7 +218,7 @@ _DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 @query("c02_pii_scan_documents", _scan_sql("documents", _DOC_COLUMNS))
 def _(spark, sf):
-    return compliance.scan_pii(table(spark, sf, "documents"))
+    return compliance.scan_pii(spread(table(spark, sf, "documents")))
 
 
 PEOPLE_CLASSES = {c: pii.name_class(c)[1] for c in PEOPLE if pii.name_class(c)}
@@ -280,7 +281,7 @@ def _(spark, sf):
     f"round(avg(regexp_matches(text, {lit(p)})::int), 6) as {k}_rate" for k, p, _ in pii.VALUE_PATTERNS)
     + " from documents group by lang")
 def _(spark, sf):
-    return table(spark, sf, "documents").groupBy("lang").agg(
+    return spread(table(spark, sf, "documents")).groupBy("lang").agg(
         F.count("*").alias("docs"),
         *[F.round(F.avg(hit.cast("int")), 6).alias(f"{k}_rate")
           for k, hit in pii.value_hits(F.col("text")).items()])
@@ -289,7 +290,7 @@ def _(spark, sf):
 @query("f19_value_patterns", "select doc_id, " + ", ".join(
     f"regexp_matches(text, {lit(p)}) as {k}" for k, p, _ in pii.VALUE_PATTERNS) + " from documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id", *[hit.alias(k) for k, hit in pii.value_hits(F.col("text")).items()])
 
 
@@ -367,14 +368,14 @@ _SECRET_TEXT = """concat(text, case doc_id % 6 when 0 then ' password=hunter2abc
 
 @query("f10_mask_secrets", f"select doc_id, {_mask_sql(_SECRET_TEXT, redact.SECRET_PATTERNS)} as masked from documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id", redact.mask_secrets(F.expr(_SECRET_TEXT)).alias("masked"))
 
 
 @query("f11_mask_credentials",
        f"select doc_id, {_mask_sql(_SECRET_TEXT, redact.CREDENTIAL_PATTERNS)} as masked from documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id", redact.mask_credentials(F.expr(_SECRET_TEXT)).alias("masked"))
 
 
@@ -393,7 +394,7 @@ def _summarise_sql(expr: str, n: int, masked: bool = False) -> str:
 
 @query("f13_summarise", f"select doc_id, {_summarise_sql('text', 500)} as summary from documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", redact.summarise(F.col("text")).alias("summary"))
+    return spread(table(spark, sf, "documents")).select("doc_id", redact.summarise(F.col("text")).alias("summary"))
 
 
 _SHAPE = r"regexp_replace(regexp_replace(nullif(s, ''), '''[^'']*''', '''?''', 'g'), '\b\d+(\.\d+)?\b', '?', 'g')"
@@ -408,7 +409,7 @@ def _(spark, sf):
 
 @query("f07_text_hash", "select doc_id, sha256(nullif(text, '')) as h from documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", redact.text_hash(F.col("text")).alias("h"))
+    return spread(table(spark, sf, "documents")).select("doc_id", redact.text_hash(F.col("text")).alias("h"))
 
 
 def _pii_steps_sql() -> str:
@@ -426,7 +427,7 @@ def _pii_steps_sql() -> str:
 @query("f16_redact_pii", _pii_steps_sql().replace("as t from (select", "as t from (select"))
 def _(spark, sf):
     text, counts = redact.redact_pii(F.col("text"))
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id", text.alias("t"),
         *[n.cast("bigint").alias("n_" + k.strip("[]").lower()) for k, n in counts.items()])
 
@@ -437,7 +438,7 @@ def _(spark, sf):
 def _(spark, sf):
     hits = {"n_" + k.strip("[]").lower(): n.cast("bigint")
             for k, n in redact.pii_findings(F.col("text")).items()}
-    counted = table(spark, sf, "documents").select("doc_id", *[n.alias(k) for k, n in hits.items()])
+    counted = spread(table(spark, sf, "documents")).select("doc_id", *[n.alias(k) for k, n in hits.items()])
     return counted.withColumn("is_clean", F.expr(" + ".join(hits) + " = 0"))
 
 
@@ -469,6 +470,6 @@ def _(spark, sf):
   lang, '[stripped]' as df_preview from documents join ({_pii_steps_sql()}) using (doc_id)""")
 def _(spark, sf):
     text = F.col("text")
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id", F.when(F.length(text) > 500, redact.redact_pii(text)[0]).otherwise(text).alias("text"),
         "lang", F.lit("[stripped]").alias("df_preview"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from traceworks import fixtures as fx
 from traceworks.operators.knn import nearest_neighbours
 from traceworks.plans import filings, retrieval
+from traceworks.operators.spread import spread
 from traceworks.registry.base import query, table
 from traceworks.registry.q_policy import _COLUMN, _NODE
 from traceworks.sources import sinks
@@ -82,7 +83,7 @@ union all select conv_id, turn + 1, role, text from conversations
 union all select conv_id, t + 2, 'user', 'Context from knowledge base:' || chr(10) || '{retrieval.RULE}' || chr(10) || 'No relevant documents found.'
   || chr(10) || '{retrieval.RULE}' || chr(10) || chr(10) || 'Question: ' || question from ({_LAST})""")
 def _(spark, sf):
-    turns = table(spark, sf, "conversations")
+    turns = spread(table(spark, sf, "conversations"))
     asked = turns.groupBy("conv_id").agg(F.max_by("text", "turn").alias("question")).withColumn(
         "context", F.lit("No relevant documents found."))
     return retrieval.prompt_rows(turns, asked)
@@ -126,7 +127,7 @@ FILES = [
 
 
 def _files(spark, sf):
-    return table(spark, sf, "documents").selectExpr("doc_id", *[f"{e} as {c}" for c, e in FILES])
+    return spread(table(spark, sf, "documents")).selectExpr("doc_id", *[f"{e} as {c}" for c, e in FILES])
 
 
 INGESTED_SQL = f"""select doc_id, filename, collection, length(t) as chars from (select *, case
@@ -201,6 +202,6 @@ def _(spark, sf):
 
 @query("x03_embedder")
 def _(spark, sf):
-    vectors = table(spark, sf, "documents").select("doc_id", retrieval.embedded(F.col("text"), retrieval.hash_embedder()).alias("v"))
+    vectors = spread(table(spark, sf, "documents")).select("doc_id", retrieval.embedded(F.col("text"), retrieval.hash_embedder()).alias("v"))
     return vectors.select("doc_id", F.size("v").alias("dims"),
                           F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))

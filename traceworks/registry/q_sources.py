@@ -8,6 +8,7 @@ from traceworks import fixtures as fx
 from traceworks.functions import redact, register as sql_functions
 from traceworks.plans import emit, metrics, policy, replay
 from traceworks.plans.ledger import complete_rows, with_flags
+from traceworks.operators.spread import spread
 from traceworks.registry.base import query, table
 from traceworks.registry.q_audit import RUNS, runs
 from traceworks.registry.q_ledger import REQUEST_CTES, staged
@@ -53,7 +54,7 @@ def _(spark, sf):
 
 @query("s07_mixed_encodings", "select doc_id, text from documents")
 def _(spark, sf):
-    encoded = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8"))
+    encoded = spread(table(spark, sf, "documents")).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8"))
                                                    .otherwise(F.encode("text", "UTF-16")).alias("content"))
     return encoded.select("doc_id", files.decoded(F.col("content")).alias("text"))
 
