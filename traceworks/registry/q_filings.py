@@ -182,12 +182,29 @@ def _(spark, sf):
     return spread(table(spark, sf, "documents")).select("doc_id", markup.with_notice(F.col("text"), 800).alias("text"))
 
 
-@query("f45_html_text")
+# Page text by pattern: hidden elements and comments out, tags to line breaks, entities back.
+def _page_sql() -> str:
+    text = "html"
+    for tag in ("script", "style", "head", "ix:header", "ix:nonfraction", "ix:nonnumeric"):
+        text = f"regexp_replace({text}, '(?is)<{tag}[ >].*?</{tag}>', chr(10), 'g')"
+    text = f"regexp_replace(regexp_replace({text}, '(?s)<!--.*?-->', chr(10), 'g'), '(?s)<[!/a-zA-Z][^>]*>', chr(10), 'g')"
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"),
+                         ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{char}')"
+    return (f"array_to_string(list_filter(list_transform(string_split({text}, chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(13) || chr(160))), "
+            "lambda l: l <> ''), chr(10))")
+
+
+PAGE_SQL = f"select page_id, url, {_page_sql()} as text from pages"
+
+
+@query("f45_html_text", f"select page_id, text from ({PAGE_SQL})")
 def _(spark, sf):
     return spread(table(spark, sf, "pages")).select("page_id", markup.html_text(F.col("html")).alias("text"))
 
 
-@query("n02_filing_text")
+@query("n02_filing_text", f"""select page_id, url, case when text = '' then '(No readable text extracted from this filing)'
+  when length(text) > 25000 then text[:25000] || {lit(markup.CUT_NOTICE)} else text end as text from ({PAGE_SQL})""")
 def _(spark, sf):
     text = spread(table(spark, sf, "pages")).select("page_id", "url", markup.html_text(F.col("html")).alias("text"))
     return text.select("page_id", "url", F.coalesce(

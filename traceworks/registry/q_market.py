@@ -165,7 +165,25 @@ def _(spark, sf):
     return ind.indicator_series(all_bars(spark, sf))
 
 
-@query("v07_indicator_text")
+_EMA_TEXT = "nullif(concat_ws(' | ', " + ", ".join(
+    f"case when ema_{s} is not null then printf('EMA{s}: $%.4f', ema_{s}) end" for s in (9, 21, 50, 200)) + "), '')"
+_LABEL_SQL = "case tf when '5m' then '5-Minute' when '30m' then '30-Minute' when '1h' then '1-Hour' when '1d' then 'Daily' end"
+
+
+@query("v07_indicator_text", f"""select ticker, tf, case when current_price is null
+  then '[' || {_LABEL_SQL} || '] DATA UNAVAILABLE (price fetch failed or insufficient history)'
+  else concat_ws(chr(10), '[' || {_LABEL_SQL} || ']',
+    printf('  Price : $%.4f', current_price) || '  Change: ' || coalesce(case when change_pct > 0 then '+' else '' end
+      || change_pct || '%', 'N/A') || '  Trend: ' || trend,
+    case when rsi <> 0 then '  RSI(14): ' || rsi || ' — ' || rsi_label else '  RSI(14): N/A (< 14 bars)' end,
+    case when macd_line is not null then printf('  MACD: %+.5f | Sig: %+.5f | Hist: %+.5f — ', macd_line, macd_signal, macd_hist)
+      || coalesce(macd_label, 'None') else '  MACD: N/A (< 26 bars)' end,
+    case when bb_upper is not null then printf('  BB: Upper $%.4f / Mid $%.4f / Lower $%.4f  BB%%: ', bb_upper, bb_middle, bb_lower)
+      || coalesce(printf('%.2f — ', sign(bb_pct) * floor(round(abs(bb_pct) * 1000) / 10 + 0.5) / 100), 'N/A') || coalesce(bb_label, '') else '  BB: N/A (< 20 bars)' end,
+    '  ' || coalesce({_EMA_TEXT}, 'EMAs: N/A'),
+    '  Vol: ' || format('{{:,}}', volume) || coalesce(' (' || vol_ratio || '× 20-bar avg)', '')) end as block
+from (select * from (select distinct ticker, unnest(['5m', '30m', '1h', '1d']) as tf from {ALL_BARS_SQL})
+  left join ({indicator_sql(CLEAN_SQL)}) using (ticker, tf))""")
 def _(spark, sf):
     return market.indicator_text(ind.all_timeframes(all_bars(spark, sf)))
 

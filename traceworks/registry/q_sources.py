@@ -189,6 +189,18 @@ def _(spark, sf):
         F.expr(_PROPS), F.lit("EXTERNAL_TABLE"), F.expr(_INPUT), F.expr(_SERDE)).alias("format"))
 
 
+_ENTRY = [("database", "p_brand"), ("table_name", "p_type"), ("position", "cast(p_size as bigint)"),
+          ("column_name", "concat('col_', cast(p_partkey as varchar(20)))")]
+
+
+@query("s26_capped_listing", f"""select database, table_name, position, column_name from (select *,
+  dense_rank() over (partition by database order by table_name) as t,
+  row_number() over (partition by database, table_name order by position, column_name) as c
+from (select {', '.join(f'{e} as {c}' for c, e in _ENTRY)} from part)) where t <= 3 and c <= 5""")
+def _(spark, sf):
+    return files.capped_listing(table(spark, sf, "part").selectExpr(*[f"{e} as {c}" for c, e in _ENTRY]), 3, 5)
+
+
 @query("s28_manifest_models", f"with {MODELS_SQL} select {', '.join(_SCALARS)} from models")
 def _(spark, sf):
     """One manifest object per line, read back and compiled."""
@@ -291,7 +303,12 @@ def _(spark, sf):
     return replay.cards(replayed(spark, sf))
 
 
-@query("m20_timeline_lines")
+@query("m20_timeline_lines", f"""with {REPLAY_CTE} select tenant_id, request_id, event_sequence,
+  printf('%3d. %s  %-30s  %-20s  %-10s%10s  %s', event_sequence, event_timestamp[:19], event_type, actor_id,
+    '[' || case when is_error then upper(status) else status end || ']',
+    case when duration_ms > 0 then ' +' || duration_ms || 'ms' else '' end, summary)
+  || case when is_error and error_message <> '' then chr(10) || '      ERROR: ' || error_message[:120] else '' end as line
+from replayed""")
 def _(spark, sf):
     return replay.timeline_lines(replayed(spark, sf))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Extensions by kind, and text-like extensions of other files.
@@ -174,6 +174,21 @@ def catalog_columns(spark: SparkSession, databases: list[str] | None = None, max
         rows, "database string, table_name string, position int, column_name string, type string")
 
 
+def capped_listing(listing: DataFrame, max_tables: int, max_columns: int) -> DataFrame:
+    """Catalog rows (database, table_name, position, column_name) with the first
+    tables per database and the first columns per table. Both caps are rank
+    limits, applied in every task before the shuffle."""
+    by_name = Window.partitionBy("database").orderBy("table_name")
+    by_position = Window.partitionBy("database", "table_name").orderBy("position", "column_name")
+    tables = listing.withColumn("_t", F.dense_rank().over(by_name)).where(F.col("_t") <= max_tables)
+    return tables.withColumn("_c", F.row_number().over(by_position)).where(F.col("_c") <= max_columns).drop("_t", "_c")
+
+
+def read_iceberg(spark: SparkSession, name: str) -> DataFrame:
+    """An Iceberg table; needs the Iceberg jar on the classpath."""
+    return spark.read.format("iceberg").load(name)
+
+
 def register_external(spark: SparkSession, name: str, path: str, source: str = "parquet") -> None:
     """A catalog table over existing files, with the schema found in them."""
     spark.sql(f"drop table if exists {name}")
