@@ -44,6 +44,15 @@ def distinct_counts(**columns: str) -> list[Column]:
     return [F.count_distinct(F.col(col)).alias(name) for name, col in columns.items()]
 
 
+def vocabulary_size(col: str) -> Column:
+    """Distinct values of a column with a small vocabulary (models, datasources).
+
+    Shares its set with :func:`distinct_list`, where a distinct count would
+    make the planner expand every row once more.
+    """
+    return F.size(F.collect_set(col)).cast("bigint")
+
+
 def distinct_list(col: str | Column, sep: str = ", ") -> Column:
     """Distinct values in order, joined; '' when there is none."""
     return F.array_join(F.sort_array(F.collect_set(col)), sep)

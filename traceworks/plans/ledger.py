@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from traceworks.functions.times import day, millis_between, minutes_between, parse_ts
 from traceworks.operators.aggregates import (
     distinct_counts, distinct_list, first_match, most_severe, ordered_list, rate_pct, safe, some, tally,
+    vocabulary_size,
 )
 from traceworks.operators.sliced import sequence_in_group
 
@@ -78,7 +79,8 @@ def session_summary(staged: DataFrame) -> DataFrame:
         F.min(ts).alias("session_started_at"),
         F.max(ts).alias("session_last_activity_at"),
         minutes_between(F.min(ts), F.max(ts)).alias("session_duration_minutes"),
-        *distinct_counts(total_requests="request_id", distinct_models_used="model_name"),
+        F.count_distinct("request_id").alias("total_requests"),
+        vocabulary_size("model_name").alias("distinct_models_used"),
         F.count("*").alias("total_events"),
         distinct_list("model_name").alias("models_used"),
         distinct_list("datasource_name").alias("datasources_accessed"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from traceworks.functions.times import day
 from traceworks.operators.aggregates import (
     SENSITIVITY_LEVELS, distinct_counts, distinct_list, first_match, rate_pct, some, tally,
+    vocabulary_size,
 )
 from traceworks.plans.ledger import PII, kind, request_summary
 
@@ -53,10 +54,9 @@ def dim_users(staged: DataFrame) -> DataFrame:
 def dim_workspaces(staged: DataFrame) -> DataFrame:
     return staged.groupBy("tenant_id", "workspace_id").agg(
         *_seen("first_active_at", "last_active_at"),
-        *distinct_counts(
-            distinct_users="user_id", total_sessions="session_id", total_requests="request_id",
-            distinct_models_used="model_name", distinct_datasources="datasource_name",
-        ),
+        *distinct_counts(distinct_users="user_id", total_sessions="session_id", total_requests="request_id"),
+        vocabulary_size("model_name").alias("distinct_models_used"),
+        vocabulary_size("datasource_name").alias("distinct_datasources"),
         distinct_list("model_name").alias("models_used"),
         distinct_list("datasource_name").alias("datasources_accessed"),
         *tally(

@@ -311,7 +311,8 @@ _PARTS = f"""list_filter(list_transform(string_split(sel, ','), lambda p: case w
     else lower(string_split({_bare('p')}, '.')[-1]) end), lambda c: c <> '')"""
 OUTPUTS_SQL = f"""case when sel = '' then []::varchar[] when regexp_matches(sel, '(^|[^(])\\*([^)]|$)') then ['*']
   else list_sort(list_distinct({_PARTS})) end"""
-PARSED_SQL = f"""parsed as (select *, {OUTPUTS_SQL} as outputs from (select *, {VERBS_SQL} as verbs, {TABLES_SQL} as tables,
+PARSED_SQL = f"""parsed as (select *, {OUTPUTS_SQL} as outputs, list_distinct(flatten(list_transform(string_split(sel, ','),
+  lambda p: regexp_extract_all(lower(p), '(\\w+)', 1)))) as words from (select *, {VERBS_SQL} as verbs, {TABLES_SQL} as tables,
   regexp_extract(sql_text, {lit(sqltext.SELECT_LIST_PATTERN)}, 1) as sel from statements))"""
 
 
@@ -340,7 +341,7 @@ _ACCESS_SQL = """case when not eligible then 'MODEL_DENIED'
 
 AUDIT_CTES = (
     STATEMENTS_SQL, PARSED_SQL,
-    f"""hits as (select statement_id, t, outputs, list_contains(outputs, '*') as star, default_answer_mode = 'aggregate_only' as agg,
+    f"""hits as (select statement_id, t, outputs, words, list_contains(outputs, '*') as star, default_answer_mode = 'aggregate_only' as agg,
   eligible, case when model_name is null then 'UNKNOWN_MODEL' else {_ACCESS_SQL} end as rule
 from (select *, unnest(tables) as t from parsed where len(verbs) = 0) left join models on lower(model_name) = t)""",
     """per_table as (select statement_id,
@@ -362,17 +363,23 @@ from parsed left join per_table using (statement_id) left join per_column using
 )
 
 
-@query("g05_sql_audit", over_catalog("""select statement_id, len(vf) + len(bm) + len(sf) + len(cf) = 0 as allowed,
+_AUDIT_BODY = """select statement_id, len(vf) + len(bm) + len(sf) + len(cf) = 0 as allowed,
   array_to_string(vf || mf || sf || cf, ',') as violations, array_to_string(bm, ',') as blocked_models,
   array_to_string(bc, ',') as blocked_columns,
   case when len(vf) + len(bm) > 0 then 'full' when len(sf) + len(cf) > 0 then 'deny'
-    when agg then 'aggregate_only' else 'full' end as answer_mode from verdicts""", *AUDIT_CTES))
+    when agg then 'aggregate_only' else 'full' end as answer_mode from verdicts"""
+
+
+@query("g05_sql_audit", over_catalog(_AUDIT_BODY, *AUDIT_CTES))
 def _(spark, sf):
     out = policy.audit_sql(statements(spark, sf), *catalog(spark, sf))
     return out.withColumns({c: F.array_join(c, ",") for c in ("violations", "blocked_models", "blocked_columns")})
 
 
-@query("g05_sql_audit_strict")
+_STRICT_CTES = tuple(c.replace("unnest(outputs)", "unnest(words)") for c in AUDIT_CTES)
+
+
+@query("g05_sql_audit_strict", over_catalog(_AUDIT_BODY, *_STRICT_CTES))
 def _(spark, sf):
     out = policy.audit_sql(statements(spark, sf), *catalog(spark, sf), strict=True)
     return out.withColumns({c: F.array_join(c, ",") for c in ("violations", "blocked_models", "blocked_columns")})
@@ -474,14 +481,8 @@ SCHEMA_SQL = """schema_rows as (select 'model_' || (p_partkey % 110) as table_na
   lower(p_type) as type, p_name as description from part)"""
 
 
-@query("g07_safe_schema", over_catalog("""select * from (select table_name, column_name, type,
-  case when cd is not null and cd <> '' then cd else description end as description,
-  case when ai_exposed is null then '[Not in column policy catalog]' else coalesce(note, case when not allowed_in_output then
-    '[Allowed in WHERE/GROUP BY only — do not SELECT ''' || column_name || ''' in output]' end) end as ai_note, table_note from seen where not unknown)
-union all select distinct table_name, null, null, null, null, table_note from seen where unknown
-union all select distinct table_name, '__aggregate_only__', 'directive', 'This table may only be queried with aggregate functions (COUNT, SUM, AVG, MIN, MAX). Do not generate row-level SELECT queries.', null, table_note
-  from seen where not unknown and default_answer_mode = 'aggregate_only'""", SCHEMA_SQL,
-    """seen as (select s.*, m.model_name is null as unknown, m.default_answer_mode, c.ai_exposed, c.allowed_in_output, c.description as cd,
+def _seen_sql(scope: str) -> str:
+    return f"""seen as (select s.*, m.model_name is null as unknown, m.default_answer_mode, c.ai_exposed, c.allowed_in_output, c.description as cd,
   case when phi then '[PHI field — must not appear in output]'
     when pii <> 'none' and masking_rule <> 'none' then '[PII field — masking rule: ' || masking_rule || '. Do not expose raw values in output]'
     when pii <> 'none' then '[PII field — use in filters/grouping only, do not select for output]' end as note,
@@ -490,22 +491,43 @@ union all select distinct table_name, '__aggregate_only__', 'directive', 'This t
     when contains_pii then '[Contains PII: sensitive fields have been masked or excluded]' end as table_note
 from schema_rows s left join models m on m.model_name = s.table_name
 left join cols c on c.model_name = s.table_name and c.column_name = s.column_name
-where (m.model_name is null or (eligible and (len(approved_workspaces) = 0 or list_contains(approved_workspaces, 'ws_1'))
-    and not list_contains(blocked_ai_use_cases, 'text2sql')))
-  and (m.model_name is null or c.ai_exposed is null or c.ai_exposed))"""))
-def _(spark, sf):
-    schema = table(spark, sf, "part").selectExpr(
+where (m.model_name is null or (eligible{scope})) and (m.model_name is null or c.ai_exposed is null or c.ai_exposed))"""
+
+
+def _safe_sql(use_note: str) -> str:
+    return f"""select * from (select table_name, column_name, type,
+  case when cd is not null and cd <> '' then cd else description end as description,
+  case when ai_exposed is null then '[Not in column policy catalog]' else coalesce(note, {use_note}) end as ai_note,
+  table_note from seen where not unknown)
+union all select distinct table_name, null, null, null, null, table_note from seen where unknown
+union all select distinct table_name, '__aggregate_only__', 'directive', 'This table may only be queried with aggregate functions (COUNT, SUM, AVG, MIN, MAX). Do not generate row-level SELECT queries.', null, table_note
+  from seen where not unknown and default_answer_mode = 'aggregate_only'"""
+
+
+_IN_WS_1 = """ and (len(approved_workspaces) = 0 or list_contains(approved_workspaces, 'ws_1'))
+    and not list_contains(blocked_ai_use_cases, 'text2sql')"""
+_OUTPUT_NOTE = """case when not allowed_in_output then '[Allowed in WHERE/GROUP BY only — do not SELECT ' || chr(39)
+    || column_name || chr(39) || ' in output]' end"""
+
+
+def _schema_rows(spark, sf):
+    return table(spark, sf, "part").selectExpr(
         "concat('model_', p_partkey % 110) as table_name", "concat('col_', p_partkey) as column_name",
         "lower(p_type) as type", "p_name as description")
-    return policy.safe_schema(schema, *catalog(spark, sf), "text2sql", "ws_1")
 
 
-@query("g07_schema_summary")
+@query("g07_safe_schema", over_catalog(_safe_sql(_OUTPUT_NOTE), SCHEMA_SQL, _seen_sql(_IN_WS_1)))
 def _(spark, sf):
-    schema = table(spark, sf, "part").selectExpr(
-        "concat('model_', p_partkey % 110) as table_name", "concat('col_', p_partkey) as column_name",
-        "lower(p_type) as type", "p_name as description")
-    return policy.schema_summary(policy.safe_schema(schema, *catalog(spark, sf)))
+    return policy.safe_schema(_schema_rows(spark, sf), *catalog(spark, sf), "text2sql", "ws_1")
+
+
+@query("g07_schema_summary", over_catalog(f"""select count(distinct table_name) as model_count,
+  count(*) filter (where column_name is not null and not starts_with(column_name, '__')) as column_count,
+  count(*) filter (where column_name = '__aggregate_only__') as aggregate_only_models,
+  count(*) filter (where coalesce(starts_with(ai_note, '[PII'), false)) as pii_annotated_columns
+from ({_safe_sql('null')})""", SCHEMA_SQL, _seen_sql("")))
+def _(spark, sf):
+    return policy.schema_summary(policy.safe_schema(_schema_rows(spark, sf), *catalog(spark, sf)))
 
 
 # Policy of one table, as rows of its column policies.

@@ -329,7 +329,37 @@ def _(spark, sf):
         F.array_join("unmasked_medium", ",").alias("unmasked_medium"))
 
 
-@query("c05_compliance_report")
+_HIGH = "sensitivity in ('FINANCIAL', 'PII_HIGH')"
+_DONE = "column_name in ('ssn', 'card_number')"
+_ISSUES_SQL = """select format(chr(39) || '{}' || chr(39) || ': {}% nulls ({:,} rows)', c, round(k * 100.0 / n, 1)::double, k) as issue from (
+  select 'ssn' as c, count(*) filter (where ssn is null) as k, count(*) as n from people union all
+  select 'notes', count(*) filter (where notes is null), count(*) from people) where k > 0
+union all select format('{:,} fully duplicate rows detected', n - u) from (select count(*) as n from people),
+  (select count(*) as u from (select distinct ssn, notes, segment from people)) where n > u"""
+
+
+@query("c05_compliance_report", f"""with people as ({fx.PEOPLE_SQL}), scan as ({_scan_sql('people', PEOPLE)}),
+issues as ({_ISSUES_SQL}),
+facts as (select bool_or({_HIGH}) as personal, bool_or(sensitivity = 'FINANCIAL') as financial,
+  bool_or(pii_type = 'credit_card') as payment, bool_or(pii_type = 'health') as health,
+  coalesce(string_agg(column_name, ', ' order by column_name) filter (where {_HIGH} and not {_DONE}), '') as open_high,
+  count(*) filter (where sensitivity <> 'PUBLIC' and not {_HIGH} and not {_DONE}) as open_medium,
+  (select count(*) from issues) as n from scan)
+select 'classification' as section, column_name as item, sensitivity || ' | ' || pii_type || ' | ' ||
+  case when {_DONE} then 'YES' when sensitivity = 'PUBLIC' then '-' else 'NO' end as detail from scan
+union all select 'masking', column_name, sensitivity from scan where {_DONE}
+union all select 'quality', 'issue', issue from issues
+union all select 'regulation', 'GDPR / CCPA', 'personal data processing' from facts where personal
+union all select 'regulation', 'SOX', 'financial data integrity' from facts where financial
+union all select 'regulation', 'PCI-DSS', 'cardholder data' from facts where payment
+union all select 'regulation', 'HIPAA', 'health information' from facts where health
+union all select 'action', 'CRITICAL', 'Mask or remove high-risk columns before sharing: ' || open_high from facts where open_high <> ''
+union all select 'action', 'HIGH', 'Resolve data quality issues before production load.' from facts where n > 0
+union all select 'action', 'MEDIUM', 'Document a lawful basis for processing personal data.' from facts where personal
+union all select 'action', 'CRITICAL', 'Confirm PCI-DSS scope and tokenize card data at source.' from facts where payment
+union all select 'action', 'NONE', 'No critical actions required.' from facts where open_high = '' and n = 0
+union all select 'verdict', 'status', case when open_high <> '' then 'NON_COMPLIANT' when open_medium > 0 then 'NEEDS_REVIEW'
+  else 'COMPLIANT' end from facts""")
 def _(spark, sf):
     people = fx.people(spark, sf)
     return compliance.compliance_report(
@@ -337,7 +367,28 @@ def _(spark, sf):
         profile.quality_issues(people.select("ssn", "notes", "segment")))
 
 
-@query("c06_governance_catalog")
+def _choose(key: str, table_: dict) -> str:
+    return f"case {key} " + " ".join(f"when '{k}' then '{','.join(v)}'" for k, v in table_.items()) + " else '' end"
+
+
+_TAGS = _choose("sensitivity", compliance.SENSITIVITY_TAGS)
+_TITLE = "(select string_agg(upper(w[1]) || lower(w[2:]), ' ') from (select unnest(string_split(column_name, '_')) as w))"
+
+
+@query("c06_governance_catalog", f"""with people as ({fx.PEOPLE_SQL}), scan as ({_scan_sql('people', PEOPLE)}),
+prof as ({_profile_sql('people', [(c, 'x') for c in PEOPLE])})
+select column_name, sensitivity, pii_type,
+  case when column_name = 'ssn' then head || 'Masked by ETL pipeline (sha256_prefix).'
+    when sensitivity <> 'PUBLIC' then head || 'UNMASKED — review required before production.' else title end as description,
+  case when column_name = 'ssn' then 'masked_sha256_prefix' else 'unmasked' end as masking_status,
+  {_choose('pii_type', compliance.REGULATION_MAP)} as regulations,
+  concat_ws(',', case when pii_type <> 'none' and not list_contains(string_split({_TAGS}, ','), pii_type) then replace(pii_type, '_', '') end,
+    nullif({_TAGS}, '')) as tags, sensitivity <> 'PUBLIC' as review_required,
+  case when sensitivity = 'PUBLIC' then null when column_name = 'ssn' then 'APPROVED — masking applied'
+    else 'PENDING — decide: mask | pseudonymize | document lawful basis' end as review_action,
+  case when column_name = 'c_custkey' then 'unique,not_null' when null_pct = 0 then 'not_null' else '' end as tests
+from (select *, title || ' — ' || sensitivity || ': ' || pii_type || '. ' as head
+  from (select *, {_TITLE} as title from scan join (select column_name, null_pct from prof) using (column_name)))""")
 def _(spark, sf):
     people = fx.people(spark, sf)
     return compliance.governance_catalog(

@@ -114,14 +114,19 @@ def _(spark, sf):
     return ledger_stream.current_sessions(spark, out)
 
 
-@query("t05_gap_sessions")
+@query("t05_gap_sessions", f"""with e as (select tenant_id, user_id, try_cast(event_timestamp as timestamp) as t from {RAW}),
+marked as (select *, case when t - lag(t) over w >= interval 6 hour or lag(t) over w is null then 1 else 0 end as opens
+  from e where t is not null window w as (partition by tenant_id, user_id order by t)),
+numbered as (select *, sum(opens) over (partition by tenant_id, user_id order by t rows unbounded preceding) as s from marked)
+select tenant_id, user_id, min(t) as started, count(*) as events from numbered group by tenant_id, user_id, s
+having max(t) + interval 6 hour <= (select date_trunc('millisecond', max(t)) - interval 1 day from e)""")
 def _(spark, sf):
     path, mark = scratch_path(spark, "gaps"), scratch_path(spark, "ckpt")
     sessions = ledger_stream.gap_sessions(ledger_rows(spark, sf), "6 hours")
-    _finish(sessions.select("tenant_id", "user_id", F.col("session_window.start").alias("started"), "events")
+    _finish(sessions.select("tenant_id", "user_id", F.col("session_window.start").cast("timestamp_ntz").alias("started"), "events")
             .writeStream.format("parquet").option("path", path).option("checkpointLocation", mark)
             .trigger(availableNow=True).start())
-    return spark.read.schema("tenant_id string, user_id string, started timestamp, events bigint").parquet(path)
+    return spark.read.schema("tenant_id string, user_id string, started timestamp_ntz, events bigint").parquet(path)
 
 
 @query("t06_late_events_rebuild", f"""select tenant_id, count(*) as events from {RAW} group by 1""")
