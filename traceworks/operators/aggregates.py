@@ -58,20 +58,6 @@ def distinct_list(col: str | Column, sep: str = ", ") -> Column:
     return F.array_join(F.sort_array(F.collect_set(col)), sep)
 
 
-def ordered_list(value: Column, order: list[Column], sep: str, keep: Cond | None = None) -> Column:
-    """Values joined in the order of ``order``, NULLs last; '' when there is none.
-
-    Rows that carry no value add nothing to the group buffer.
-    """
-    item = F.struct(
-        *[c.alias(f"{p}{i}") for i, o in enumerate(order) for p, c in (("n", o.isNull()), ("o", o))],
-        value.alias("v"),
-    )
-    wanted = value.isNotNull() if keep is None else value.isNotNull() & safe(keep)
-    kept = F.sort_array(F.collect_list(F.when(wanted, item)))
-    return F.array_join(F.transform(kept, lambda x: x["v"]), sep)
-
-
 def rate_pct(part: Column, whole: Column, digits: int = 1) -> Column:
     """``part`` per hundred of ``whole``, NULL when ``whole`` is zero."""
     whole = whole.cast("double")

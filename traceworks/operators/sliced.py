@@ -10,10 +10,58 @@ the slice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _slice_of(ts: str, tiebreak: str, unit: str) -> Column:
+    """Sortable slice of a row; rows without a time are sliced by the head of
+    the tiebreak column, which sorts the same way as the column itself."""
+    missing = F.col(ts).isNull()
+    return F.struct(missing.alias("late"), F.date_trunc(unit, ts).alias("at"),
+                    F.when(missing, F.substring(F.col(tiebreak), 1, 6)).alias("head"))
+
+
+def ordered_texts(
+    df: DataFrame,
+    keys: list[str],
+    ts: str,
+    tiebreak: str,
+    texts: dict[str, tuple[str, str, str]],
+    slice_unit: str = "hour",
+) -> DataFrame:
+    """Per group, values joined in time order: ``texts`` maps a result name to
+    (value column, condition, separator). Groups without any value are absent.
+
+    Values are sorted and joined inside time slices first, in parallel; the
+    last step only strings a group's slices together.
+    """
+    wanted = {n: F.col(v).isNotNull() & F.coalesce(F.expr(c), F.lit(False)) for n, (v, c, _) in texts.items()}
+    any_wanted = reduce(lambda a, b: a | b, wanted.values())
+    order = [F.col(ts).isNull(), F.col(ts), F.col(tiebreak)]
+
+    def joined(items: Column, sep: str) -> Column:
+        kept = F.sort_array(F.collect_list(items))
+        return F.when(F.size(kept) > 0, F.array_join(F.transform(kept, lambda x: x["v"]), sep))
+
+    def item(value: str, cond: Column, place: list[Column]) -> Column:
+        return F.when(cond, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(place)], F.col(value).alias("v")))
+
+    slices = (
+        df.where(any_wanted).groupBy(F.struct(*keys).alias("_g"), _slice_of(ts, tiebreak, slice_unit).alias("_s"))
+        .agg(*[joined(item(v, wanted[n], order), sep).alias(n) for n, (v, _, sep) in texts.items()]))
+    return slices.groupBy("_g").agg(*[
+        joined(item(n, F.col(n).isNotNull(), [F.col("_s")]), sep).alias(n) for n, (_, _, sep) in texts.items()])
+
+
+def with_texts(grouped: DataFrame, keys: list[str], texts: DataFrame, names: list[str]) -> DataFrame:
+    """Grouped rows with their ordered texts, '' where a group has none."""
+    joined = grouped.withColumn("_g", F.struct(*keys)).join(texts, "_g", "left").drop("_g")
+    return joined.withColumns({n: F.coalesce(n, F.lit("")) for n in names})
+
+
 def sequence_in_group(
     df: DataFrame,
     keys: list[str],
@@ -23,15 +71,8 @@ def sequence_in_group(
 ) -> DataFrame:
     """Add ``event_sequence`` (1..n by time, NULL times last), ``group_start``,
     ``group_end`` and ``prev_ts`` (time of the row before) to every row.
-
-    Rows without a time are sliced by the head of the tiebreak column, which
-    sorts the same way as the column itself.
     """
-    slice_key = F.struct(
-        F.col(ts).isNull().alias("late"),
-        F.date_trunc(slice_unit, ts).alias("at"),
-        F.when(F.col(ts).isNull(), F.substring(F.col(tiebreak), 1, 6)).alias("head"),
-    )
+    slice_key = _slice_of(ts, tiebreak, slice_unit)
     # Struct keys compare NULL fields as equal, so NULL groups keep their rows.
     keyed = df.withColumn("_gs", F.struct(F.struct(*keys).alias("g"), slice_key.alias("s")))
 

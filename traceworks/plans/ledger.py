@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from traceworks.functions.times import day, millis_between, minutes_between, parse_ts
 from traceworks.operators.aggregates import (
-    distinct_counts, distinct_list, first_match, most_severe, ordered_list, rate_pct, safe, some, tally,
+    distinct_counts, distinct_list, first_match, most_severe, rate_pct, safe, some, tally,
     vocabulary_size,
 )
-from traceworks.operators.sliced import sequence_in_group
+from traceworks.operators.sliced import ordered_texts, sequence_in_group, with_texts
 
 # Event vocabularies the flags are defined over.
 SQL_EVENTS = ["sql_generated", "sql_validated", "sql_blocked", "sql_executed"]
@@ -67,15 +67,21 @@ def request_timeline(staged: DataFrame, slice_unit: str = "minute") -> DataFrame
     }).drop("group_start", "group_end", "prev_ts")
 
 
-def in_event_order(col: str, keep: str, sep: str) -> Column:
-    order = [F.col("event_timestamp"), F.col("trace_id")]
-    return ordered_list(F.col(col), order, sep, keep=keep)
+BOUNDARY_RISKS = ("risk_flags", "is_boundary_violation", ", ")
+AGENT_ACTIONS = ("ai_action_summary", "is_agent_event", " | ")
+
+
+def in_event_order(staged: DataFrame, keys: list[str], **texts: tuple[str, str, str]) -> DataFrame:
+    return ordered_texts(staged, keys, "event_timestamp", "trace_id", texts)
+
+
+SESSION_KEYS = ["tenant_id", "workspace_id", "user_id", "session_id"]
 
 
 def session_summary(staged: DataFrame) -> DataFrame:
     """One row per session with volume, governance counts and a risk level."""
     ts = F.col("event_timestamp")
-    return staged.groupBy("tenant_id", "workspace_id", "user_id", "session_id").agg(
+    grouped = staged.groupBy(*SESSION_KEYS).agg(
         F.min(ts).alias("session_started_at"),
         F.max(ts).alias("session_last_activity_at"),
         minutes_between(F.min(ts), F.max(ts)).alias("session_duration_minutes"),
@@ -97,7 +103,6 @@ def session_summary(staged: DataFrame) -> DataFrame:
             high_sensitivity_events="is_high_sensitivity",
             pii_events=PII,
         ),
-        in_event_order("risk_flags", "is_boundary_violation", ", ").alias("boundary_violation_risks"),
         first_match([
             (some("is_boundary_violation"), "CRITICAL"),
             (some(kind("sql_blocked")), "HIGH"),
@@ -105,6 +110,8 @@ def session_summary(staged: DataFrame) -> DataFrame:
             (some("is_error"), "LOW"),
         ], "NONE").alias("session_risk_level"),
     )
+    risks = in_event_order(staged, SESSION_KEYS, boundary_violation_risks=BOUNDARY_RISKS)
+    return with_texts(grouped, SESSION_KEYS, risks, ["boundary_violation_risks"])
 
 
 REQUEST_KEYS = ["tenant_id", "workspace_id", "user_id", "session_id", "request_id", "etl_run_id"]
@@ -137,9 +144,7 @@ def request_summary(staged: DataFrame, one_row_per_request: bool = False) -> Dat
         most_severe("sensitivity_level").alias("highest_sensitivity_level"),
         some(PII).cast("int").alias("pii_detected"),
         distinct_list("pii_fields").alias("all_pii_fields"),
-        in_event_order("ai_action_summary", "is_agent_event", " | ").alias("agent_actions_taken"),
         some("is_boundary_violation").cast("int").alias("boundary_violated"),
-        in_event_order("risk_flags", "is_boundary_violation", ", ").alias("boundary_violation_risks"),
         F.max("model_name").alias("primary_model"),
         distinct_list("datasource_name").alias("datasources_touched"),
         F.max(F.when(F.col("is_policy_blocked"), F.col("error_message"))).alias("policy_block_reason"),
@@ -158,6 +163,8 @@ def request_summary(staged: DataFrame, one_row_per_request: bool = False) -> Dat
     sql_blocked = F.col("sql_blocked_count") > 0
     errors = F.col("error_count") > 0
     request = Window.partitionBy("tenant_id", "request_id")
+    texts = in_event_order(events, keys, agent_actions_taken=AGENT_ACTIONS, boundary_violation_risks=BOUNDARY_RISKS)
+    grouped = with_texts(grouped, keys, texts, ["agent_actions_taken", "boundary_violation_risks"])
     return grouped.withColumns({
         "total_request_ms": millis_between(
             F.min("request_started_at").over(request), F.max("request_ended_at").over(request)),

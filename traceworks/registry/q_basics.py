@@ -11,6 +11,7 @@ from traceworks.functions.redact import redact_label
 from traceworks.operators import aggregates as agg
 from traceworks.operators import clean, dedup, profile
 from traceworks.plans import ledger, marts, summary
+from traceworks.operators.sliced import with_texts
 from traceworks.registry.base import query, table
 from traceworks.registry.q_audit import RUNS, runs
 from traceworks.registry.q_ledger import DIM_USERS, SESSION_SQL, TIMELINE_SQL, VIOLATIONS_SQL, staged
@@ -46,8 +47,9 @@ def _(spark, sf):
 @query("a05_ordered_lists", over_staged(f"""select session_id, {olist('ai_action_summary', 'is_agent_event', ' | ')} as actions
   from staged group by 1"""))
 def _(spark, sf):
-    return staged(spark, sf).groupBy("session_id").agg(
-        ledger.in_event_order("ai_action_summary", "is_agent_event", " | ").alias("actions"))
+    rows = staged(spark, sf)
+    texts = ledger.in_event_order(rows, ["session_id"], actions=ledger.AGENT_ACTIONS)
+    return with_texts(rows.select("session_id").distinct(), ["session_id"], texts, ["actions"])
 
 
 @query("a06_conditional_max", over_staged("""select request_id, max(question_text) filter (where event_type = 'request_received') as question,

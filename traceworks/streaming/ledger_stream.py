@@ -10,7 +10,7 @@ from traceworks.functions.redact import mask_credentials
 from traceworks.functions.times import parse_ts
 from traceworks.operators.aggregates import tally
 from traceworks.operators.dedup import keep_last
-from traceworks.plans.ledger import kind, session_summary, staged_events
+from traceworks.plans.ledger import SESSION_KEYS, kind, session_summary, staged_events
 from traceworks.sources.sinks import ParquetLedger
 
 ALL_AT_HAND = {"availableNow": True}
@@ -63,9 +63,6 @@ def live_risk(raw: DataFrame, delay: str = "1 day") -> DataFrame:
              "total_sql_events", "sql_generated", "sql_blocked", "errors", "distinct_sql_approx")
 
 
-SESSION_KEYS = ["tenant_id", "workspace_id", "user_id", "session_id"]
-
-
 def roll_up_sessions(raw: DataFrame, ledger_path: str, out_path: str, checkpoint: str,
                      trigger: dict | None = None) -> StreamingQuery:
     """Session rows kept up to date: each batch is added to the ledger, and the
