@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from traceworks.operators.dedup import append_new, sync
 from traceworks.operators.quantiles import exact_percentiles
-from traceworks.operators.sliced import sequence_in_group
+from traceworks.operators.sliced import ordered_texts, sequence_in_group
 from traceworks.plans import emit, ledger, replay
 from traceworks.plans.emit import LEDGER_COLUMNS
 from traceworks.sources.sinks import ParquetLedger
@@ -109,6 +109,18 @@ def test_sequence_matches_plain_ranking_with_a_hot_group_and_missing_times(spark
             assert (pd.isna(r.prev) and pd.isna(got.loc[r.id, "prev_ts"])) or got.loc[r.id, "prev_ts"] == r.prev
 
 
+def test_texts_are_joined_in_time_order_over_slices(spark):
+    start = dt.datetime(2024, 1, 1)
+    data = [("hot" if i % 3 else None, None if i % 13 == 0 else start + dt.timedelta(minutes=(i * 577) % 900),
+             f"id{i:04d}", None if i % 5 == 0 else ("" if i % 7 == 0 else f"v{i}"), i % 2 == 0) for i in range(300)]
+    df = spark.createDataFrame(data, "g string, ts timestamp_ntz, id string, v string, ok boolean")
+    got = {r["_g"]["g"]: r["x"] for r in ordered_texts(df, ["g"], "ts", "id", {"x": ("v", "ok", "|")}).collect()}
+    for g in ("hot", None):
+        rows = sorted((r for r in data if r[0] == g and r[4] and r[3] is not None),
+                      key=lambda r: (r[1] is None, r[1] or start, r[2]))
+        assert got[g] == "|".join(r[3] for r in rows)
+
+
 @pytest.mark.parametrize("p", [0.0, 0.5, 0.95, 1.0])
 def test_percentiles_match_pandas_on_skewed_values(spark, p):
     values = [("a", float((i * i) % 977)) for i in range(500)] + [("a", 3.0)] * 400 + [("b", 7.0)] + [(None, float(i)) for i in range(10)]

@@ -1,4 +1,4 @@
-"""Small summaries: chart check, merged test lists, pipeline summary lines."""
+"""Small summaries: chart check, merged test lists, run summary lines."""
 
 from __future__ import annotations
 
@@ -32,7 +32,7 @@ def merged_tests(*lists: DataFrame) -> DataFrame:
     return normal.where((F.col("kind") != "") & (F.col("column_name") != "")).distinct()
 
 
-def pipeline_summary(runs: DataFrame) -> DataFrame:
+def run_summary(runs: DataFrame) -> DataFrame:
     """Ingest, quality and artifact lines per run."""
     return runs.select(
         "run_id",

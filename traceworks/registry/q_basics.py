@@ -217,12 +217,12 @@ def _(spark, sf):
         F.expr("if(s_suppkey % 2 = 0, array('export'), array())")), ",").alias("actions"))
 
 
-@query("c08_pipeline_summary", f"""select run_id, '[INGEST]  ' || table_name || ' (' || format('{{:,}}', row_count) || ' rows)' as ingest_line,
+@query("c08_run_summary", f"""select run_id, '[INGEST]  ' || table_name || ' (' || format('{{:,}}', row_count) || ' rows)' as ingest_line,
   case when failed_steps = 0 then '[QUALITY] CLEAN' else '[QUALITY] ' || failed_steps || ' issue(s)' end as quality_line,
   case when total_steps > 0 then '[DBT]     ' || total_steps || ' artifact(s) generated' else '[DBT]     Not run' end as artifact_line
 from ({RUNS})""")
 def _(spark, sf):
-    return summary.pipeline_summary(runs(spark, sf).withColumnsRenamed({"failed_steps": "issues", "total_steps": "artifacts"}))
+    return summary.run_summary(runs(spark, sf).withColumnsRenamed({"failed_steps": "issues", "total_steps": "artifacts"}))
 
 
 @query("w08_last_row_per_key", """select * exclude (rn) from (select *, row_number() over (partition by o_custkey

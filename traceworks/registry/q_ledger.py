@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from traceworks import fixtures as fx
 from traceworks.plans import ledger, marts
 from traceworks.registry.base import query

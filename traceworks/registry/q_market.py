@@ -160,9 +160,31 @@ def _(spark, sf):
     return named.join(F.broadcast(market.context_table(spark)), "ticker", "left")
 
 
-@query("v06_indicator_series")
+def _series_sql() -> str:
+    """Every bar's indicators from the closes up to it."""
+    keep = repr(1 - 1.0 / 14)
+    (af, asl, asg) = (2.0 / (s + 1) for s in (12, 26, 9))
+    f, s = f"(p.f * {1 - af!r}::double + x.f * {af!r}::double)", f"(p.s * {1 - asl!r}::double + x.s * {asl!r}::double)"
+    return f"""select ticker, tf, ts, close, round(case when i > 14 and w.l > 0 then 100 - 100 / (1 + w.g / w.l) end, 4) as rsi,
+  round(m.f - m.s, 4) as macd, round(m.g, 4) as macd_signal,
+  round(case when i >= 20 then list_avg(h[-20:]) + 2 * list_stddev_samp(h[-20:]) end, 4) as bb_upper,
+  round(case when i >= 20 then list_avg(h[-20:]) - 2 * list_stddev_samp(h[-20:]) end, 4) as bb_lower,
+  round({ema_sql('h', 21)}, 4) as ema_21, round({ema_sql('h', 50)}, 4) as ema_50
+from (select *, h[-1] as close, case when i > 1 then list_reduce(list_transform(list_zip(h[:-2], h[2:]),
+      lambda t: {{'g': greatest(t[2] - t[1], 0), 'l': greatest(t[1] - t[2], 0)}}),
+      lambda p, x: {{'g': p.g * {keep}::double + x.g, 'l': p.l * {keep}::double + x.l}}) end as w,
+    list_reduce(list_transform(h, lambda x: {{'f': x, 's': x, 'g': 0.0::double}}),
+      lambda p, x: {{'f': {f}, 's': {s}, 'g': p.g * {1 - asg!r}::double + ({f} - {s}) * {asg!r}::double}}) as m
+  from (select ticker, tf, i, times[i] as ts, c[:i] as h from (select *, unnest(range(1, n + 1)) as i from (
+    select ticker, tf, count(*) as n, list(close order by ts) as c, list(ts order by ts) as times
+    from {newest_sql(ALL_BARS_SQL)} group by 1, 2))))"""
+
+
+@query("v06_indicator_series", _series_sql())
 def _(spark, sf):
-    return ind.indicator_series(all_bars(spark, sf))
+    series = ind.indicator_series(all_bars(spark, sf))
+    numbers = ["rsi", "macd", "macd_signal", "bb_upper", "bb_lower", "ema_21", "ema_50"]
+    return series.withColumns({c: F.round(c, 4) for c in numbers})
 
 
 _EMA_TEXT = "nullif(concat_ws(' | ', " + ", ".join(

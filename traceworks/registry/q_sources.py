@@ -13,7 +13,7 @@ from traceworks.registry.base import query, table
 from traceworks.registry.q_audit import RUNS, runs
 from traceworks.registry.q_ledger import REQUEST_CTES, staged
 from traceworks.registry.q_policy import MODELS_SQL, MODEL_META, _NODE, _SCALARS
-from traceworks.registry.q_quality import CLEAN_CONFIG, CLEAN_SQL, _mask_sql, _summarise_sql, lit
+from traceworks.registry.q_quality import CLEAN_CONFIG, CLEAN_SQL, _mask_sql, _summarise_sql
 from traceworks.registry.sql import over_staged, pct
 from traceworks.operators.clean import clean
 from traceworks.sources import bars_source, files, sinks, warehouse

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from traceworks import fixtures as fx
 from traceworks.operators.clean import TableConfig
 from traceworks.registry.base import query, table
-from traceworks.registry.q_audit import CONTROLLED, nanos_sql, usd_sql  # noqa: F401
+from traceworks.registry.q_audit import CONTROLLED, usd_sql
 from traceworks.registry.q_ledger import SESSION_SQL
 from traceworks.registry.q_quality import _mask_sql
 from traceworks.registry.sql import over_staged
