@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceworks.llm import substring, suffixdedup
+from traceworks.llm import minhash, substring, suffixdedup
 from traceworks.sources.tables import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def query(name: str, oracle: str | None = None):
     return wrap
 
 
+@query("op2_minhash_near_dedup")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents"), shingle=4)
+
+
 @query("op3_substring_dedup")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     out = substring.remove_repeats(table(spark, sf, "documents"))
