@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceworks.llm import grams
-from traceworks.llm.common import same_key
+from traceworks.llm.common import with_list
 
-ANCHORS = "doc_id long, tag long, anchors array<long>, again array<boolean>"
+ANCHORS = "doc_id long, anchors array<long>, again array<boolean>"
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:
@@ -59,22 +59,31 @@ def anchor_rows(docs: DataFrame, find: Callable) -> DataFrame:
                 again = np.diff(np.append(at, len(hashes))) > 1
                 counts = np.bincount(text[at], minlength=hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[lo:hi], batch.column("tag")[lo:hi],
+                    [batch.column("doc_id")[lo:hi],
                      list_column(hashes[at].view(np.int64), counts, pa.int64()),
-                     list_column(again, counts, pa.bool_())], ["doc_id", "tag", "anchors", "again"])
+                     list_column(again, counts, pa.bool_())], ["doc_id", "anchors", "again"])
 
     return docs.mapInArrow(work, ANCHORS)
 
 
 def with_shared(docs: DataFrame, find: Callable) -> DataFrame:
     """``docs`` with ``shared``: its anchors that occur more than once anywhere (null where it has none)."""
-    one = anchor_rows(docs, find).select(
-        "doc_id", "tag", F.explode(F.arrays_zip("anchors", "again")).alias("a")).select(
-        "doc_id", "tag", F.col("a.anchors").alias("anchor"), F.col("a.again").alias("again"))
+    one = anchor_rows(docs, find).select("doc_id", F.explode(F.arrays_zip("anchors", "again")).alias("a")).select(
+        "doc_id", F.col("a.anchors").alias("anchor"), F.col("a.again").alias("again"))
     shared = one.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where(
         "n > 1 or again").select("anchor")
-    found = one.join(shared, "anchor").groupBy("doc_id", "tag").agg(F.collect_list("anchor").alias("shared"))
-    return docs.join(found, same_key(docs, found), "left").select(docs["*"], found["shared"])
+    return with_list(docs, one.select("doc_id", "anchor").join(shared, "anchor"), "shared")
+
+
+def own(batch: pa.RecordBatch, name: str, lo: int, hi: int) -> tuple[np.ndarray, pa.StructArray]:
+    """Items of a list column for texts ``lo`` to ``hi`` that carry the text's own tag, and the text of each."""
+    lists = batch.column(name)[lo:hi]
+    items = lists.flatten()
+    text = np.repeat(np.arange(hi - lo), np.diff(lists.offsets.to_numpy()))
+    if lists.null_count:
+        text = np.repeat(np.arange(hi - lo), lists.value_lengths().fill_null(0).to_numpy())
+    mine = items.field("tag").to_numpy() == batch.column("tag")[lo:hi].to_numpy()[text]
+    return text[mine], items.filter(pa.array(mine))
 
 
 def allowed(best: np.ndarray, inside: np.ndarray, hashes: np.ndarray, shared: np.ndarray) -> np.ndarray:

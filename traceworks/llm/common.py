@@ -31,23 +31,29 @@ def drop_written(df: DataFrame) -> None:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tag, text): the id as given, a digest of the text, the text with null as empty.
+    """(doc_id, tag, text): the id as given, a short digest of the text, the text with null as empty.
 
     Rows that agree in id and text are one document; rows that share only the id stay apart by the tag.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text).alias("tag"), text.alias("text"))
 
 
-def same_key(left: DataFrame, right: DataFrame) -> Column:
-    """Null-safe equality of (doc_id, tag)."""
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["tag"] == right["tag"])
+def with_list(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the column ``name``: the list of other columns of ``rows`` that have its doc_id, or null.
+
+    Every such join deals the texts out by doc_id alone, so one exchange of them serves several joins of a plan.
+    """
+    columns = [c for c in rows.columns if c != "doc_id"]
+    item = F.struct(*columns) if len(columns) > 1 else F.col(columns[0])
+    lists = rows.groupBy("doc_id").agg(F.collect_list(item).alias(name))
+    return docs.join(lists, docs["doc_id"].eqNullSafe(lists["doc_id"]), "left").select(docs["*"], lists[name])
 
 
 def boxed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tag, text, row): all given columns kept aside in ``row``, so that no name can clash."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"),
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text).alias("tag"), text.alias("text"),
                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceworks.llm import minhash, substring, suffixdedup
+from traceworks.llm import minhash, quality, substring, suffixdedup
 from traceworks.sources.tables import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,12 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op8_quality_rules")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 @query("op9_suffix_dedup")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     out = suffixdedup.remove_repeated_bytes(table(spark, sf, "documents"))

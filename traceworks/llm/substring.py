@@ -18,16 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceworks.llm import grams
-from traceworks.llm.anchors import (allowed, anchored_runs, flat_shared, list_column, places, raw_texts, with_shared,
-                                    word_grams)
-from traceworks.llm.common import keyed, same_key
+from traceworks.llm.anchors import allowed, anchored_runs, flat_shared, own, places, raw_texts, with_shared, word_grams
+from traceworks.llm.common import keyed, with_list
 
-BLOCKS = "doc_id long, tag long, anchor long, block long, start int, n int"
-WINDOWS = "doc_id long, tag long, start int, hash long"
+BLOCKS = "doc_id long, tag int, anchor long, block long, start int, n int"
+WINDOWS = "doc_id long, tag int, start int, hash long"
 KEPT = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<first:int,last:int>>"
 
 
@@ -78,12 +77,10 @@ def _windows(window: int):
             for lo, hi in grams.chunked(texts):
                 w = grams.words(texts[lo:hi])
                 h = grams.runs(w.hashes, window)
-                lists = batch.column("asked")[lo:hi]
-                counts = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten()
-                start = flat.field("start").to_numpy().astype(np.int64)
-                n = flat.field("n").to_numpy().astype(np.int64)
-                text = np.repeat(np.repeat(np.arange(hi - lo), counts), n)
+                text, asked = own(batch, "asked", lo, hi)
+                start = asked.field("start").to_numpy().astype(np.int64)
+                n = asked.field("n").to_numpy().astype(np.int64)
+                text = np.repeat(text, n)
                 place = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[lo:hi].take(pa.array(text)), batch.column("tag")[lo:hi].take(pa.array(text)),
@@ -101,12 +98,9 @@ def _cut(window: int):
             texts = raw_texts(batch.column("text"))
             for lo, hi in grams.chunked(texts):
                 w = grams.words(texts[lo:hi])
-                lists = batch.column("found")[lo:hi]
-                counts = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten()
-                text = np.repeat(np.arange(hi - lo), counts)
-                start = w.first[text] + flat.field("start").to_numpy().astype(np.int64)
-                out = grams.covered(start, flat.field("n").to_numpy().astype(np.int64) + window - 1, len(w.starts))
+                text, found = own(batch, "found", lo, hi)
+                start = w.first[text] + found.field("start").to_numpy().astype(np.int64)
+                out = grams.covered(start, found.field("n").to_numpy().astype(np.int64) + window - 1, len(w.starts))
                 kept, spans, n_spans, removed = [], [], [], []
                 for t in range(hi - lo):
                     a, b = w.first[t], w.first[t + 1]
@@ -130,7 +124,7 @@ def _cut(window: int):
     return work
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 8, id_col: str = "doc_id",
+def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept, spans): words left after removing every repeated window but its first.
 
@@ -140,29 +134,28 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 8, id_col: str
     docs = keyed(docs, id_col, text_col)
     blocks = with_shared(docs, _finder(gram, window)).where("shared is not null").mapInArrow(
         _blocks(gram, window), BLOCKS)
-    # The index: every distinct block at its earliest place.
-    index = blocks.groupBy("anchor", "block").agg(
-        F.min(F.struct("doc_id", "tag", "start", "n")).alias("at"), F.count(F.lit(1)).alias("places"))
+    place = ["doc_id", "tag", "start"]
+    # The index: every distinct block at its earliest place. The hash of a block's content tells its anchor too.
+    index = blocks.groupBy("block").agg(
+        F.min(F.struct(*place, "n", "anchor")).alias("at"), F.count(F.lit(1)).alias("places"))
     # Factors: blocks that the index has earlier are copied whole.
-    known = index.where("places > 1").select("anchor", "block", "at")
-    b = blocks.alias("b")
-    copies = b.join(known, ["anchor", "block"]).where(
-        ~(F.col("b.doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("b.tag") == F.col("at.tag"))
-          & (F.col("b.start") == F.col("at.start")))).select("b.doc_id", "b.tag", "b.start", "b.n")
+    copies = blocks.select("block", *place, "n").join(index.where("places > 1").select("block", "at"), "block").where(
+        ~_at_place()).select(*place, "n")
     # Boundaries: first occurrences whose anchor has other blocks too are checked window by window.
-    several = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    asked = index.join(several, "anchor", "left_semi").select("at.*").groupBy("doc_id", "tag").agg(
-        F.collect_list(F.struct("start", "n")).alias("asked"))
-    windows = docs.join(asked, same_key(docs, asked)).select(docs["*"], asked["asked"]).mapInArrow(
-        _windows(window), WINDOWS)
-    earliest = windows.groupBy("hash").agg(
-        F.min(F.struct("doc_id", "tag", "start")).alias("at"), F.max(F.struct("doc_id", "tag", "start")).alias("last"))
-    w = windows.alias("w")
-    checked = w.join(earliest.where("at != last").select("hash", "at"), "hash").where(
-        ~(F.col("w.doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("w.tag") == F.col("at.tag"))
-          & (F.col("w.start") == F.col("at.start")))).select("w.doc_id", "w.tag", "w.start", F.lit(1).alias("n"))
-    found = copies.union(checked).distinct().groupBy("doc_id", "tag").agg(
-        F.collect_list(F.struct("start", "n")).alias("found"))
-    empty = F.array().cast("array<struct<start:int,n:int>>")
-    return docs.join(found, same_key(docs, found), "left").select(
-        docs["*"], F.coalesce(found["found"], empty).alias("found")).mapInArrow(_cut(window), KEPT)
+    first = index.select("at.*")
+    several = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").select("anchor")
+    asked = first.join(several, "anchor", "left_semi").select(*place, "n")
+    windows = with_list(docs, asked, "asked").where("asked is not null").mapInArrow(_windows(window), WINDOWS)
+    twice = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    windows = windows.join(twice, "hash")
+    earliest = windows.groupBy("hash").agg(F.min(F.struct(*place)).alias("at"))
+    checked = windows.join(earliest, "hash").where(~_at_place()).select(*place, F.lit(1).alias("n"))
+    return with_list(docs, copies.union(checked).distinct(), "found").withColumn(
+        "found", F.coalesce("found", F.array().cast("array<struct<tag:int,start:int,n:int>>"))).mapInArrow(
+        _cut(window), KEPT)
+
+
+def _at_place() -> Column:
+    """Whether a row stands at the place ``at``."""
+    return F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("tag") == F.col("at.tag")) & (
+        F.col("start") == F.col("at.start"))

@@ -22,18 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceworks.llm import grams
-from traceworks.llm.anchors import allowed, anchored_runs, flat_shared, list_column, places, raw_texts, with_shared
-from traceworks.llm.common import keyed, same_key
+from traceworks.llm.anchors import allowed, anchored_runs, flat_shared, own, places, raw_texts, with_shared
+from traceworks.llm.common import keyed, with_list
 from traceworks.llm.suffixes import common_prefixes, suffix_array
 
 #: Neighbourhoods of one anchor that one shard takes, and the bytes after which a shard is closed.
 SALT_ROWS = 256
 SHARD_BYTES = 1 << 20
 
-BLOCKS = "doc_id long, tag long, anchor long, block long, start int, n int"
-PIECES = "anchor long, salt int, salts int, doc_id long, tag long, start int, n int, known boolean, piece binary"
-FOUND = ("doc_id long, tag long, start int, n int, anchor long, part int, salt int, prints array<long>, "
-         "owners array<long>, tags array<long>, starts array<int>, known array<boolean>")
+BLOCKS = "doc_id long, tag int, anchor long, block long, start int, n int"
+PIECES = "anchor long, salt int, salts int, doc_id long, tag int, start int, n int, known boolean, piece binary"
+FOUND = ("doc_id long, tag int, start int, n int, anchor long, part int, salt int, prints array<long>, "
+         "owners array<long>, tags array<int>, starts array<int>, known array<boolean>")
 KEPT = "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<first:int,last:int>>"
 
 
@@ -87,16 +87,11 @@ def _pieces(window: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = raw_texts(batch.column("text"))
-            lists = batch.column("asked")
-            counts = np.diff(lists.offsets.to_numpy())
-            edge = np.append(0, np.cumsum(counts))
-            asked = lists.flatten()
-            start, n = (asked.field(c).to_numpy().astype(np.int64) for c in ("start", "n"))
             for lo, hi in grams.chunked(texts):
-                rows = slice(edge[lo], edge[hi])
-                of = np.repeat(np.arange(lo, hi), counts[lo:hi])
-                pieces = [texts[t][i : i + m - 1 + window] for t, i, m in zip(of, start[rows], n[rows])]
-                part = asked[rows]
+                of, part = own(batch, "asked", lo, hi)
+                of = of + lo
+                start, n = (part.field(c).to_pylist() for c in ("start", "n"))
+                pieces = [texts[t][i : i + m - 1 + window] for t, i, m in zip(of, start, n)]
                 yield pa.RecordBatch.from_arrays(
                     [part.field("anchor"), part.field("salt"), part.field("salts"),
                      batch.column("doc_id").take(pa.array(of)), batch.column("tag").take(pa.array(of)),
@@ -153,8 +148,8 @@ def _shard(window: int):
                             "owners": [rows[i]["doc_id"] for i in row[some]], "tags": [rows[i]["tag"] for i in row[some]],
                             "starts": [rows[i]["start"] + int(k) for i, k in zip(row[some], offset[some])],
                             "known": (repeated[some] | known[row[some]]).tolist()})
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(),
-                 pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()),
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(),
+                 pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()),
                  pa.list_(pa.bool_())]
         for i in range(0, len(out), 2000):
             yield pa.RecordBatch.from_arrays(
@@ -194,7 +189,7 @@ def _merge(key, tables):
             for name, column in (("doc_id", "owners"), ("tag", "tags"), ("start", "starts")):
                 out[name].append(row.column(column)[0][int(k)].as_py())
             out["n"].append(1)
-    return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "tag": pa.array(out["tag"], pa.int64()),
+    return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "tag": pa.array(out["tag"], pa.int32()),
                      "start": pa.array(out["start"], pa.int32()), "n": pa.array(out["n"], pa.int32())})
 
 
@@ -202,14 +197,15 @@ def _cut(window: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = raw_texts(batch.column("text"))
-            founds = batch.column("found")
             for lo, hi in grams.chunked(texts):
+                of, found = own(batch, "found", lo, hi)
+                start, n = (found.field(c).to_numpy().astype(np.int64) for c in ("start", "n"))
+                edges = np.searchsorted(of, np.arange(hi - lo + 1))
                 kept, removed, spans, n_spans = [], [], [], []
                 for t in range(lo, hi):
                     a = np.frombuffer(texts[t], np.uint8)
-                    found = founds[t].values
-                    out = grams.covered(found.field("start").to_numpy().astype(np.int64),
-                                        found.field("n").to_numpy().astype(np.int64) + window - 1, len(a))
+                    mine = slice(edges[t - lo], edges[t - lo + 1])
+                    out = grams.covered(start[mine], n[mine] + window - 1, len(a))
                     edge = np.diff(np.concatenate(([0], out.view(np.int8), [0])))
                     runs = np.stack((np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1), 1)
                     kept.append(a[~out].tobytes())
@@ -237,30 +233,24 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 400, gram: int = 32, id
     docs = keyed(docs, id_col, text_col)
     blocks = with_shared(docs, _finder(gram, window)).where("shared is not null").mapInArrow(
         _blocks(gram, window), BLOCKS)
-    place = F.struct("doc_id", "tag", "start", "n")
-    index = blocks.groupBy("anchor", "block").agg(F.min(place).alias("at"), F.max(place).alias("last"))
-    whole = index.where("at != last").select("anchor", "block")
-    b = blocks.alias("b")
-    copies = b.join(whole, ["anchor", "block"]).select("b.doc_id", "b.tag", "b.start", "b.n")
-
-    several = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").withColumn(
-        "salts", F.ceil(F.col("blocks") / SALT_ROWS).cast("int"))
-    asked = index.join(several, "anchor").select(
-        "at.doc_id", "at.tag", F.struct(
-            F.col("at.start").alias("start"), F.col("at.n").alias("n"), "anchor",
-            F.expr("cast(pmod(block, salts) as int)").alias("salt"), "salts",
-            (F.col("at") != F.col("last")).alias("known")).alias("ask")).groupBy("doc_id", "tag").agg(
-        F.collect_list("ask").alias("asked"))
-    pieces = docs.join(asked, same_key(docs, asked)).select(docs["*"], asked["asked"]).mapInArrow(
-        _pieces(window), PIECES)
+    place = ["doc_id", "tag", "start", "n"]
+    # Every distinct block at its first and last place; the hash of its content tells its anchor too.
+    index = blocks.groupBy("block").agg(
+        F.min(F.struct(*place, "anchor")).alias("at"), F.max(F.struct(*place, "anchor")).alias("last"))
+    copies = blocks.join(index.where("at != last").select("block"), "block").select(*place)
+
+    first = index.select("at.*", "block", (F.col("at") != F.col("last")).alias("known"))
+    several = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").select(
+        "anchor", F.ceil(F.col("blocks") / SALT_ROWS).cast("int").alias("salts"))
+    asked = first.join(several, "anchor").select(
+        *place, "anchor", F.expr("cast(pmod(block, salts) as int)").alias("salt"), "salts", "known")
+    pieces = with_list(docs, asked, "asked").where("asked is not null").mapInArrow(_pieces(window), PIECES)
     shards = pieces.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(
         _shard(window), FOUND)
-    inside = shards.where("anchor is null").select("doc_id", "tag", "start", "n")
+    inside = shards.where("anchor is null").select(*place)
     across = shards.where("anchor is not null").select(
         "anchor", "part", "prints", "owners", "tags", "starts", "known").groupBy("anchor", "part").applyInArrow(
-        _merge, "doc_id long, tag long, start int, n int")
-    found = copies.union(inside).union(across).groupBy("doc_id", "tag").agg(
-        F.collect_list(F.struct("start", "n")).alias("found"))
-    empty = F.array().cast("array<struct<start:int,n:int>>")
-    return docs.join(found, same_key(docs, found), "left").select(
-        docs["*"], F.coalesce(found["found"], empty).alias("found")).mapInArrow(_cut(window), KEPT)
+        _merge, "doc_id long, tag int, start int, n int")
+    return with_list(docs, copies.union(inside).union(across), "found").withColumn(
+        "found", F.coalesce("found", F.array().cast("array<struct<tag:int,start:int,n:int>>"))).mapInArrow(
+        _cut(window), KEPT)
