@@ -29,6 +29,8 @@ from traceworks.llm.suffixes import common_prefixes, suffix_array
 #: Neighbourhoods of one anchor that one shard takes, and the bytes after which a shard is closed.
 SALT_ROWS = 256
 SHARD_BYTES = 1 << 20
+#: Width and share (one in SAMPLE_SCALE) of the grams by which a shard rules windows out before sorting suffixes.
+SAMPLED, SAMPLE_SCALE = 16, 8
 
 BLOCKS = "doc_id long, tag int, anchor long, block long, start int, n int"
 PIECES = "anchor long, salt int, salts int, doc_id long, tag int, start int, n int, known boolean, piece binary"
@@ -113,15 +115,25 @@ def _shard(window: int):
         row = np.repeat(np.arange(len(rows)), n)
         offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         place = edge[row] + offset
-        at = np.full(len(a), -1, np.int64)
-        at[place] = np.arange(len(place))
-        sa = suffix_array(a)
-        lcp = common_prefixes(a, sa, window)
-        group = np.cumsum(lcp < window)
-        window_group = np.zeros(len(place), np.int64)
-        counted = at[sa] >= 0
-        window_group[at[sa[counted]]] = group[counted]
-        repeated = (np.bincount(window_group)[window_group] > 1) if len(place) else np.zeros(0, bool)
+        # Only windows whose sampled grams all occur twice in the shard can repeat in it; sort the suffixes of those.
+        g = grams.byte_grams(a, SAMPLED)
+        sample = np.flatnonzero(g < np.uint64((1 << 64) // SAMPLE_SCALE))
+        _, which, times = np.unique(g[sample], return_inverse=True, return_counts=True)
+        alone = np.zeros(len(a) + 2, np.int64)
+        alone[sample[times[which] == 1] + 1] = 1
+        alone = np.cumsum(alone)
+        maybe = np.flatnonzero(alone[place + window - SAMPLED + 1] == alone[place])
+        repeated = np.zeros(len(place), bool)
+        if len(maybe):
+            held = grams.covered(place[maybe], np.full(len(maybe), window), len(a))
+            at = np.full(len(a), -1, np.int64)
+            at[place[maybe]] = maybe
+            at, text = at[held], a[held]
+            sa = suffix_array(text)
+            group = np.cumsum(common_prefixes(text, sa, window) < window)
+            counted = at[sa] >= 0
+            windows, group = at[sa[counted]], group[counted]
+            repeated[windows] = np.bincount(group)[group] > 1
         known = np.array([r["known"] for r in rows])
         hit = np.flatnonzero(repeated & ~known[row])
         cut = np.ones(len(hit), bool)
@@ -135,9 +147,9 @@ def _shard(window: int):
             keys = sorted({(r["anchor"], r["salt"], r["salts"]) for r in rows if r["salts"] > 1})
             for anchor, salt, salts in keys:
                 mine = np.array([(r["anchor"], r["salt"]) == (anchor, salt) for r in rows])
-                own = np.flatnonzero(mine[row])
-                _, one = np.unique(prints[own], return_index=True)
-                own = own[one]
+                held = np.flatnonzero(mine[row])
+                _, one = np.unique(prints[held], return_index=True)
+                own = held[one]
                 bounds = np.array([(k << 64) // salts for k in range(1, salts)], np.uint64)
                 ends = np.concatenate(([0], np.searchsorted(prints[own], bounds), [len(own)]))
                 for part in range(salts):
