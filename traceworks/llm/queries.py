@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceworks.llm import minhash, quality, substring, suffixdedup
+from traceworks.llm import fingerprints, minhash, quality, substring, suffixdedup
 from traceworks.sources.tables import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     out = suffixdedup.remove_repeated_bytes(table(spark, sf, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_fingerprints")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.edited_likeness(table(spark, sf, "documents"))
