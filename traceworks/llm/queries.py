@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceworks.llm import fingerprints, minhash, quality, substring, suffixdedup
+from traceworks.llm import chat, fingerprints, minhash, quality, substring, suffixdedup, warc
 from traceworks.sources.tables import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,19 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_fingerprints")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf, "documents"))
+
+
+@query("op4_chat_formatting")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    probe = spark.sql(r"""select -7L as conv_id, turn, role, r'\### Assistant: </turn> ok' as text
+                          from values (0L, 'user'), (1L, 'assistant') as t(turn, role)""")
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").union(probe)
+    return chat.conversation_digests(chat.format_turns(rows))
+
+
+@query("op5_warc")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    files = warc.write_archives(table(spark, sf, "pages"), folder)
+    return warc.read_archives(spark, folder, files).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
