@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceworks.llm import chat, fingerprints, minhash, quality, substring, suffixdedup, warc
+from traceworks.llm import chat, fingerprints, minhash, pieces, quality, substring, suffixdedup, warc
 from traceworks.sources.tables import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def query(name: str, oracle: str | None = None):
     return wrap
 
 
+@query("op1_sentencepiece")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.encode_texts(table(spark, sf, "documents")).select(
+        "doc_id", "n_pieces", "ids", F.sha2("decoded", 256).alias("decoded_sha256"), "exact")
+
+
 @query("op2_minhash_near_dedup")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"), shingle=4)
