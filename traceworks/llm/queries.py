@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceworks.llm import chat, fingerprints, minhash, pieces, quality, substring, suffixdedup, warc
+from traceworks.llm import chat, fingerprints, minhash, mixing, pieces, quality, substring, suffixdedup, warc
 from traceworks.sources.tables import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     files = warc.write_archives(table(spark, sf, "pages"), folder)
     return warc.read_archives(spark, folder, files).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+@query("op6_source_mixing")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf, "documents")).select("doc_id", "source", "block", "place", "slot")
