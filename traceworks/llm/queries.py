@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceworks.llm import chat, fingerprints, minhash, mixing, pieces, quality, substring, suffixdedup, warc
+from traceworks.llm import chat, fingerprints, lines, minhash, mixing, pieces, quality, substring, suffixdedup, warc
 from traceworks.sources.tables import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,9 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_source_mixing")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixed(table(spark, sf, "documents")).select("doc_id", "source", "block", "place", "slot")
+
+
+@query("op7_line_dedup")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
