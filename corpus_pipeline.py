@@ -1,15 +1,56 @@
-"""The corpus pipeline: documents in, token sequences out, one operator per stage."""
+"""The corpus pipeline: documents in, piece sequences out, one operator per stage.
+
+Each stage is written as Parquet and read again for the next. The order of the mixing stage is in its files: they hold
+ascending ranges of slots, and each file's rows stand in the order of the mix.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from traceworks.llm import lines, minhash, mixing, pieces, quality
+from traceworks.session import checkpoint_dir
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose posterior quality is at least one half and that pass the base rules."""
+    return quality.accepted(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that stand earlier, up to two edits; documents made of nothing else go."""
+    return lines.without_repeats(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return minhash.one_of_each(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order that mixes the sources to their target weights."""
+    return mixing.in_mixed_order(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The piece ids of every document."""
+    return pieces.encode_texts(docs).select("doc_id", "n_pieces", "ids", "exact")
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("minhash near-dedup", near_dedup),
+          ("source mixing", source_mixing), ("sentencepiece", sentencepiece)]
+#: Expectation-maximisation, connected components and the Viterbi search are beyond SQL; tests use brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}-{k}"
+            docs.write.parquet(path)
+            docs = spark.read.schema(docs.schema).parquet(path)
     return docs

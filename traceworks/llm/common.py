@@ -51,10 +51,18 @@ def with_list(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
 
 
 def boxed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tag, text, row): all given columns kept aside in ``row``, so that no name can clash."""
+    """``keyed`` with ``row``: all given columns kept aside, so that no name can clash."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text).alias("tag"), text.alias("text"),
-                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+                       row.alias("row"))
+
+
+def only_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of a ``boxed`` table whose (doc_id, tag) is among ``keys``, as they were given."""
+    keys = keys.select("doc_id", "tag").distinct()
+    return docs.join(keys, docs["doc_id"].eqNullSafe(keys["doc_id"]) & (docs["tag"] == keys["tag"]), "left_semi").select(
+        "row.*")
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from traceworks.llm import grams
 from traceworks.llm.anchors import list_column, raw_texts
-from traceworks.llm.common import drop_written, keyed, written
+from traceworks.llm.common import boxed, keyed, written
 from traceworks.llm.components import connected_components
 
 BANDS, ROWS = 24, 4
@@ -196,3 +196,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     return s.join(label, "doc_id", "left").select(
         "doc_id", F.col("s.n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose document is the smallest id of its component, with all their columns."""
+    gone = near_duplicates(docs, shingle, percent, id_col, text_col).where("not kept").select("doc_id").distinct()
+    rows = boxed(docs, id_col, text_col).select("doc_id", "row")
+    return rows.join(gone, rows["doc_id"] == gone["doc_id"], "left_anti").select("row.*")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceworks.llm.common import shuffle_width
+from traceworks.llm.common import boxed, shuffle_width
 
 #: Slots of one period, and documents of one block.
 PERIOD, BLOCK = 1000, 16
@@ -99,29 +99,44 @@ def numbered(rows: DataFrame, block: int = BLOCK) -> DataFrame:
         "order", "bucket", "nth")
 
 
-def mixed(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "source", id_col: str = "doc_id",
-          text_col: str = "text", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """(doc_id, source, block, place, slot, row): every document with its slot; ``row`` holds the given columns.
+def schedule(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "source", id_col: str = "doc_id",
+             text_col: str = "text", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    """(doc_id, tag, source, block, place, slot): the slot of every document's block and its place in the block.
 
-    Ordering by slot and place gives the mix. ``weights`` has (source, weight); by default the tempered shares of the
-    table itself.
+    Ordering by slot and place gives the mix; ``tag`` is a digest of the text. ``weights`` has (source, weight); by
+    default the tempered shares of the table itself.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                       F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("long").alias("key1"),
-                       F.xxhash64(F.col(text_col).cast("string")).alias("key2"))
-    present = rows.select("source").distinct()
-    weights = tempered_weights(rows) if weights is None else present.join(
-        weights, present["source"].eqNullSafe(weights["source"]), "left").select(
-        present["source"], F.coalesce(weights["weight"].cast("double"), F.lit(0.0)).alias("weight"))
-    table = period_table(shares(weights, period)).alias("t")
+    rows = docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("long").alias("key1"),
+                       F.hash(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("key2"))
+    if weights is None:
+        weights = tempered_weights(rows)
+    else:
+        present = rows.select("source").distinct()
+        weights = present.join(weights, present["source"].eqNullSafe(weights["source"]), "left").select(
+            present["source"], F.coalesce(weights["weight"].cast("double"), F.lit(0.0)).alias("weight"))
+    table = period_table(shares(weights, period))
+    counts = table.select("source", "share", "period").distinct().alias("t")
     n = numbered(rows, block).alias("n")
     share = F.col("t.share")
-    counts = table.select("source", "share", "period").distinct().alias("t")
     n = n.join(counts, F.col("n.source").eqNullSafe(F.col("t.source"))).select(
-        "n.*", F.floor(F.col("n.block") / share).alias("round"), (F.col("n.block") % share).alias("nth"), "t.period")
-    n = n.alias("n")
+        "n.*", F.floor(F.col("n.block") / share).alias("round"), (F.col("n.block") % share).alias("nth"),
+        "t.period").alias("n")
     slots = table.select("source", "nth", "slot").alias("s")
-    return n.join(slots, F.col("n.source").eqNullSafe(F.col("s.source")) & (
-        F.col("n.nth") == F.col("s.nth"))).select(
-        F.col("n.key1").alias("doc_id"), "n.source", "n.block", "n.place",
-        (F.col("n.round") * F.col("n.period") + F.col("s.slot")).alias("slot"), "n.row")
+    return n.join(slots, F.col("n.source").eqNullSafe(F.col("s.source")) & (F.col("n.nth") == F.col("s.nth"))).select(
+        F.col("n.key1").alias("doc_id"), F.col("n.key2").alias("tag"), "n.source", "n.block", "n.place",
+        (F.col("n.round") * F.col("n.period") + F.col("s.slot")).alias("slot"))
+
+
+def in_mixed_order(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "source",
+                   id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    """The rows of ``docs``, all of them, dealt out and sorted by slot, so that files follow the mix one by one.
+
+    Repeated rows take the earliest of their slots.
+    """
+    slots = schedule(docs, weights, source_col, id_col, text_col, block, period).groupBy("doc_id", "tag").agg(
+        F.min(F.struct("slot", "place")).alias("at"))
+    rows = boxed(docs, id_col, text_col).select("doc_id", "tag", "row")
+    joined = rows.join(slots, rows["doc_id"].eqNullSafe(slots["doc_id"]) & (rows["tag"] == slots["tag"])).select(
+        "at.slot", "at.place", "row")
+    return joined.repartitionByRange(shuffle_width(docs.sparkSession), "slot", "place").sortWithinPartitions(
+        "slot", "place").select("row.*")

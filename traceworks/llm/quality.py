@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceworks.llm.common import SPACES, drop_written, written
+from traceworks.llm.common import SPACES, boxed, drop_written, only_rows, written
 
 SYMBOLS = "#*$%&|<>"
 ROUNDS = 25
@@ -142,3 +142,8 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return measured.withColumn("base_failed", failed).withColumn("quality", posterior(prior, chances)).withColumn(
         "kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
+
+
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose document is kept, with all their columns."""
+    return only_rows(boxed(docs, id_col, text_col), verdicts(docs, id_col, text_col).where("kept"))

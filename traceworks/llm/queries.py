@@ -77,7 +77,7 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op6_source_mixing")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf, "documents")).select("doc_id", "source", "block", "place", "slot")
+    return mixing.schedule(table(spark, sf, "documents")).select("doc_id", "source", "block", "place", "slot")
 
 
 @query("op7_line_dedup")
