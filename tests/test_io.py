@@ -10,7 +10,7 @@ from traceworks.sources import files, sinks, warehouse
 from traceworks.streaming import budget_stream, files_stream
 
 
-def test_knn_matches_brute_force_in_one_and_many_passes(spark):
+def test_knn_matches_brute_force_in_one_and_many_blocks(spark):
     rng = np.random.default_rng(5)
     vectors = rng.normal(size=(200, 8)).astype(np.float32)
     vectors[50] = vectors[51]
@@ -21,8 +21,8 @@ def test_knn_matches_brute_force_in_one_and_many_passes(spark):
     for q in range(9):
         d = ((vectors.astype(float) - vectors[q * 7].astype(float)) ** 2).sum(axis=1)
         want[q] = sorted(range(200), key=lambda i: (d[i], i))[:6]
-    for size in (1 << 20, 2 * 8 * 8):
-        rows = nearest_neighbours(base, queries, 6, query_bytes=size).orderBy("query_id", "rank").collect()
+    for blocks in ({}, {"query_block": 2, "base_block": 30}):
+        rows = nearest_neighbours(base, queries, 6, **blocks).orderBy("query_id", "rank").collect()
         got = {}
         for r in rows:
             got.setdefault(r["query_id"], []).append(r["doc_id"])

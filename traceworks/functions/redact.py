@@ -139,34 +139,43 @@ def pii_findings(text: Column) -> dict[str, Column]:
             for p, label in TEXT_PII}
 
 
+def _redact_value(value: Column, dtype: T.DataType, extra: list[str] | None) -> Column:
+    """Any value below a key that is not sensitive."""
+    if isinstance(dtype, T.StringType):
+        return mask_secrets(value)
+    if isinstance(dtype, T.MapType):
+        return redact_map(value, dtype, extra)
+    if isinstance(dtype, T.StructType):
+        return redact_struct(value, dtype, extra)
+    if isinstance(dtype, T.ArrayType) and not isinstance(dtype.elementType, T.AtomicType | T.NullType):
+        return F.transform(value, lambda x: _redact_value(x, dtype.elementType, extra))
+    if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StringType):
+        return F.transform(value, mask_secrets)
+    return value
+
+
 def redact_map(values: Column, dtype: T.MapType, extra: list[str] | None = None) -> Column:
-    """A map with sensitive keys hidden and secrets masked in its texts, at any depth."""
+    """A map with sensitive keys hidden and secrets masked in its texts, at any depth.
+
+    The key decides first, whatever the value is: text becomes the label, and a value of a type that cannot hold the
+    label becomes NULL.
+    """
     fields = SENSITIVE_FIELDS + [f.lower() for f in extra or []]
+    hidden = F.lit(REDACTED) if isinstance(dtype.valueType, T.StringType) else F.lit(None).cast(dtype.valueType)
 
     def hide(key: Column, value: Column) -> Column:
-        if isinstance(dtype.valueType, T.MapType):
-            return redact_map(value, dtype.valueType, extra)
-        if isinstance(dtype.valueType, T.StringType):
-            return F.when(F.lower(key).isin(fields), F.lit(REDACTED)).otherwise(mask_secrets(value))
-        return value
+        return F.when(F.lower(key).isin(fields), hidden).otherwise(_redact_value(value, dtype.valueType, extra))
 
     return F.transform_values(values, hide)
 
 
 def redact_struct(value: Column, dtype: T.StructType, extra: list[str] | None = None) -> Column:
-    """A struct with sensitive fields hidden and secrets masked, walking its schema."""
+    """A struct with sensitive fields hidden, of any type, and secrets masked, walking its schema."""
     fields = set(SENSITIVE_FIELDS) | {f.lower() for f in extra or []}
     out = []
     for field in dtype.fields:
         inner = value.getField(field.name)
-        if field.name.lower() in fields:
-            inner = F.lit(REDACTED)
-        elif isinstance(field.dataType, T.StringType):
-            inner = mask_secrets(inner)
-        elif isinstance(field.dataType, T.StructType):
-            inner = redact_struct(inner, field.dataType, extra)
-        elif isinstance(field.dataType, T.MapType):
-            inner = redact_map(inner, field.dataType, extra)
+        inner = F.lit(REDACTED) if field.name.lower() in fields else _redact_value(inner, field.dataType, extra)
         out.append(inner.alias(field.name))
     return F.when(value.isNotNull(), F.struct(*out))
 

@@ -63,20 +63,20 @@ UPPER_WORD = r"\b([A-Z]{2,5})\b"
 ANY_WORD = r"\b([A-Za-z]{2,5})\b"
 
 # Words that look like tickers but are none.
-NOT_TICKERS = """
-A AN THE AND OR FOR OF TO IN ON BY AT AS IS IT BE DO GO NO SO UP US WE IF MY HE ME HI
-WHO WHY HOW WHAT WHEN WHERE WHICH
-DID HAS HAD ARE WAS WERE BEEN HAVE WILL CAN MAY COULD WOULD SHOULD
-GET GOT SAY SAID MAKE MADE KNOW SHOW TELL GIVE FIND LOOK WANT NEED CALL COME
-TAKE KEEP SEEM FEEL MEAN HELP PUT
-LAST NEXT NEW OLD BIG JUST ALSO ONLY MOST MORE LESS SOME VERY WELL BEST
-GOOD HIGH LOW TOP KEY LONG FULL HALF
-DAY YEAR DATE TIME WEEK MONTH
-NEWS STOCK SHARE PRICE MARKET FUND FIRM BOARD TEAM PLAN DEAL
-LIST FETCH INGEST SAVE STORE SEARCH QUERY ANALYSE ANALYZE INTERPRET REVIEW READ ABOUT RECENT LATEST
-ASX CEO CFO COO CTO EPS DPS IPO FY HY GDP ROI ESG FCF EBIT NPAT CAPEX OPEX P&L NAV NTA YOY MOM
-ETF LTD PTY INC LLC PLC USD AUD NZD EUR GBP
-""".split()
+NOT_TICKERS = [
+    "A", "AN", "THE", "AND", "OR", "FOR", "OF", "TO", "IN", "ON", "BY", "AT", "AS", "IS", "IT", "BE", "DO", "GO",
+    "NO", "SO", "UP", "US", "WE", "IF", "MY", "HE", "ME", "HI", "WHO", "WHY", "HOW", "WHAT", "WHEN", "WHERE",
+    "WHICH", "DID", "HAS", "HAD", "ARE", "WAS", "WERE", "BEEN", "HAVE", "WILL", "CAN", "MAY", "COULD", "WOULD",
+    "SHOULD", "GET", "GOT", "SAY", "SAID", "MAKE", "MADE", "KNOW", "SHOW", "TELL", "GIVE", "FIND", "LOOK", "WANT",
+    "NEED", "CALL", "COME", "TAKE", "KEEP", "SEEM", "FEEL", "MEAN", "HELP", "PUT", "LAST", "NEXT", "NEW", "OLD",
+    "BIG", "JUST", "ALSO", "ONLY", "MOST", "MORE", "LESS", "SOME", "VERY", "WELL", "BEST", "GOOD", "HIGH", "LOW",
+    "TOP", "KEY", "LONG", "FULL", "HALF", "DAY", "YEAR", "DATE", "TIME", "WEEK", "MONTH", "NEWS", "STOCK", "SHARE",
+    "PRICE", "MARKET", "FUND", "FIRM", "BOARD", "TEAM", "PLAN", "DEAL", "LIST", "FETCH", "INGEST", "SAVE", "STORE",
+    "SEARCH", "QUERY", "ANALYSE", "ANALYZE", "INTERPRET", "REVIEW", "READ", "ABOUT", "RECENT", "LATEST", "ASX",
+    "CEO", "CFO", "COO", "CTO", "EPS", "DPS", "IPO", "FY", "HY", "GDP", "ROI", "ESG", "FCF", "EBIT", "NPAT",
+    "CAPEX", "OPEX", "P&L", "NAV", "NTA", "YOY", "MOM", "ETF", "LTD", "PTY", "INC", "LLC", "PLC", "USD", "AUD",
+    "NZD", "EUR", "GBP",
+]
 
 DEFAULT_COUNT, MAX_COUNT = 20, 50
 

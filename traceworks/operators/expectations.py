@@ -7,8 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FAILURE_CAP = 1000
-
 
 @dataclass(frozen=True)
 class Expectation:
@@ -47,10 +45,10 @@ def run_expectations(df: DataFrame, tests: list[Expectation]) -> DataFrame:
     return out
 
 
-def failing_rows(df: DataFrame, test: Expectation, cap: int | None = FAILURE_CAP) -> DataFrame:
-    """The rows (or repeated values) a test rejects; stored failures are capped."""
+def failing_rows(df: DataFrame, test: Expectation, cap: int | None = None) -> DataFrame:
+    """The rows (or repeated values) a test rejects; with ``cap`` the first so many by the tested column."""
     if test.kind == "unique":
         bad = df.where(F.col(test.column).isNotNull()).groupBy(test.column).count().where("count > 1")
     else:
         bad = df.where(_fails(test))
-    return bad.limit(cap) if cap else bad
+    return bad.orderBy(test.column).limit(cap) if cap else bad

@@ -1,34 +1,29 @@
-"""Exact nearest neighbours: a checked set of query vectors against a
-partitioned collection."""
+"""Exact nearest neighbours: blocks of query vectors against blocks of a collection."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Query vectors shipped to the tasks in one pass: at most this many bytes.
-QUERY_BYTES = 32 << 20
+# Vectors in one block of queries and in one block of the collection, on average.
+QUERY_BLOCK, BASE_BLOCK = 512, 20_000
+CANDIDATES = "query_id long, collection string, doc_id long, distance double"
 
 
-def _one_pass(base: DataFrame, queries: list, k: int) -> DataFrame:
-    """Candidates: each batch keeps its k nearest per query and collection."""
-    ids = [r["query_id"] for r in queries]
-    matrix = np.array([r["query_vector"] for r in queries], dtype=np.float64)
-    norms = (matrix ** 2).sum(axis=1)
+def _nearest(k: int):
+    """The k nearest per query and collection inside one pair of blocks (two Arrow tables to one)."""
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            rows = flat.reshape(batch.num_rows, -1)
-            groups = np.asarray(batch.column("collection").to_pylist(), dtype=object)
-            keys = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            out_q, out_g, out_k, out_d = [], [], [], []
+    def work(queries, base):
+        out = {"query_id": [], "collection": [], "doc_id": [], "distance": []}
+        if queries.num_rows and base.num_rows:
+            ids = queries.column("query_id").to_numpy()
+            matrix = np.array(queries.column("query_vector").to_pylist(), np.float64)
+            norms = (matrix ** 2).sum(axis=1)
+            rows = np.array(base.column("vector").to_pylist(), np.float64)
+            groups = np.asarray(base.column("collection").to_pylist(), dtype=object)
+            keys = base.column("doc_id").to_numpy()
             for group in set(groups):
                 at = np.flatnonzero(groups == group)
                 part = rows[at]
@@ -40,46 +35,43 @@ def _one_pass(base: DataFrame, queries: list, k: int) -> DataFrame:
                     near = np.flatnonzero(rough[q] <= limit + 1e-9 * (1 + abs(limit)))
                     dist = ((part[near] - matrix[q]) ** 2).sum(axis=1)
                     best = np.lexsort((keys[at[near]], dist))[:keep]
-                    out_q += [ids[q]] * len(best)
-                    out_g += [group] * len(best)
-                    out_k += keys[at[near[best]]].tolist()
-                    out_d += dist[best].tolist()
-            yield pa.RecordBatch.from_pydict(
-                {"query_id": pa.array(out_q, pa.int64()), "collection": pa.array(out_g, pa.string()),
-                 "doc_id": pa.array(out_k, pa.int64()), "distance": pa.array(out_d, pa.float64())})
+                    out["query_id"] += [ids[q]] * len(best)
+                    out["collection"] += [group] * len(best)
+                    out["doc_id"] += keys[at[near[best]]].tolist()
+                    out["distance"] += dist[best].tolist()
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64())
+        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds)})
 
-    slim = base.select("doc_id", "collection", "vector")
-    return slim.mapInArrow(nearest, "query_id long, collection string, doc_id long, distance double")
+    return work
 
 
-def nearest_neighbours(base: DataFrame, queries: DataFrame, k: int, query_bytes: int = QUERY_BYTES) -> DataFrame:
-    """(query_id, doc_id, collection, distance, rank): the k nearest overall per query.
+def nearest_per_collection(base: DataFrame, queries: DataFrame, k: int, query_block: int = QUERY_BLOCK,
+                           base_block: int = BASE_BLOCK) -> DataFrame:
+    """(query_id, collection, doc_id, distance): the k nearest of every collection per query.
 
-    ``base`` has doc_id, collection and vector; ``queries`` query_id and
-    query_vector. Distance is squared L2. The vectors stay where they are.
-    The query set is counted first; one larger than ``query_bytes`` is worked
-    off in several passes of that size, so no pass ships more.
+    ``base`` has doc_id, collection and vector; ``queries`` query_id and query_vector. Distance is squared L2. Both
+    sides are cut into blocks by hash; every pair of blocks is one task's bounded work, and only its k best go on. No
+    vector passes through the driver.
     """
-    shape = queries.agg(F.count("*").alias("n"), F.max(F.size("query_vector")).alias("d")).first()
-    per_pass = max(1, query_bytes // (8 * max(shape["d"] or 1, 1)))
-    passes = max(1, -(-shape["n"] // per_pass))
-    if passes == 1:
-        candidates = _one_pass(base, queries.collect(), k) if shape["n"] else None
-    else:
-        # Smaller blocks than strictly needed, since hashing does not fill them evenly.
-        blocks = 2 * passes
-        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-        candidates = None
-        for i in range(blocks):
-            part = queries.where(block == i).collect()
-            if part:
-                found = _one_pass(base, part, k)
-                candidates = found if candidates is None else candidates.unionByName(found)
-    if candidates is None:
-        candidates = base.sparkSession.createDataFrame(
-            [], "query_id long, collection string, doc_id long, distance double")
-    in_collection = Window.partitionBy("query_id", "collection").orderBy("distance", "doc_id")
-    overall = Window.partitionBy("query_id").orderBy("distance", "doc_id")
-    return (
-        candidates.withColumn("_rn", F.row_number().over(in_collection)).where(F.col("_rn") <= k).drop("_rn")
-        .withColumn("rank", F.row_number().over(overall)).where(F.col("rank") <= k))
+    n_queries = max(1, -(-queries.count() // query_block))
+    n_base = max(1, -(-base.count() // base_block))
+
+    def dealt(df: DataFrame, key: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    left = dealt(queries.select(F.col("query_id").cast("long").alias("query_id"), "query_vector"), "query_id", "qb",
+                 n_queries, "bb", n_base)
+    right = dealt(base.select(F.col("doc_id").cast("long").alias("doc_id"), "collection", "vector"), "doc_id", "bb",
+                  n_base, "qb", n_queries)
+    found = left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInArrow(_nearest(k), CANDIDATES)
+    order = Window.partitionBy("query_id", "collection").orderBy("distance", "doc_id")
+    return found.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k).drop("_rn")
+
+
+def nearest_neighbours(base: DataFrame, queries: DataFrame, k: int, query_block: int = QUERY_BLOCK,
+                       base_block: int = BASE_BLOCK) -> DataFrame:
+    """(query_id, doc_id, collection, distance, rank): the k nearest overall per query; ties by id, then collection."""
+    overall = Window.partitionBy("query_id").orderBy("distance", "doc_id", "collection")
+    return nearest_per_collection(base, queries, k, query_block, base_block).withColumn(
+        "rank", F.row_number().over(overall)).where(F.col("rank") <= k)

@@ -24,10 +24,11 @@ def scan_pii(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
     All rows are read unless ``sample_rows`` asks for a sample.
     """
     named = {c: pii.name_class(c) for c in df.columns}
-    by_value = [c for c, hit in named.items() if hit is None] or df.columns
+    by_value = [c for c, hit in named.items() if hit is None]
     rows = df.orderBy(F.rand(7)).limit(sample_rows) if sample_rows else df
 
-    cells = long_form(rows, by_value).where(F.trim("value") != "")
+    # With every column judged by name, no value is read.
+    cells = long_form(rows if by_value else df.limit(0), by_value or df.columns).where(F.trim("value") != "")
     rates = cells.groupBy("column_name").agg(*[
         F.avg(hit.cast("int")).alias(f"r_{kind}") for kind, hit in pii.value_hits(F.col("value")).items()])
     verdict: Column = F

@@ -7,21 +7,48 @@ from pyspark.sql import functions as F
 
 from traceworks.operators.indicators import clean_bars, indicators, price_changes, truthy
 
-# Sector, sector fund, currency pair, then ticker -> commodity.
-SECTORS = [
-    ("ASX Materials", "XMM.AX", "AUDUSD=X",
-     {"BHP": "IRON30Y=EX", "RIO": "IRON30Y=EX", "FMG": "IRON30Y=EX", "MIN": "LIT", "S32": "GC=F"}),
-    ("ASX Gold", "XGD.AX", "AUDUSD=X", {"NST": "GC=F", "NCM": "GC=F", "EVN": "GC=F"}),
-    ("ASX Energy", "XEJ.AX", "AUDUSD=X", {"WDS": "CL=F", "STO": "CL=F", "BPT": "CL=F"}),
-    ("ASX Financials", "XFJ.AX", "AUDUSD=X", {"CBA": None, "ANZ": None, "NAB": None, "WBC": None, "MQG": None}),
-    ("ASX Healthcare", "XHJ.AX", "AUDUSD=X", {"CSL": None, "RMD": None}),
-    ("ASX Technology", "XTJ.AX", "AUDUSD=X", {"WTC": None, "XRO": None}),
-    ("US Semiconductors", "SOXX", None,
-     {"NVDA": None, "AMD": None, "INTC": None, "QCOM": None, "AVGO": None, "MU": None, "AMAT": None}),
-    ("US Mega-cap Tech", "QQQ", None, {"AAPL": None, "MSFT": None, "GOOGL": None, "AMZN": None, "META": None}),
-    ("US Consumer Discretionary / EV", "XLY", None, {"TSLA": "LIT"}),
-    ("US Energy", "XLE", None, {"XOM": "CL=F", "CVX": "CL=F", "COP": "CL=F"}),
-    ("US Financials", "XLF", None, {"JPM": None, "BAC": None, "GS": None, "MS": None}),
+# Ticker, sector label, sector fund, commodity, currency pair.
+TICKER_CONTEXT = [
+    ("BHP", "ASX Materials", "XMM.AX", "IRON30Y=EX", "AUDUSD=X"),
+    ("RIO", "ASX Materials", "XMM.AX", "IRON30Y=EX", "AUDUSD=X"),
+    ("FMG", "ASX Materials", "XMM.AX", "IRON30Y=EX", "AUDUSD=X"),
+    ("MIN", "ASX Materials", "XMM.AX", "LIT", "AUDUSD=X"),
+    ("S32", "ASX Materials", "XMM.AX", "GC=F", "AUDUSD=X"),
+    ("NST", "ASX Gold", "XGD.AX", "GC=F", "AUDUSD=X"),
+    ("NCM", "ASX Gold", "XGD.AX", "GC=F", "AUDUSD=X"),
+    ("EVN", "ASX Gold", "XGD.AX", "GC=F", "AUDUSD=X"),
+    ("WDS", "ASX Energy", "XEJ.AX", "CL=F", "AUDUSD=X"),
+    ("STO", "ASX Energy", "XEJ.AX", "CL=F", "AUDUSD=X"),
+    ("BPT", "ASX Energy", "XEJ.AX", "CL=F", "AUDUSD=X"),
+    ("CBA", "ASX Financials", "XFJ.AX", None, "AUDUSD=X"),
+    ("ANZ", "ASX Financials", "XFJ.AX", None, "AUDUSD=X"),
+    ("NAB", "ASX Financials", "XFJ.AX", None, "AUDUSD=X"),
+    ("WBC", "ASX Financials", "XFJ.AX", None, "AUDUSD=X"),
+    ("MQG", "ASX Financials", "XFJ.AX", None, "AUDUSD=X"),
+    ("CSL", "ASX Healthcare", "XHJ.AX", None, "AUDUSD=X"),
+    ("RMD", "ASX Healthcare", "XHJ.AX", None, "AUDUSD=X"),
+    ("WTC", "ASX Technology", "XTJ.AX", None, "AUDUSD=X"),
+    ("XRO", "ASX Technology", "XTJ.AX", None, "AUDUSD=X"),
+    ("NVDA", "US Semiconductors", "SOXX", None, None),
+    ("AMD", "US Semiconductors", "SOXX", None, None),
+    ("INTC", "US Semiconductors", "SOXX", None, None),
+    ("QCOM", "US Semiconductors", "SOXX", None, None),
+    ("AVGO", "US Semiconductors", "SOXX", None, None),
+    ("MU", "US Semiconductors", "SOXX", None, None),
+    ("AMAT", "US Semiconductors", "SOXX", None, None),
+    ("AAPL", "US Mega-cap Tech", "QQQ", None, None),
+    ("MSFT", "US Mega-cap Tech", "QQQ", None, None),
+    ("GOOGL", "US Mega-cap Tech", "QQQ", None, None),
+    ("AMZN", "US Mega-cap Tech", "QQQ", None, None),
+    ("META", "US Mega-cap Tech", "QQQ", None, None),
+    ("TSLA", "US Consumer Discretionary / EV", "XLY", "LIT", None),
+    ("XOM", "US Energy", "XLE", "CL=F", None),
+    ("CVX", "US Energy", "XLE", "CL=F", None),
+    ("COP", "US Energy", "XLE", "CL=F", None),
+    ("JPM", "US Financials", "XLF", None, None),
+    ("BAC", "US Financials", "XLF", None, None),
+    ("GS", "US Financials", "XLF", None, None),
+    ("MS", "US Financials", "XLF", None, None),
 ]
 
 # Signal labels.
@@ -51,10 +78,8 @@ def watchlist(bars: DataFrame) -> DataFrame:
 
 def context_table(spark: SparkSession) -> DataFrame:
     """The fixed ticker context, a few dozen rows."""
-    rows = [(ticker, sector, fund, commodity, fx)
-            for sector, fund, fx, tickers in SECTORS for ticker, commodity in tickers.items()]
     return spark.createDataFrame(
-        rows, "ticker string, sector_label string, sector_etf string, commodity string, fx string")
+        TICKER_CONTEXT, "ticker string, sector_label string, sector_etf string, commodity string, fx string")
 
 
 def market_context(bars: DataFrame) -> DataFrame:

@@ -83,8 +83,8 @@ def ingest_records(files: DataFrame, embed: Callable) -> DataFrame:
 def search(kb: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The k nearest records per query with their source fields."""
     hits = nearest_neighbours(kb, queries, k)
-    about = kb.select("doc_id", "filename", "source_uri", "text")
-    return hits.join(about, "doc_id")
+    about = kb.select("collection", "doc_id", "filename", "source_uri", "text")
+    return hits.join(about, ["collection", "doc_id"])
 
 
 def snippet() -> Column:

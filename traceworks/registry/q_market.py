@@ -133,7 +133,7 @@ def _sql_text(v):
 
 _CONTEXT_SQL = "(values " + ", ".join(
     f"('{t}', '{sector}', '{fund}', {_sql_text(c)}, {_sql_text(fxp)})"
-    for sector, fund, fxp, tickers in market.SECTORS for t, c in tickers.items()
+    for t, sector, fund, c, fxp in market.TICKER_CONTEXT
 ) + ") k(ticker, sector_label, sector_etf, commodity, fx)"
 
 

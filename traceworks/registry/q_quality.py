@@ -8,7 +8,6 @@ from traceworks import fixtures as fx
 from traceworks.functions import pii, redact
 from traceworks.operators import clean, dedup, expectations, profile
 from traceworks.plans import compliance
-from traceworks.operators.spread import spread
 from traceworks.registry.base import query, table
 from traceworks.registry.q_ledger import staged
 from traceworks.registry.sql import over_staged
@@ -55,7 +54,7 @@ def _(spark, sf):
 @query("q02_duplicate_rows", """select count(*) as row_count, u as unique_rows, count(*) - u as duplicate_rows
 from conversations, (select count(*) as u from (select distinct role, text from conversations)) group by u""")
 def _(spark, sf):
-    return profile.duplicate_rows(spread(table(spark, sf, "conversations")).select("role", "text"))
+    return profile.duplicate_rows(table(spark, sf, "conversations").select("role", "text"))
 
 
 @query("q02_quality_issues", f"""with people as ({fx.PEOPLE_SQL}),
@@ -218,7 +217,7 @@ _DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 @query("c02_pii_scan_documents", _scan_sql("documents", _DOC_COLUMNS))
 def _(spark, sf):
-    return compliance.scan_pii(spread(table(spark, sf, "documents")))
+    return compliance.scan_pii(table(spark, sf, "documents"))
 
 
 PEOPLE_CLASSES = {c: pii.name_class(c)[1] for c in PEOPLE if pii.name_class(c)}
@@ -281,7 +280,7 @@ def _(spark, sf):
     f"round(avg(regexp_matches(text, {lit(p)})::int), 6) as {k}_rate" for k, p, _ in pii.VALUE_PATTERNS)
     + " from documents group by lang")
 def _(spark, sf):
-    return spread(table(spark, sf, "documents")).groupBy("lang").agg(
+    return table(spark, sf, "documents").groupBy("lang").agg(
         F.count("*").alias("docs"),
         *[F.round(F.avg(hit.cast("int")), 6).alias(f"{k}_rate")
           for k, hit in pii.value_hits(F.col("text")).items()])
@@ -290,7 +289,7 @@ def _(spark, sf):
 @query("f19_value_patterns", "select doc_id, " + ", ".join(
     f"regexp_matches(text, {lit(p)}) as {k}" for k, p, _ in pii.VALUE_PATTERNS) + " from documents")
 def _(spark, sf):
-    return spread(table(spark, sf, "documents")).select(
+    return table(spark, sf, "documents").select(
         "doc_id", *[hit.alias(k) for k, hit in pii.value_hits(F.col("text")).items()])
 
 
@@ -419,14 +418,14 @@ _SECRET_TEXT = """concat(text, case doc_id % 6 when 0 then ' password=hunter2abc
 
 @query("f10_mask_secrets", f"select doc_id, {_mask_sql(_SECRET_TEXT, redact.SECRET_PATTERNS)} as masked from documents")
 def _(spark, sf):
-    return spread(table(spark, sf, "documents")).select(
+    return table(spark, sf, "documents").select(
         "doc_id", redact.mask_secrets(F.expr(_SECRET_TEXT)).alias("masked"))
 
 
 @query("f11_mask_credentials",
        f"select doc_id, {_mask_sql(_SECRET_TEXT, redact.CREDENTIAL_PATTERNS)} as masked from documents")
 def _(spark, sf):
-    return spread(table(spark, sf, "documents")).select(
+    return table(spark, sf, "documents").select(
         "doc_id", redact.mask_credentials(F.expr(_SECRET_TEXT)).alias("masked"))
 
 
@@ -445,7 +444,7 @@ def _summarise_sql(expr: str, n: int, masked: bool = False) -> str:
 
 @query("f13_summarise", f"select doc_id, {_summarise_sql('text', 500)} as summary from documents")
 def _(spark, sf):
-    return spread(table(spark, sf, "documents")).select("doc_id", redact.summarise(F.col("text")).alias("summary"))
+    return table(spark, sf, "documents").select("doc_id", redact.summarise(F.col("text")).alias("summary"))
 
 
 _SHAPE = r"regexp_replace(regexp_replace(nullif(s, ''), '''[^'']*''', '''?''', 'g'), '\b\d+(\.\d+)?\b', '?', 'g')"
@@ -460,7 +459,7 @@ def _(spark, sf):
 
 @query("f07_text_hash", "select doc_id, sha256(nullif(text, '')) as h from documents")
 def _(spark, sf):
-    return spread(table(spark, sf, "documents")).select("doc_id", redact.text_hash(F.col("text")).alias("h"))
+    return table(spark, sf, "documents").select("doc_id", redact.text_hash(F.col("text")).alias("h"))
 
 
 def _pii_steps_sql() -> str:
@@ -478,7 +477,7 @@ def _pii_steps_sql() -> str:
 @query("f16_redact_pii", _pii_steps_sql().replace("as t from (select", "as t from (select"))
 def _(spark, sf):
     text, counts = redact.redact_pii(F.col("text"))
-    return spread(table(spark, sf, "documents")).select(
+    return table(spark, sf, "documents").select(
         "doc_id", text.alias("t"),
         *[n.cast("bigint").alias("n_" + k.strip("[]").lower()) for k, n in counts.items()])
 
@@ -489,38 +488,49 @@ def _(spark, sf):
 def _(spark, sf):
     hits = {"n_" + k.strip("[]").lower(): n.cast("bigint")
             for k, n in redact.pii_findings(F.col("text")).items()}
-    counted = spread(table(spark, sf, "documents")).select("doc_id", *[n.alias(k) for k, n in hits.items()])
+    counted = table(spark, sf, "documents").select("doc_id", *[n.alias(k) for k, n in hits.items()])
     return counted.withColumn("is_clean", F.expr(" + ".join(hits) + " = 0"))
 
 
-@query("f15_redact_map", f"""select event_id, map_keys(m) is not null as has_map, 'visible' as plain,
-  '[REDACTED]' as email, {_mask_sql("'note password=abcdefgh' || event_id", redact.SECRET_PATTERNS)} as note
-from (select event_id, map {{'a': 1}} as m from events)""")
+@query("f15_redact_map", f"""select event_id, 'visible' as plain, '[REDACTED]' as email,
+  {_mask_sql("'note password=abcdefgh' || event_id", redact.SECRET_PATTERNS)} as note,
+  true as ssn_hidden, event_id as size, true as address_hidden, 'open' as inner_plain, '[REDACTED]' as inner_phone,
+  true as emails_hidden from events""")
 def _(spark, sf):
-    from pyspark.sql import types as T
-
-    m = F.expr("map('plain', 'visible', 'Email', concat('u', event_id, '@x.org'), "
-               "'note', concat('note password=abcdefgh', event_id))")
-    hidden = redact.redact_map(F.col("m"), T.MapType(T.StringType(), T.StringType()))
-    return table(spark, sf, "events").select("event_id", m.alias("m")).withColumn("r", hidden).select(
-        "event_id", F.expr("map_keys(m) is not null").alias("has_map"), F.expr("r['plain']").alias("plain"),
-        F.expr("r['Email']").alias("email"), F.expr("r['note']").alias("note"))
+    """Text, number, nested map and array values, under sensitive keys and under others."""
+    rows = table(spark, sf, "events").select("event_id", *[F.expr(e).alias(n) for n, e in {
+        "texts": "map('plain', 'visible', 'Email', concat('u', event_id, '@x.org'), 'note', "
+                 "concat('note password=abcdefgh', event_id))",
+        "numbers": "map('ssn', event_id, 'size', event_id)",
+        "maps": "map('address', map('line1', '12 High St'), 'other', map('plain', 'open', 'phone', '555'))",
+        "lists": "map('email', array('a@x.org', 'b@x.org'))"}.items()])
+    hidden = rows.select("event_id", *[redact.redact_map(F.col(c), rows.schema[c].dataType).alias(c)
+                                       for c in ("texts", "numbers", "maps", "lists")])
+    return hidden.select("event_id", *[F.expr(e).alias(n) for n, e in {
+        "plain": "texts['plain']", "email": "texts['Email']", "note": "texts['note']",
+        "ssn_hidden": "numbers['ssn'] is null", "size": "numbers['size']",
+        "address_hidden": "maps['address'] is null", "inner_plain": "maps['other']['plain']",
+        "inner_phone": "maps['other']['phone']", "emails_hidden": "lists['email'] is null"}.items()])
 
 
 @query("f26_redact_nested", f"""select event_id, '[REDACTED]' as phone,
-  {_mask_sql("'token=abcdefgh' || event_id", redact.SECRET_PATTERNS)} as detail, value from events""")
+  {_mask_sql("'token=abcdefgh' || event_id", redact.SECRET_PATTERNS)} as detail, value, '[REDACTED]' as address,
+  '[REDACTED]' as listed_email, {_mask_sql("'token=abcdefgh' || event_id", redact.SECRET_PATTERNS)} as listed_note
+from events""")
 def _(spark, sf):
     raw = table(spark, sf, "events").select("event_id", F.expr(
-        "named_struct('outer', named_struct('phone', concat('555', event_id), 'detail', "
-        "concat('token=abcdefgh', event_id)), 'value', value)").alias("s"))
+        "named_struct('outer', named_struct('phone', event_id, 'detail', concat('token=abcdefgh', event_id)), "
+        "'value', value, 'address', named_struct('line1', '12 High St'), "
+        "'listed', array(named_struct('email', 'a@x.org', 'note', concat('token=abcdefgh', event_id))))").alias("s"))
     return raw.withColumn("s", redact.redact_struct(F.col("s"), raw.schema["s"].dataType)).select(
-        "event_id", "s.outer.phone", "s.outer.detail", "s.value")
+        "event_id", "s.outer.phone", "s.outer.detail", "s.value", "s.address",
+        F.expr("s.listed[0].email").alias("listed_email"), F.expr("s.listed[0].note").alias("listed_note"))
 
 
 @query("p15_sanitise_context", f"""select doc_id, case when length(text) > 500 then t else text end as text,
   lang, '[stripped]' as df_preview from documents join ({_pii_steps_sql()}) using (doc_id)""")
 def _(spark, sf):
     text = F.col("text")
-    return spread(table(spark, sf, "documents")).select(
+    return table(spark, sf, "documents").select(
         "doc_id", F.when(F.length(text) > 500, redact.redact_pii(text)[0]).otherwise(text).alias("text"),
         "lang", F.lit("[stripped]").alias("df_preview"))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from traceworks import fixtures as fx
-from traceworks.operators.knn import nearest_neighbours
+from traceworks.operators.knn import nearest_neighbours, nearest_per_collection
 from traceworks.plans import filings, retrieval
-from traceworks.operators.spread import spread
 from traceworks.registry.base import query, table
 from traceworks.registry.q_policy import _COLUMN, _NODE
 from traceworks.sources import sinks
@@ -38,11 +37,14 @@ def _(spark, sf):
     return nearest_neighbours(kb(spark, sf), query_vectors(spark, sf), 5).withColumn("distance", F.round("distance", 6))
 
 
-@query("o04_top_k_per_collection", f"""with {KNN_SQL} select {_HIT} from knn""")
+@query("o04_top_k_per_collection", f"""select query_id, doc_id, collection, round(distance, 6) as distance from (
+  select *, row_number() over (partition by query_id, collection order by distance, doc_id) as rank from (
+    select q.query_id, k.doc_id, k.collection, list_sum(list_transform(
+      list_zip(k.vector, q.query_vector), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))) as distance
+    from ({fx.KB_SQL}) k, ({QUERY_SQL}) q)) where rank <= 5""")
 def _(spark, sf):
-    """The same search in several passes, as for a query set over the size bound."""
-    vectors = query_vectors(spark, sf)
-    return nearest_neighbours(kb(spark, sf), vectors, 5, query_bytes=2 * 64 * 8).withColumn(
+    """Small blocks, so that several pairs of them meet."""
+    return nearest_per_collection(kb(spark, sf), query_vectors(spark, sf), 5, query_block=2, base_block=100).withColumn(
         "distance", F.round("distance", 6))
 
 
@@ -83,7 +85,7 @@ union all select conv_id, turn + 1, role, text from conversations
 union all select conv_id, t + 2, 'user', 'Context from knowledge base:' || chr(10) || '{retrieval.RULE}' || chr(10) || 'No relevant documents found.'
   || chr(10) || '{retrieval.RULE}' || chr(10) || chr(10) || 'Question: ' || question from ({_LAST})""")
 def _(spark, sf):
-    turns = spread(table(spark, sf, "conversations"))
+    turns = table(spark, sf, "conversations")
     asked = turns.groupBy("conv_id").agg(F.max_by("text", "turn").alias("question")).withColumn(
         "context", F.lit("No relevant documents found."))
     return retrieval.prompt_rows(turns, asked)
@@ -127,7 +129,7 @@ FILES = [
 
 
 def _files(spark, sf):
-    return spread(table(spark, sf, "documents")).selectExpr("doc_id", *[f"{e} as {c}" for c, e in FILES])
+    return table(spark, sf, "documents").selectExpr("doc_id", *[f"{e} as {c}" for c, e in FILES])
 
 
 INGESTED_SQL = f"""select doc_id, filename, collection, length(t) as chars from (select *, case
@@ -202,6 +204,6 @@ def _(spark, sf):
 
 @query("x03_embedder")
 def _(spark, sf):
-    vectors = spread(table(spark, sf, "documents")).select("doc_id", retrieval.embedded(F.col("text"), retrieval.hash_embedder()).alias("v"))
+    vectors = table(spark, sf, "documents").select("doc_id", retrieval.embedded(F.col("text"), retrieval.hash_embedder()).alias("v"))
     return vectors.select("doc_id", F.size("v").alias("dims"),
                           F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))

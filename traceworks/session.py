@@ -36,12 +36,15 @@ def build_session(master: str | None = None, app: str = "traceworks", **conf) ->
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; a local folder is used
-    only where that is unset, as in tests.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, as
+    in tests, a local master uses a local folder of its own; on a cluster the
+    executors could not share one, so it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="traceworks-")
     spark.conf.set("spark.checkpoint.dir", local)
     return local

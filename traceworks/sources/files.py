@@ -158,11 +158,11 @@ def table_format(properties: Column, table_type: Column, input_format: Column, s
         F.coalesce(from_class, from_input, from_serde, F.lit("unknown")))
 
 
-def catalog_columns(spark: SparkSession, databases: list[str] | None = None, max_tables: int = 50,
-                    max_columns: int = 100) -> DataFrame:
-    """(database, table_name, position, column_name, type) of the catalog, capped.
+def catalog_columns(spark: SparkSession, databases: list[str] | None = None, max_tables: int | None = None,
+                    max_columns: int | None = None) -> DataFrame:
+    """(database, table_name, position, column_name, type) of the catalog.
 
-    This walks catalog entries, not data; the caps bound what is listed.
+    This walks catalog entries, not data; the caps, where given, bound what is listed.
     """
     rows = []
     for db in databases or [d.name for d in spark.catalog.listDatabases()]:
@@ -190,8 +190,14 @@ def read_iceberg(spark: SparkSession, name: str) -> DataFrame:
 
 
 def register_external(spark: SparkSession, name: str, path: str, source: str = "parquet") -> None:
-    """A catalog table over existing files, with the schema found in them."""
-    spark.sql(f"drop table if exists {name}")
+    """A catalog table over existing files, with the schema found in them.
+
+    An external table or a view of that name is replaced; a managed one, whose data would go with it, is not.
+    """
+    if spark.catalog.tableExists(name):
+        if spark.catalog.getTable(name).tableType == "MANAGED":
+            raise ValueError(f"{name} is a managed table; drop it first")
+        spark.sql(f"drop table if exists {name}")
     spark.catalog.createTable(name, path=path, source=source)
 
 

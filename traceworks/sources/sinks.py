@@ -132,9 +132,12 @@ class JdbcLedger:
         self.connection, self.table = connection, table
 
     def append(self, events: DataFrame) -> None:
-        from traceworks.sources.warehouse import write_table
+        """Rows whose id the table does not hold yet; the first write of an id wins, so a repeated call adds nothing."""
+        from traceworks.sources.warehouse import read_table, write_table
 
-        write_table(events, self.connection, self.table, "append")
+        stored = read_table(events.sparkSession, self.connection, self.table)
+        order = ["ingest_seq"] if "ingest_seq" in events.columns else ["event_timestamp"]
+        write_table(append_new(stored, events, "trace_id", order), self.connection, self.table, "append")
 
 
 def audited(agent: str, path: str):

@@ -24,8 +24,8 @@ def masked_events(raw: DataFrame) -> DataFrame:
 def deduplicated(raw: DataFrame, delay: str = "1 day") -> DataFrame:
     """One row per trace id among rows that arrive within the watermark delay.
 
-    State is kept per id for the delay only. A copy that comes later passes,
-    and which copy inside the delay is kept is not defined: where the first
+    State is kept per id for the delay only. Rows older than the watermark, late
+    first copies too, are dropped, and which copy inside the delay is kept is not defined: where the first
     write must win for all time use :func:`ingest`.
     """
     timed = masked_events(raw).withColumn("event_time", parse_ts("event_timestamp").cast("timestamp"))
