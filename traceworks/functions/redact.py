@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,6 +89,10 @@ def mask_credentials(text: Column) -> Column:
     return _mask_all(text, CREDENTIAL_PATTERNS)
 
 
+#: What stands in place of a stripped context entry.
+STRIPPED = "[stripped]"
+
+
 def cut(text: Column, limit: int, mark: str = "…") -> Column:
     """At most ``limit`` characters, with ``mark`` where something was cut."""
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit(mark))).otherwise(text)
@@ -132,6 +136,19 @@ def redact_pii(text: Column) -> tuple[Column, dict[str, Column]]:
     return F.when(possible, out).otherwise(text), counts
 
 
+def sanitised(df: DataFrame, strip: list[str], limit: int = 500) -> DataFrame:
+    """Context rows fit to be sent on: columns named in ``strip`` hold a mark, longer texts lose personal data."""
+    out = []
+    for field in df.schema.fields:
+        value = F.col(f"`{field.name}`")
+        if field.name in strip:
+            value = F.lit(STRIPPED)
+        elif isinstance(field.dataType, T.StringType):
+            value = F.when(F.length(value) > limit, redact_pii(value)[0]).otherwise(value)
+        out.append(value.alias(field.name))
+    return df.select(*out)
+
+
 def pii_findings(text: Column) -> dict[str, Column]:
     """Hits of each pattern on the unmodified text."""
     possible = _may_hold_pii(text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceworks.functions import pii
@@ -78,6 +78,19 @@ def mask_columns(df: DataFrame, sensitivity: dict[str, str], strategy: str = "ha
     return df.withColumns(fixes) if fixes else df
 
 
+def mask_stored(spark: SparkSession, path: str, sensitivity: dict[str, str], strategy: str = "hash",
+                columns: list[str] | None = None) -> str:
+    """Mask a stored Parquet table in place; what it held before goes to ``<path>__pre_mask``, whose path is returned.
+
+    The backup is written first and masked from, so a job that stops half way loses nothing. An existing backup is
+    never overwritten.
+    """
+    backup = f"{path.rstrip('/')}__pre_mask"
+    spark.read.parquet(path).write.mode("error").parquet(backup)
+    mask_columns(spark.read.parquet(backup), sensitivity, strategy, columns).write.mode("overwrite").parquet(path)
+    return backup
+
+
 def compliance_status(runs: DataFrame) -> DataFrame:
     """Status per run from its arrays ``pii_columns``, ``high_risk_columns``, ``masked_columns``."""
     open_high = F.array_except("high_risk_columns", "masked_columns")

@@ -9,6 +9,7 @@ from traceworks.functions import pii, redact
 from traceworks.operators import clean, dedup, expectations, profile
 from traceworks.plans import compliance
 from traceworks.registry.base import query, table
+from traceworks.sources.sinks import scratch_path
 from traceworks.registry.q_ledger import staged
 from traceworks.registry.sql import over_staged
 
@@ -397,10 +398,12 @@ def _(spark, sf):
 @query("s29_backup_and_mask", WITH_PEOPLE + f"""select 'people__pre_mask' as table_name, ssn from people
   union all select 'people', {hash_sql('ssn')} from people""")
 def _(spark, sf):
-    people = fx.people(spark, sf)
-    masked = compliance.mask_columns(people, PEOPLE_CLASSES, columns=["ssn"])
-    return people.select(F.lit("people__pre_mask").alias("table_name"), "ssn").unionByName(
-        masked.select(F.lit("people").alias("table_name"), "ssn"))
+    """A stored table is backed up, masked in place, and both are read back."""
+    path = scratch_path(spark, "people")
+    fx.people(spark, sf).write.parquet(path)
+    backup = compliance.mask_stored(spark, path, PEOPLE_CLASSES, columns=["ssn"])
+    return spark.read.parquet(backup).select(F.lit("people__pre_mask").alias("table_name"), "ssn").unionByName(
+        spark.read.parquet(path).select(F.lit("people").alias("table_name"), "ssn"))
 
 
 # Text redaction -------------------------------------------------------------
@@ -530,7 +533,5 @@ def _(spark, sf):
 @query("p15_sanitise_context", f"""select doc_id, case when length(text) > 500 then t else text end as text,
   lang, '[stripped]' as df_preview from documents join ({_pii_steps_sql()}) using (doc_id)""")
 def _(spark, sf):
-    text = F.col("text")
-    return table(spark, sf, "documents").select(
-        "doc_id", F.when(F.length(text) > 500, redact.redact_pii(text)[0]).otherwise(text).alias("text"),
-        "lang", F.lit("[stripped]").alias("df_preview"))
+    context = table(spark, sf, "documents").select("doc_id", "text", "lang", F.col("text").alias("df_preview"))
+    return redact.sanitised(context, ["df_preview"])

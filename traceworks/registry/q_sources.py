@@ -37,6 +37,14 @@ def _(spark, sf):
     return files.read_file(spark, path)
 
 
+@query("s02_named_table_replaced_then_appended", "select * from nation union all select * from nation")
+def _(spark, sf):
+    """The first load replaces what an earlier run left in the table, the second one adds to it."""
+    path = _written(spark, table(spark, sf, "nation"), "nation", "parquet")
+    name = files.load_table(spark, path, "traceworks_nation_load")
+    return spark.table(files.load_table(spark, path, name, mode="append"))
+
+
 @query("s04_json_lines_load", "select p_partkey, p_name, p_size, p_retailprice from part")
 def _(spark, sf):
     path = _written(spark, table(spark, sf, "part").select("p_partkey", "p_name", "p_size", "p_retailprice"),
