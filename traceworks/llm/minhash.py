@@ -1,10 +1,11 @@
 """Near-duplicate documents by MinHash: universal hash minima, banding, two checks, connected components.
 
 Texts with equal shingle sets form a class at once. Class representatives are banded; in every bucket the members are
-first compared with the bucket's smallest member, then with its largest, each time only where the two are not yet
-connected. Whatever still shares a bucket without being connected is then compared in full, so no link between
-components is missed for want of a comparison; pairs inside a component need none. A pair is compared by signature
-first and confirmed on the full shingle sets.
+first compared with the bucket's smallest member, then with its largest where the two are not yet connected, by
+signature and then on the full shingle sets. Buckets that still hold several components are compared in full: their
+members are cut into blocks, a task takes two blocks at a time with their full sets, and hands on only as many links as
+tie its members together. So no link between components is missed for want of a comparison, pairs inside a component
+need none, and no list of pairs is made, however large a bucket is.
 
 With 24 bands of 4 minima a pair of likeness 0.8 shares no bucket with a chance of 3 in a million.
 
@@ -31,6 +32,8 @@ from traceworks.llm.components import connected_components
 BANDS, ROWS = 24, 4
 #: Signature likeness below the threshold by so much (over six standard errors) rules a pair out.
 SLACK = 0.25
+#: Members of one block of a bucket that is compared in full.
+BLOCK = 256
 _MERSENNE = np.uint64((1 << 61) - 1)
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 61, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -135,6 +138,40 @@ def _confirmed(k: int, percent: int):
     return work
 
 
+def _tied(k: int, percent: int):
+    """Links that tie the members of two blocks together (Arrow table to Arrow table): every component's members to its first."""
+
+    def work(members):
+        hashes, counts = shingle_sets(raw_texts(members.column("text").combine_chunks()), k)
+        n = len(counts)
+        _, column, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(n), counts)
+        both = times[column] > 1
+        row, column = row[both], np.unique(column[both], return_inverse=True)[1]
+        order = np.argsort(column)
+        row, column = row[order], column[order]
+        shared = np.zeros((n, n), np.float32)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            part = slice(*np.searchsorted(column, (lo, lo + 4096)))
+            held = np.zeros((n, 4096), np.float32)
+            held[row[part], column[part] - lo] = 1
+            shared += held @ held.T
+        sizes = counts.astype(np.float32)
+        linked = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
+        label = np.arange(n)
+        while True:
+            lower = np.where(linked, label[None, :], n).min(axis=1)
+            lower = np.minimum(lower, label)
+            if (lower == label).all():
+                break
+            label = lower
+        nodes = members.column("node").to_numpy()
+        at = np.flatnonzero(label != np.arange(n))
+        return pa.table({"a": pa.array(nodes[label[at]]), "b": pa.array(nodes[at])})
+
+    return work
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row; ``kept`` marks the smallest id of each component."""
@@ -179,15 +216,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     found = written(found.union(links(more.where("in_a != in_b").select("a", "b"))), "links")
     labels = written(connected_components(found, "a", "b"), "labels")
     # Buckets that still hold several components: their members, across components only.
-    held = written(labelled(members.select("bucket", "node"), "node", "component"), "held")
-    mixed = held.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
-    left = held.join(mixed.select("bucket"), "bucket").select("bucket", F.col("node").alias("a"), F.col(
-        "component").alias("in_a"))
-    right = left.select("bucket", F.col("a").alias("b"), F.col("in_a").alias("in_b"))
-    across = left.join(right, "bucket").where("in_a < in_b").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = written(found.union(links(across)), "links")
-    labels = connected_components(found, "a", "b")
+    held = labelled(members.select("bucket", "node"), "node", "component")
+    mixed = held.groupBy("bucket").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count(F.lit(1)) / BLOCK).cast(
+            "int").alias("blocks")).where("x != y").select("bucket", "blocks")
+    held = members.select("bucket", "node").join(mixed, "bucket").withColumn(
+        "own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = held.select("bucket", "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    tied = held.join(texts, "node").groupBy("bucket", "lo", "hi").applyInArrow(_tied(shingle, percent), "a long, b long")
+    labels = connected_components(written(found.union(tied), "links"), "a", "b")
 
     ids = sketch.groupBy("doc_id").agg(F.max("n").alias("n")).where("doc_id is not null and n > 0")
     label = ids.join(labels, ids["doc_id"] == labels["node"]).select("doc_id", "component")
