@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceworks.llm import grams
-from traceworks.llm.common import with_list
+from traceworks.llm.common import with_list, written
 
 ANCHORS = "doc_id long, anchors array<long>, again array<boolean>"
 
@@ -66,10 +66,14 @@ def anchor_rows(docs: DataFrame, find: Callable) -> DataFrame:
     return docs.mapInArrow(work, ANCHORS)
 
 
-def with_shared(docs: DataFrame, find: Callable) -> DataFrame:
-    """``docs`` with ``shared``: its anchors that occur more than once anywhere (null where it has none)."""
+def with_shared(docs: DataFrame, find: Callable, keep: bool = False) -> DataFrame:
+    """``docs`` with ``shared``: its anchors that occur more than once anywhere (null where it has none).
+
+    The anchors are needed twice: ``keep`` writes them to the shared folder instead of finding them again.
+    """
     one = anchor_rows(docs, find).select("doc_id", F.explode(F.arrays_zip("anchors", "again")).alias("a")).select(
         "doc_id", F.col("a.anchors").alias("anchor"), F.col("a.again").alias("again"))
+    one = written(one, "anchors") if keep else one
     shared = one.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where(
         "n > 1 or again").select("anchor")
     return with_list(docs, one.select("doc_id", "anchor").join(shared, "anchor"), "shared")

@@ -28,7 +28,7 @@ from traceworks.llm.suffixes import common_prefixes, suffix_array
 
 #: Neighbourhoods of one anchor that one shard takes, and the bytes after which a shard is closed.
 SALT_ROWS = 256
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 #: Width and share (one in SAMPLE_SCALE) of the grams by which a shard rules windows out before sorting suffixes.
 SAMPLED, SAMPLE_SCALE = 16, 8
 
@@ -129,8 +129,9 @@ def _shard(window: int):
             at = np.full(len(a), -1, np.int64)
             at[place[maybe]] = maybe
             at, text = at[held], a[held]
-            sa = suffix_array(text)
-            group = np.cumsum(common_prefixes(text, sa, window) < window)
+            depth = 8 << max(0, (window // 8).bit_length() - 1)
+            sa, tied = suffix_array(text, depth)
+            group = np.cumsum(common_prefixes(text, sa, tied, depth, window) < window)
             counted = at[sa] >= 0
             windows, group = at[sa[counted]], group[counted]
             repeated[windows] = np.bincount(group)[group] > 1
@@ -243,7 +244,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 400, gram: int = 32, id
     ``kept`` is binary; ``spans`` are the maximal removed byte ranges, both ends included.
     """
     docs = keyed(docs, id_col, text_col)
-    blocks = with_shared(docs, _finder(gram, window)).where("shared is not null").mapInArrow(
+    blocks = with_shared(docs, _finder(gram, window), keep=True).where("shared is not null").mapInArrow(
         _blocks(gram, window), BLOCKS)
     place = ["doc_id", "tag", "start", "n"]
     # Every distinct block at its first and last place; the hash of its content tells its anchor too.
