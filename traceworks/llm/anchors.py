@@ -21,9 +21,30 @@ ANCHORS = "doc_id long, anchors array<long>, again array<boolean>"
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:
+    """The UTF-8 bytes of texts, given as they are or as ``packed`` leaves them."""
+    if pa.types.is_binary(column.type):
+        codec = pa.Codec("zstd")
+        return [codec.decompress(x[8:], int.from_bytes(x[:8]), asbytes=True) if len(x) > 8 else b""
+                for x in column.to_pylist()]
     return column.cast(pa.binary()).to_pylist()
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``keyed`` texts, compressed one by one: what an exchange of whole texts moves and keeps on disk shrinks by a third.
+
+    A packed text is its size in eight bytes and the compressed bytes.
+    """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
+        for batch in batches:
+            small = [len(x).to_bytes(8) + (codec.compress(x, asbytes=True) if x else b"")
+                     for x in raw_texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(small, pa.binary())],
+                                             ["doc_id", "tag", "text"])
+
+    return docs.mapInArrow(work, "doc_id long, tag int, text binary")
+
+
 def word_grams(texts: list[bytes], gram: int, window: int):
     """(words, gram hashes, anchor place of each window of words, whether the window lies in one text)."""
     w = grams.words(texts)
@@ -66,8 +87,8 @@ def anchor_rows(docs: DataFrame, find: Callable) -> DataFrame:
     return docs.mapInArrow(work, ANCHORS)
 
 
-def with_shared(docs: DataFrame, find: Callable, keep: bool = False) -> DataFrame:
-    """``docs`` with ``shared``: its anchors that occur more than once anywhere (null where it has none).
+def with_shared(docs: DataFrame, small: DataFrame, find: Callable, keep: bool = False) -> DataFrame:
+    """``small``, which is ``docs`` packed, with ``shared``: its anchors that occur more than once anywhere (null where it has none).
 
     The anchors are needed twice: ``keep`` writes them to the shared folder instead of finding them again.
     """
@@ -76,7 +97,7 @@ def with_shared(docs: DataFrame, find: Callable, keep: bool = False) -> DataFram
     one = written(one, "anchors") if keep else one
     shared = one.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where(
         "n > 1 or again").select("anchor")
-    return with_list(docs, one.select("doc_id", "anchor").join(shared, "anchor"), "shared")
+    return with_list(small, one.select("doc_id", "anchor").join(shared, "anchor"), "shared")
 
 
 def own(batch: pa.RecordBatch, name: str, lo: int, hi: int) -> tuple[np.ndarray, pa.StructArray]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceworks.llm import grams
-from traceworks.llm.anchors import allowed, anchored_runs, flat_shared, own, places, raw_texts, with_shared
+from traceworks.llm.anchors import allowed, anchored_runs, flat_shared, own, packed, places, raw_texts, with_shared
 from traceworks.llm.common import keyed, with_list
 from traceworks.llm.suffixes import common_prefixes, suffix_array
 
@@ -244,7 +244,8 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 400, gram: int = 32, id
     ``kept`` is binary; ``spans`` are the maximal removed byte ranges, both ends included.
     """
     docs = keyed(docs, id_col, text_col)
-    blocks = with_shared(docs, _finder(gram, window), keep=True).where("shared is not null").mapInArrow(
+    small = packed(docs)  # once: all joins with it share one exchange
+    blocks = with_shared(docs, small, _finder(gram, window), keep=True).where("shared is not null").mapInArrow(
         _blocks(gram, window), BLOCKS)
     place = ["doc_id", "tag", "start", "n"]
     # Every distinct block at its first and last place; the hash of its content tells its anchor too.
@@ -257,13 +258,13 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 400, gram: int = 32, id
         "anchor", F.ceil(F.col("blocks") / SALT_ROWS).cast("int").alias("salts"))
     asked = first.join(several, "anchor").select(
         *place, "anchor", F.expr("cast(pmod(block, salts) as int)").alias("salt"), "salts", "known")
-    pieces = with_list(docs, asked, "asked").where("asked is not null").mapInArrow(_pieces(window), PIECES)
+    pieces = with_list(small, asked, "asked").where("asked is not null").mapInArrow(_pieces(window), PIECES)
     shards = pieces.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(
         _shard(window), FOUND)
     inside = shards.where("anchor is null").select(*place)
     across = shards.where("anchor is not null").select(
         "anchor", "part", "prints", "owners", "tags", "starts", "known").groupBy("anchor", "part").applyInArrow(
         _merge, "doc_id long, tag int, start int, n int")
-    return with_list(docs, copies.union(inside).union(across), "found").withColumn(
+    return with_list(small, copies.union(inside).union(across), "found").withColumn(
         "found", F.coalesce("found", F.array().cast("array<struct<tag:int,start:int,n:int>>"))).mapInArrow(
         _cut(window), KEPT)
