@@ -6,7 +6,9 @@ A line repeats if an earlier line (smaller id, or earlier in the same document)
 Every distinct line is cut into ``edits + 1`` segments; a line within the threshold holds one of them unchanged, at an
 offset that the two lengths bound. Segments are indexed by (number, line length, content), the substrings that can
 match are probed by length and offset, and pairs that meet are verified by a banded bit-parallel edit distance. Equal
-lines are one entry of the join, at their earliest place, so the number of copies bears on nothing.
+lines are one entry of the join, at their earliest place, so the number of copies bears on nothing. Of many lines that
+share a segment, a pair leaves the join only if parities of its characters allow so few edits, so that no list of all
+their pairs is made.
 
 Lines shorter than ``least`` characters are left alone. Defined results: null and empty texts have one empty line;
 rows equal in id and text are one document and each is returned; rows that share only the id are ordered by a digest of
@@ -41,19 +43,18 @@ def _key(line: Column, number: int, length: Column, start: Column, size: Column)
     return F.xxhash64(F.lit(number), length, F.substring(line, start + 1, size))
 
 
-def index_keys(line: Column, edits: int = EDITS) -> Column:
-    """The segments of a line as keys."""
-    length = F.length(line)
+def index_keys(line: Column, length: Column, edits: int = EDITS) -> Column:
+    """The segments of a line as keys. ``length`` should be a column: it is used many times."""
     return F.array(*[_key(line, i, length, *_segment(length, i, edits)) for i in range(edits + 1)])
 
 
-def probe_keys(line: Column, edits: int = EDITS) -> Column:
-    """Keys of all substrings that can equal a segment of a line as long or up to ``edits`` shorter.
+def probe_keys(line: Column, length: Column, edits: int = EDITS) -> Column:
+    """Keys (some null) of all substrings that can equal a segment of a line as long or up to ``edits`` shorter.
 
     The i-th segment can have moved by at most i places seen from the left, and by what the other segments leave of
     the edits seen from the right.
     """
-    keys, length = [], F.length(line)
+    keys = []
     for shorter in range(edits + 1):
         for i in range(edits + 1):
             start, size = _segment(length - shorter, i, edits)
@@ -61,7 +62,7 @@ def probe_keys(line: Column, edits: int = EDITS) -> Column:
             for move in range(low, high + 1):
                 at = start + move
                 keys.append(F.when((at >= 0) & (at + size <= length), _key(line, i, length - shorter, at, size)))
-    return F.filter(F.array(*keys), lambda k: k.isNotNull())
+    return F.array(*keys)
 
 
 def banded_distance(a: Column, b: Column, most: int = EDITS) -> Column:
@@ -111,30 +112,70 @@ def banded_distance(a: Column, b: Column, most: int = EDITS) -> Column:
     return let(characters(a), lambda rows: let(characters(b), lambda columns: run(rows, columns)))
 
 
+def _parity(parts: Column) -> Column:
+    """One bit per bucket of 64: whether an odd number of the parts falls into it."""
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(x), F.lit(64)))))
+
+
+def signature(line: Column) -> Column:
+    """Parities of a text's characters and of its pairs of neighbours.
+
+    One edit flips at most two bits of the first and four of the second, so texts whose signatures differ in more are
+    further apart than that many edits.
+    """
+    characters = F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0))
+    return let(characters, lambda c: F.struct(_parity(c).alias("singles"), _parity(F.transform(
+        F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.concat(F.get(c, i), F.get(c, i + 1)))).alias("pairs")))
+
+
+def _may_be_near(a: str, b: str, edits: int) -> Column:
+    def flipped(name: str) -> Column:
+        return F.bit_count(F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}")))
+
+    return (flipped("singles") <= 2 * edits) & (flipped("pairs") <= 4 * edits)
+
+
 def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(doc_id, tag, line_no) of every line to remove; ``docs`` as ``keyed`` gives them."""
-    lines = docs.select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(
-        F.length("line") >= least)
-    place = F.struct("doc_id", "tag", "line_no")
-    seen = lines.select("doc_id", "tag", "line_no", F.xxhash64("line").alias("id"))
-    first = seen.groupBy("id").agg(F.min(place).alias("at"))
-    # Segment index and probes, each with the digest of its line; lines equal to another come once.
-    index = lines.select(F.xxhash64("line").alias("r"), F.explode(index_keys(F.col("line"), edits)).alias("key"))
-    probes = lines.select(F.xxhash64("line").alias("s"), F.explode(probe_keys(F.col("line"), edits)).alias("key"))
-    pairs = index.distinct().join(probes.distinct(), "key").where("r != s").select("r", "s").distinct()
-    placed = pairs.join(first.select(F.col("id").alias("r"), F.col("at").alias("r_at")), "r").join(
+    seen = docs.select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(
+        F.length("line") >= least).select("doc_id", "tag", "line_no", F.xxhash64("line").alias("id"))
+    first = written(seen.groupBy("id").agg(F.min(F.struct("doc_id", "tag", "line_no")).alias("at")), "first")
+
+    def lines_at(places: DataFrame) -> DataFrame:
+        """(id, line) of the given (doc_id, tag, line_no)."""
+        asked = with_list(docs, places.select("doc_id", "tag", "line_no"), "asked").where("asked is not null").select(
+            "tag", F.split("text", "\n").alias("lines"), "asked").select(
+            F.explode(F.transform(F.filter("asked", lambda a: a["tag"] == F.col("tag")),
+                                  lambda a: F.get("lines", a["line_no"]))).alias("line"))
+        return asked.select(F.xxhash64("line").alias("id"), "line")
+
+    # Segment index and probes of every distinct line, and those of them that meet another line's.
+    distinct = lines_at(first.select("at.*")).withColumn("size", F.length("line"))
+    line, size = F.col("line"), F.col("size")
+    index = distinct.select(F.col("id").alias("r"), F.explode(index_keys(line, size, edits)).alias("key"))
+    probes = distinct.select(F.col("id").alias("s"), F.explode(probe_keys(line, size, edits)).alias("key")).where(
+        "key is not null")
+    met_index = index.alias("i").join(probes.alias("p"), (F.col("i.key") == F.col("p.key")) & (
+        F.col("r") != F.col("s")), "left_semi")
+    met_probes = probes.alias("p").join(index.alias("i"), (F.col("i.key") == F.col("p.key")) & (
+        F.col("r") != F.col("s")), "left_semi")
+    met = written(met_index.select("key", F.col("r").alias("id"), F.lit(True).alias("is_segment")).union(
+        met_probes.select("key", F.col("s").alias("id"), F.lit(False).alias("is_segment"))).distinct(), "met")
+    # Texts and signatures of those lines; a pair whose signatures are too far apart never leaves the join.
+    places = first.join(met.select("id").distinct(), "id").select("at.*")
+    lines = written(lines_at(places).dropDuplicates(["id"]).withColumn("mark", signature(F.col("line"))), "lines")
+    marked = met.join(lines.select("id", "mark"), "id")
+    r = marked.where("is_segment").select("key", F.col("id").alias("r"), F.col("mark").alias("r_mark"))
+    s = marked.where("not is_segment").select("key", F.col("id").alias("s"), F.col("mark").alias("s_mark"))
+    pairs = r.alias("x").join(s.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("r") != F.col("s"))
+                              & _may_be_near("r_mark", "s_mark", edits)).select("r", "s").distinct()
+    verified = pairs.join(lines.select(F.col("id").alias("r"), F.col("line").alias("r_line")), "r").join(
+        lines.select(F.col("id").alias("s"), F.col("line").alias("s_line")), "s").where(
+        banded_distance(F.col("r_line"), F.col("s_line"), edits) <= edits).select("r", "s")
+    placed = verified.join(first.select(F.col("id").alias("r"), F.col("at").alias("r_at")), "r").join(
         first.select(F.col("id").alias("s"), F.col("at").alias("s_at")), "s")
-    pairs = written(placed, "pairs")
-    # The texts of the lines in question come from their documents.
-    asked = pairs.select("r_at.*").union(pairs.select("s_at.*")).distinct()
-    wanted = with_list(docs, asked, "asked").where("asked is not null").select(
-        "doc_id", "tag", F.split("text", "\n").alias("lines"), F.explode("asked").alias("a")).where(
-        F.col("a.tag") == F.col("tag")).select(F.get("lines", F.col("a.line_no")).alias("line")).select(
-        F.xxhash64("line").alias("id"), "line").groupBy("id").agg(F.min("line").alias("line"))
-    verified = pairs.join(wanted.select(F.col("id").alias("r"), F.col("line").alias("r_line")), "r").join(
-        wanted.select(F.col("id").alias("s"), F.col("line").alias("s_line")), "s").where(
-        banded_distance(F.col("r_line"), F.col("s_line"), edits) <= edits)
-    near = verified.select(F.when(F.col("r_at") < F.col("s_at"), F.col("s")).otherwise(F.col("r")).alias("id")).distinct()
+    near = placed.select(F.when(F.col("r_at") < F.col("s_at"), F.col("s")).otherwise(F.col("r")).alias("id")).distinct()
     judged = first.join(near.withColumn("near", F.lit(True)), "id", "left")
     n = seen.alias("n")
     return n.join(judged, "id").where(F.coalesce("near", F.lit(False)) | ~(
