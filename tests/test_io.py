@@ -153,3 +153,24 @@ def test_prompt_rows_keep_turn_order(spark):
     assert rows[-1]["content"].endswith("Question: why?")
 
 
+
+
+def test_percentile_ranges_split_close_values(spark):
+    from pyspark.sql import functions as F
+
+    from traceworks.operators.quantiles import exact_percentiles, ranged
+
+    rng = np.random.default_rng(3)
+    values = [float(x) for x in 100 + rng.random(20_000)]
+    df = spark.createDataFrame([("k", x) for x in values] + [(None, 1.0)], "key string, value double")
+    sizes = [r["n"] for r in ranged(df, ["key"], F.col("value")).groupBy("_gb").agg(F.sum("_n").alias("n")).collect()]
+    assert len(sizes) > 100 and max(sizes) < 2000
+    got = {r["key"]: (r["p50"], r["p95"]) for r in exact_percentiles(df, ["key"], "value", {"p50": 0.5, "p95": 0.95}).collect()}
+    assert got["k"] == pytest.approx(tuple(np.quantile(values, [0.5, 0.95]))) and got[None] == (1.0, 1.0)
+
+
+def test_search_keeps_collections_apart(spark):
+    kb = spark.createDataFrame([(1, "pdfs", "a.pdf", "u", "one", [0.0, 1.0]), (1, "images", "b.png", "v", "two", [1.0, 0.0])],
+                               "doc_id long, collection string, filename string, source_uri string, text string, vector array<float>")
+    hits = retrieval.search(kb, spark.createDataFrame([(5, [0.0, 1.0])], "query_id long, query_vector array<float>"), 1).collect()
+    assert [(h["collection"], h["filename"], h["text"]) for h in hits] == [("pdfs", "a.pdf", "one")]

@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Value ranges per key.
+RANGES = 256
+
+
+def ranged(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """(_g, _v, _n, _gb): how often each value occurs per key, and the value range of the key it lies in."""
+    rows = df.select(F.struct(*keys).alias("_g"), value.alias("_v")).where(F.col("_v").isNotNull())
+    cuts = rows.groupBy("_g").agg(F.array_distinct(F.percentile_approx(
+        "_v", [k / RANGES for k in range(1, RANGES)], 20 * RANGES)).alias("_cuts"))
+    counts = rows.groupBy("_g", "_v").agg(F.count("*").alias("_n"))
+    below = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    return counts.join(cuts, "_g").withColumn("_gb", F.struct("_g", below.alias("b"))).drop("_cuts")
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
     """Interpolated percentiles of ``value`` per key.
 
     Equal values are counted before the shuffle. The counts are cut into
-    value ranges (about 64 per e-fold, so a bounded number per key); running
-    totals over the ranges say which of them hold the wanted ranks, and only
-    those ranges are ordered value by value.
+    value ranges at approximate quantiles, ``RANGES`` of about equally many rows per
+    key however close its values lie; running totals over the ranges say which
+    of them hold the wanted ranks, and only those ranges are ordered value by value.
     """
     v = F.col(value).cast("double")
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(F.struct(*keys).alias("_g"), v.alias("_v")).agg(F.count("*").alias("_n"))
-        .withColumn("_gb", F.struct("_g", F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * 64).alias("b")))
-    )
+    counts = ranged(df, keys, v)
     group = Window.partitionBy("_gb._g")
     ranges = (
         counts.groupBy("_gb").agg(F.sum("_n").alias("_rn"))
