@@ -174,3 +174,20 @@ def test_search_keeps_collections_apart(spark):
                                "doc_id long, collection string, filename string, source_uri string, text string, vector array<float>")
     hits = retrieval.search(kb, spark.createDataFrame([(5, [0.0, 1.0])], "query_id long, query_vector array<float>"), 1).collect()
     assert [(h["collection"], h["filename"], h["text"]) for h in hits] == [("pdfs", "a.pdf", "one")]
+
+
+def test_sql_functions_agree_with_column_functions(spark):
+    from pyspark.sql import functions as F
+
+    from traceworks.functions import pii, redact, register, sqltext
+
+    register.register(spark)
+    texts = ["mail a@x.org or 123-45-6789, password=hunter2abc", "select 'x', 12.5 from `db`.Orders o join c.items on 1 = 2",
+             "a  b\n\tc " + "word " * 200, "", None, "email", "user_phone", "total"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    pairs = {"redact_pii": redact.redact_pii(t)[0], "summarise": redact.summarise(t), "sql_fingerprint": redact.sql_fingerprint(t),
+             "sql_tables": F.array_join(sqltext.referenced_tables(t), ","), "pii_class": pii.name_class_column(t)["pii_type"]}
+    for r in df.select(*[F.expr(f"{n}(t)").alias(n) for n in pairs], *[c.alias(f"{n}_") for n, c in pairs.items()]).collect():
+        for n in pairs:
+            assert r[n] == r[f"{n}_"], n

@@ -4,20 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from traceworks.functions import redact, sqltext
+from traceworks.functions import pii, redact, sqltext
 
 
 def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _masking(patterns: list[str]) -> str:
-    body = "t"
+#: A number standing alone in a statement.
+NUMBER = r"\b\d+(\.\d+)?\b"
+
+
+def _masking(patterns: list[str], body: str = "t") -> str:
     for p in patterns:
         body = f"regexp_replace({body}, {quoted(p)}, {quoted(redact.REDACTED)})"
     return body
 
 
+def _redacting() -> str:
+    body = "t"
+    for pattern, label in redact.TEXT_PII:
+        body = f"regexp_replace({body}, {quoted(redact.unicode_pattern(pattern))}, {quoted(label)})"
+    return body
+
+
+def _summary(body: str, limit: int) -> str:
+    flat = f"trim(regexp_replace({body}, {quoted('(?U)' + chr(92) + 's+')}, ' '))"
+    return f"if(length({flat}) > {limit}, concat(left({flat}, {limit}), '…'), {flat})"
+
+
+def _fingerprint() -> str:
+    literals = f"regexp_replace(nullif(t, ''), {quoted(chr(39) + '[^' + chr(39) + ']*' + chr(39))}, {quoted(chr(39) + '?' + chr(39))})"
+    numbers = f"regexp_replace({literals}, {quoted(redact.unicode_pattern(NUMBER))}, '?')"
+    return _summary(_masking(redact.SECRET_PATTERNS, numbers), 300)
+
+
+def _name_class() -> str:
+    cases = " ".join(f"when rlike(t, {quoted('(?iU)' + pattern)}) then {quoted(kind)}"
+                     for pattern, kind, _ in pii.NAME_PATTERNS)
+    return f"case {cases} end"
+
+
 def definitions() -> dict[str, str]:
     """Body of every function, over its one argument ``t``."""
     return {
@@ -27,6 +54,13 @@ def definitions() -> dict[str, str]:
         "text_hash": "sha2(nullif(t, ''), 256)",
         "dangerous_verbs":
             f"array_join(transform(regexp_extract_all(t, {quoted(sqltext.DANGEROUS_PATTERN)}, 1), v -> upper(v)), ',')",
+        "sql_tables":
+            f"array_join(array_sort(array_distinct(transform(regexp_extract_all(t, {quoted(sqltext.SOURCE_PATTERN)}, 1), "
+            f"x -> lower(element_at(split(regexp_replace(x, {quoted(sqltext.QUOTES_PATTERN)}, ''), '[.]'), -1))))), ',')",
+        "redact_pii": _redacting(),
+        "summarise": _summary(_masking(redact.SECRET_PATTERNS), 500),
+        "sql_fingerprint": _fingerprint(),
+        "pii_class": _name_class(),
     }
 
 
