@@ -30,39 +30,36 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of a segment of a line; the last segments take the remainder."""
+def with_cuts(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """``lines`` (line, size) with ``cut_d_i``: where segment i starts in lines shorter by d, i = edits + 1 being the end.
+
+    They are columns of their own, so that the key expressions stay small enough to be compiled.
+    """
     parts = edits + 1
-    size, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    first_longer = F.lit(parts) - longer
-    start = size * number + F.greatest(F.lit(number) - first_longer, F.lit(0))
-    return start.cast("int"), (size + F.when(F.lit(number) >= first_longer, 1).otherwise(0)).cast("int")
+    return lines.withColumns({f"cut_{d}_{i}": F.expr(f"int((size - {d}) * {i} div {parts})")
+                              for d in range(edits + 1) for i in range(parts + 1)})
 
 
-def _key(line: Column, number: int, length: Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(F.lit(number), length, F.substring(line, start + 1, size))
+def _key(shorter: int, number: int, start: Column) -> Column:
+    """Key of the substring from ``start`` that is as long as a segment of lines shorter by so much."""
+    size = F.col(f"cut_{shorter}_{number + 1}") - F.col(f"cut_{shorter}_{number}")
+    return F.xxhash64(F.lit(number), F.col("size") - shorter, F.substring("line", start + 1, size))
 
 
-def index_keys(line: Column, length: Column, edits: int = EDITS) -> Column:
-    """The segments of a line as keys. ``length`` should be a column: it is used many times."""
-    return F.array(*[_key(line, i, length, *_segment(length, i, edits)) for i in range(edits + 1)])
+def index_keys(edits: int = EDITS) -> Column:
+    """The segments of a line of ``with_cuts`` as keys."""
+    return F.array(*[_key(0, i, F.col(f"cut_0_{i}")) for i in range(edits + 1)])
 
 
-def probe_keys(line: Column, length: Column, edits: int = EDITS) -> Column:
-    """Keys (some null) of all substrings that can equal a segment of a line as long or up to ``edits`` shorter.
+def probe_keys(edits: int = EDITS) -> Column:
+    """Keys of all substrings that can equal a segment of a line as long or up to ``edits`` shorter.
 
     The i-th segment can have moved by at most i places seen from the left, and by what the other segments leave of
-    the edits seen from the right.
+    the edits seen from the right. Lines of ``with_cuts`` are long enough that no substring leaves them.
     """
-    keys = []
-    for shorter in range(edits + 1):
-        for i in range(edits + 1):
-            start, size = _segment(length - shorter, i, edits)
-            low, high = max(-i, shorter - (edits - i)), min(i, shorter + edits - i)
-            for move in range(low, high + 1):
-                at = start + move
-                keys.append(F.when((at >= 0) & (at + size <= length), _key(line, i, length - shorter, at, size)))
-    return F.array(*keys)
+    return F.array(*[
+        _key(d, i, F.col(f"cut_{d}_{i}") + move) for d in range(edits + 1) for i in range(edits + 1)
+        for move in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1)])
 
 
 def banded_distance(a: Column, b: Column, most: int = EDITS) -> Column:
@@ -138,34 +135,27 @@ def _may_be_near(a: str, b: str, edits: int) -> Column:
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(doc_id, tag, line_no) of every line to remove; ``docs`` as ``keyed`` gives them."""
-    seen = docs.select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(
-        F.length("line") >= least).select("doc_id", "tag", "line_no", F.xxhash64("line").alias("id"))
-    first = written(seen.groupBy("id").agg(F.min(F.struct("doc_id", "tag", "line_no")).alias("at")), "first")
-
-    def lines_at(places: DataFrame) -> DataFrame:
-        """(id, line) of the given (doc_id, tag, line_no)."""
-        asked = with_list(docs, places.select("doc_id", "tag", "line_no"), "asked").where("asked is not null").select(
-            "tag", F.split("text", "\n").alias("lines"), "asked").select(
-            F.explode(F.transform(F.filter("asked", lambda a: a["tag"] == F.col("tag")),
-                                  lambda a: F.get("lines", a["line_no"]))).alias("line"))
-        return asked.select(F.xxhash64("line").alias("id"), "line")
-
-    # Segment index and probes of every distinct line, and those of them that meet another line's.
-    distinct = lines_at(first.select("at.*")).withColumn("size", F.length("line"))
-    line, size = F.col("line"), F.col("size")
-    index = distinct.select(F.col("id").alias("r"), F.explode(index_keys(line, size, edits)).alias("key"))
-    probes = distinct.select(F.col("id").alias("s"), F.explode(probe_keys(line, size, edits)).alias("key")).where(
-        "key is not null")
+    rows = docs.select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(
+        F.length("line") >= least).select("doc_id", "tag", "line_no", "line", F.xxhash64("line").alias("id"))
+    # Every distinct line at its first place.
+    distinct = rows.groupBy("id").agg(F.min(F.struct("doc_id", "tag", "line_no")).alias("at"),
+                                      F.min("line").alias("line"))
+    first = distinct.select("id", "at")
+    # Segment index and probes, and those of them that meet another line's.
+    cut = with_cuts(distinct.select("id", "line", F.length("line").alias("size")), edits)
+    index = cut.select(F.col("id").alias("r"), F.explode(index_keys(edits)).alias("key"))
+    probes = cut.select(F.col("id").alias("s"), F.explode(probe_keys(edits)).alias("key"))
     met_index = index.alias("i").join(probes.alias("p"), (F.col("i.key") == F.col("p.key")) & (
         F.col("r") != F.col("s")), "left_semi")
     met_probes = probes.alias("p").join(index.alias("i"), (F.col("i.key") == F.col("p.key")) & (
         F.col("r") != F.col("s")), "left_semi")
-    met = written(met_index.select("key", F.col("r").alias("id"), F.lit(True).alias("is_segment")).union(
-        met_probes.select("key", F.col("s").alias("id"), F.lit(False).alias("is_segment"))).distinct(), "met")
-    # Texts and signatures of those lines; a pair whose signatures are too far apart never leaves the join.
-    places = first.join(met.select("id").distinct(), "id").select("at.*")
-    lines = written(lines_at(places).dropDuplicates(["id"]).withColumn("mark", signature(F.col("line"))), "lines")
-    marked = met.join(lines.select("id", "mark"), "id")
+    met = met_index.select("key", F.col("r").alias("id"), F.lit(True).alias("is_segment")).union(
+        met_probes.select("key", F.col("s").alias("id"), F.lit(False).alias("is_segment"))).distinct()
+    # With their texts and signatures; a pair whose signatures are too far apart never leaves the join.
+    texts = distinct.select("id", "line").join(met.select("id").distinct(), "id", "left_semi").withColumn(
+        "mark", signature(F.col("line")))
+    marked = written(met.join(texts, "id"), "met")
+    lines = marked.select("id", "line").dropDuplicates(["id"])
     r = marked.where("is_segment").select("key", F.col("id").alias("r"), F.col("mark").alias("r_mark"))
     s = marked.where("not is_segment").select("key", F.col("id").alias("s"), F.col("mark").alias("s_mark"))
     pairs = r.alias("x").join(s.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("r") != F.col("s"))
@@ -177,7 +167,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> D
         first.select(F.col("id").alias("s"), F.col("at").alias("s_at")), "s")
     near = placed.select(F.when(F.col("r_at") < F.col("s_at"), F.col("s")).otherwise(F.col("r")).alias("id")).distinct()
     judged = first.join(near.withColumn("near", F.lit(True)), "id", "left")
-    n = seen.alias("n")
+    n = rows.select("doc_id", "tag", "line_no", "id").alias("n")
     return n.join(judged, "id").where(F.coalesce("near", F.lit(False)) | ~(
         F.col("n.doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("n.tag") == F.col("at.tag"))
         & (F.col("n.line_no") == F.col("at.line_no")))).select("n.doc_id", "n.tag", "n.line_no").distinct()
