@@ -1,8 +1,7 @@
 """Near-duplicate documents by MinHash: universal hash minima, banding, two checks, connected components.
 
 Texts with equal shingle sets form a class at once. Class representatives are banded; in every bucket the members are
-first compared with the bucket's smallest member, then with its largest where the two are not yet connected, by
-signature and then on the full shingle sets. Buckets that still hold several components are compared in full: their
+first compared with the bucket's smallest and largest member, by signature and then on the full shingle sets. Buckets that still hold several components are compared in full: their
 members are cut into blocks, a task takes two blocks at a time with their full sets, and hands on only as many links as
 tie its members together. So no link between components is missed for want of a comparison, pairs inside a component
 need none, and no list of pairs is made, however large a bucket is.
@@ -202,19 +201,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     # Rows that share an id join their classes.
     same_id = sketch.where("n > 0").join(classes, ["set_a", "set_b", "n"]).where("doc_id != node").select(
         F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = written(same_id.union(links(members.where("node != lo").select(
-        F.col("lo").alias("a"), F.col("node").alias("b")).distinct())), "links")
+    # Two centres per bucket: its smallest and its largest member.
+    stars = members.select("node", F.explode(F.array("lo", "hi")).alias("centre")).where("node != centre").select(
+        F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    found = written(same_id.union(links(stars)), "links")
     labels = written(connected_components(found, "a", "b"), "labels")
 
     def labelled(rows: DataFrame, node: str, name: str) -> DataFrame:
         label = labels.select(F.col("node").alias(node), F.col("component").alias(name))
         return rows.join(label, node, "left").withColumn(name, F.coalesce(name, node))
 
-    # A second centre per bucket, for members that are not yet connected with it.
-    more = labelled(labelled(members.where("node != hi").select(
-        F.col("hi").alias("a"), F.col("node").alias("b")).distinct(), "a", "in_a"), "b", "in_b")
-    found = written(found.union(links(more.where("in_a != in_b").select("a", "b"))), "links")
-    labels = written(connected_components(found, "a", "b"), "labels")
     # Buckets that still hold several components: their members, across components only.
     held = labelled(members.select("bucket", "node"), "node", "component")
     mixed = held.groupBy("bucket").agg(
