@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from traceworks.functions.redact import mask_credentials
 from traceworks.functions.times import parse_ts
-from traceworks.operators.aggregates import tally
+from traceworks.operators.aggregates import rate_pct, tally
 from traceworks.operators.dedup import keep_last
 from traceworks.plans.ledger import SESSION_KEYS, kind, session_summary, staged_events
 from traceworks.sources.sinks import ParquetLedger
@@ -60,7 +60,8 @@ def live_risk(raw: DataFrame, delay: str = "1 day") -> DataFrame:
         *tally(sql_generated=kind("sql_generated"), sql_blocked=kind("sql_blocked"), errors="is_error"),
         F.approx_count_distinct("sql_hash").alias("distinct_sql_approx"),
     ).select("tenant_id", F.col("window.start").cast("timestamp_ntz").alias("event_date"),
-             "total_sql_events", "sql_generated", "sql_blocked", "errors", "distinct_sql_approx")
+             "total_sql_events", "sql_generated", "sql_blocked", "errors",
+             rate_pct(F.col("sql_blocked"), F.col("sql_generated")).alias("block_rate"), "distinct_sql_approx")
 
 
 def roll_up_sessions(raw: DataFrame, ledger_path: str, out_path: str, checkpoint: str,
