@@ -7,48 +7,48 @@ from pyspark.sql import functions as F
 
 from traceworks.operators.indicators import clean_bars, indicators, price_changes, truthy
 
-# Ticker, sector label, sector fund, commodity, currency pair.
+# Ticker, sector fund, commodity, its label, currency pair, its label, sector label.
 TICKER_CONTEXT = [
-    ("BHP", "ASX Materials", "XMM.AX", "IRON30Y=EX", "AUDUSD=X"),
-    ("RIO", "ASX Materials", "XMM.AX", "IRON30Y=EX", "AUDUSD=X"),
-    ("FMG", "ASX Materials", "XMM.AX", "IRON30Y=EX", "AUDUSD=X"),
-    ("MIN", "ASX Materials", "XMM.AX", "LIT", "AUDUSD=X"),
-    ("S32", "ASX Materials", "XMM.AX", "GC=F", "AUDUSD=X"),
-    ("NST", "ASX Gold", "XGD.AX", "GC=F", "AUDUSD=X"),
-    ("NCM", "ASX Gold", "XGD.AX", "GC=F", "AUDUSD=X"),
-    ("EVN", "ASX Gold", "XGD.AX", "GC=F", "AUDUSD=X"),
-    ("WDS", "ASX Energy", "XEJ.AX", "CL=F", "AUDUSD=X"),
-    ("STO", "ASX Energy", "XEJ.AX", "CL=F", "AUDUSD=X"),
-    ("BPT", "ASX Energy", "XEJ.AX", "CL=F", "AUDUSD=X"),
-    ("CBA", "ASX Financials", "XFJ.AX", None, "AUDUSD=X"),
-    ("ANZ", "ASX Financials", "XFJ.AX", None, "AUDUSD=X"),
-    ("NAB", "ASX Financials", "XFJ.AX", None, "AUDUSD=X"),
-    ("WBC", "ASX Financials", "XFJ.AX", None, "AUDUSD=X"),
-    ("MQG", "ASX Financials", "XFJ.AX", None, "AUDUSD=X"),
-    ("CSL", "ASX Healthcare", "XHJ.AX", None, "AUDUSD=X"),
-    ("RMD", "ASX Healthcare", "XHJ.AX", None, "AUDUSD=X"),
-    ("WTC", "ASX Technology", "XTJ.AX", None, "AUDUSD=X"),
-    ("XRO", "ASX Technology", "XTJ.AX", None, "AUDUSD=X"),
-    ("NVDA", "US Semiconductors", "SOXX", None, None),
-    ("AMD", "US Semiconductors", "SOXX", None, None),
-    ("INTC", "US Semiconductors", "SOXX", None, None),
-    ("QCOM", "US Semiconductors", "SOXX", None, None),
-    ("AVGO", "US Semiconductors", "SOXX", None, None),
-    ("MU", "US Semiconductors", "SOXX", None, None),
-    ("AMAT", "US Semiconductors", "SOXX", None, None),
-    ("AAPL", "US Mega-cap Tech", "QQQ", None, None),
-    ("MSFT", "US Mega-cap Tech", "QQQ", None, None),
-    ("GOOGL", "US Mega-cap Tech", "QQQ", None, None),
-    ("AMZN", "US Mega-cap Tech", "QQQ", None, None),
-    ("META", "US Mega-cap Tech", "QQQ", None, None),
-    ("TSLA", "US Consumer Discretionary / EV", "XLY", "LIT", None),
-    ("XOM", "US Energy", "XLE", "CL=F", None),
-    ("CVX", "US Energy", "XLE", "CL=F", None),
-    ("COP", "US Energy", "XLE", "CL=F", None),
-    ("JPM", "US Financials", "XLF", None, None),
-    ("BAC", "US Financials", "XLF", None, None),
-    ("GS", "US Financials", "XLF", None, None),
-    ("MS", "US Financials", "XLF", None, None),
+    ("BHP", "XMM.AX", "IRON30Y=EX", "Iron Ore", "AUDUSD=X", "AUD/USD", "ASX Materials"),
+    ("RIO", "XMM.AX", "IRON30Y=EX", "Iron Ore", "AUDUSD=X", "AUD/USD", "ASX Materials"),
+    ("FMG", "XMM.AX", "IRON30Y=EX", "Iron Ore", "AUDUSD=X", "AUD/USD", "ASX Materials"),
+    ("MIN", "XMM.AX", "LIT", "Lithium ETF", "AUDUSD=X", "AUD/USD", "ASX Materials"),
+    ("S32", "XMM.AX", "GC=F", "Gold", "AUDUSD=X", "AUD/USD", "ASX Materials"),
+    ("NST", "XGD.AX", "GC=F", "Gold", "AUDUSD=X", "AUD/USD", "ASX Gold"),
+    ("NCM", "XGD.AX", "GC=F", "Gold", "AUDUSD=X", "AUD/USD", "ASX Gold"),
+    ("EVN", "XGD.AX", "GC=F", "Gold", "AUDUSD=X", "AUD/USD", "ASX Gold"),
+    ("WDS", "XEJ.AX", "CL=F", "Crude Oil", "AUDUSD=X", "AUD/USD", "ASX Energy"),
+    ("STO", "XEJ.AX", "CL=F", "Crude Oil", "AUDUSD=X", "AUD/USD", "ASX Energy"),
+    ("BPT", "XEJ.AX", "CL=F", "Crude Oil", "AUDUSD=X", "AUD/USD", "ASX Energy"),
+    ("CBA", "XFJ.AX", None, None, "AUDUSD=X", "AUD/USD", "ASX Financials"),
+    ("ANZ", "XFJ.AX", None, None, "AUDUSD=X", "AUD/USD", "ASX Financials"),
+    ("NAB", "XFJ.AX", None, None, "AUDUSD=X", "AUD/USD", "ASX Financials"),
+    ("WBC", "XFJ.AX", None, None, "AUDUSD=X", "AUD/USD", "ASX Financials"),
+    ("MQG", "XFJ.AX", None, None, "AUDUSD=X", "AUD/USD", "ASX Financials"),
+    ("CSL", "XHJ.AX", None, None, "AUDUSD=X", "AUD/USD", "ASX Healthcare"),
+    ("RMD", "XHJ.AX", None, None, "AUDUSD=X", "AUD/USD", "ASX Healthcare"),
+    ("WTC", "XTJ.AX", None, None, "AUDUSD=X", "AUD/USD", "ASX Technology"),
+    ("XRO", "XTJ.AX", None, None, "AUDUSD=X", "AUD/USD", "ASX Technology"),
+    ("NVDA", "SOXX", None, None, None, None, "US Semiconductors"),
+    ("AMD", "SOXX", None, None, None, None, "US Semiconductors"),
+    ("INTC", "SOXX", None, None, None, None, "US Semiconductors"),
+    ("QCOM", "SOXX", None, None, None, None, "US Semiconductors"),
+    ("AVGO", "SOXX", None, None, None, None, "US Semiconductors"),
+    ("MU", "SOXX", None, None, None, None, "US Semiconductors"),
+    ("AMAT", "SOXX", None, None, None, None, "US Semiconductors"),
+    ("AAPL", "QQQ", None, None, None, None, "US Mega-cap Tech"),
+    ("MSFT", "QQQ", None, None, None, None, "US Mega-cap Tech"),
+    ("GOOGL", "QQQ", None, None, None, None, "US Mega-cap Tech"),
+    ("AMZN", "QQQ", None, None, None, None, "US Mega-cap Tech"),
+    ("META", "QQQ", None, None, None, None, "US Mega-cap Tech"),
+    ("TSLA", "XLY", "LIT", "Lithium ETF", None, None, "US Consumer Discretionary / EV"),
+    ("XOM", "XLE", "CL=F", "WTI Crude", None, None, "US Energy"),
+    ("CVX", "XLE", "CL=F", "WTI Crude", None, None, "US Energy"),
+    ("COP", "XLE", "CL=F", "WTI Crude", None, None, "US Energy"),
+    ("JPM", "XLF", None, None, None, None, "US Financials"),
+    ("BAC", "XLF", None, None, None, None, "US Financials"),
+    ("GS", "XLF", None, None, None, None, "US Financials"),
+    ("MS", "XLF", None, None, None, None, "US Financials"),
 ]
 
 # Signal labels.
@@ -79,19 +79,21 @@ def watchlist(bars: DataFrame) -> DataFrame:
 def context_table(spark: SparkSession) -> DataFrame:
     """The fixed ticker context, a few dozen rows."""
     return spark.createDataFrame(
-        TICKER_CONTEXT, "ticker string, sector_label string, sector_etf string, commodity string, fx string")
+        TICKER_CONTEXT, "ticker string, sector_etf string, commodity string, commodity_label string, fx string, "
+                        "fx_label string, sector_label string")
 
 
 def market_context(bars: DataFrame) -> DataFrame:
-    """Each mapped ticker's price changes beside those of its sector fund,
-    commodity and currency pair. The context side is a fixed small table."""
+    """Each ticker's price changes beside those of its sector fund, commodity and
+    currency pair; a ticker without context has its own changes only. The
+    context side is a fixed small table."""
     changes = price_changes(bars)
 
     def beside(symbol: str) -> DataFrame:
         return changes.select(F.col("ticker").alias(symbol), F.col("chg_1d").alias(f"{symbol}_1d"),
-                              F.col("chg_1m").alias(f"{symbol}_1m"))
+                              F.col("chg_5d").alias(f"{symbol}_5d"), F.col("chg_1m").alias(f"{symbol}_1m"))
 
-    known = changes.join(F.broadcast(context_table(bars.sparkSession)), "ticker")
+    known = changes.join(F.broadcast(context_table(bars.sparkSession)), "ticker", "left")
     for symbol in ("sector_etf", "commodity", "fx"):
         known = known.join(beside(symbol), symbol, "left")
     return known

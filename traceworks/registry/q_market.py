@@ -132,18 +132,18 @@ def _sql_text(v):
 
 
 _CONTEXT_SQL = "(values " + ", ".join(
-    f"('{t}', '{sector}', '{fund}', {_sql_text(c)}, {_sql_text(fxp)})"
-    for t, sector, fund, c, fxp in market.TICKER_CONTEXT
-) + ") k(ticker, sector_label, sector_etf, commodity, fx)"
+    "(" + ", ".join(map(_sql_text, row)) + ")" for row in market.TICKER_CONTEXT
+) + ") k(ticker, sector_etf, commodity, commodity_label, fx, fx_label, sector_label)"
+_CONTEXT_COLUMNS = "sector_etf, commodity, commodity_label, fx, fx_label, sector_label"
 
 
 def _context_sql(source: str) -> str:
     joins, columns = "", ""
     for s in ("sector_etf", "commodity", "fx"):
         joins += f" left join {CHANGES_SQL} {s}_c on {s}_c.ticker = k.{s}"
-        columns += f", {s}_c.chg_1d as {s}_1d, {s}_c.chg_1m as {s}_1m"
-    return f"""select c.*, sector_label, sector_etf, commodity, fx{columns}
-from {CHANGES_SQL} c join {_CONTEXT_SQL} on k.ticker = c.ticker{joins}"""
+        columns += f", {s}_c.chg_1d as {s}_1d, {s}_c.chg_5d as {s}_5d, {s}_c.chg_1m as {s}_1m"
+    return f"""select c.*, {_CONTEXT_COLUMNS}{columns}
+from {CHANGES_SQL} c left join {_CONTEXT_SQL} on k.ticker = c.ticker{joins}"""
 
 
 @query("v05_market_context", _context_sql(CHANGES_SQL))
@@ -151,7 +151,7 @@ def _(spark, sf):
     return market.market_context(symbol_bars(spark, sf))
 
 
-@query("j12_ticker_context", f"""select c_custkey, t as ticker, sector_label, sector_etf, commodity, fx
+@query("j12_ticker_context", f"""select c_custkey, t as ticker, {_CONTEXT_COLUMNS}
 from (select c_custkey, {_SYMBOL_CASE.replace('case ticker', "case concat('T', c_custkey % 25)")} as t from customer)
 left join {_CONTEXT_SQL} on k.ticker = t""")
 def _(spark, sf):
