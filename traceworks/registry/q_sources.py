@@ -41,8 +41,9 @@ def _(spark, sf):
 def _(spark, sf):
     """The first load replaces what an earlier run left in the table, the second one adds to it."""
     path = _written(spark, table(spark, sf, "nation"), "nation", "parquet")
-    name = files.load_table(spark, path, "traceworks_nation_load")
-    return spark.table(files.load_table(spark, path, name, mode="append"))
+    place = sinks.scratch_path(spark, "nation_table")
+    name = files.load_table(spark, path, "traceworks_nation_load", location=place)
+    return spark.table(files.load_table(spark, path, name, mode="append", location=place))
 
 
 @query("s04_json_lines_load", "select p_partkey, p_name, p_size, p_retailprice from part")

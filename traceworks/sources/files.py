@@ -85,11 +85,14 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_table(spark: SparkSession, path: str, name: str | None = None, mode: str = "replace",
-               schema: str | None = None) -> str:
-    """Load a file into a named table, replacing or appending; returns its name."""
+               schema: str | None = None, location: str | None = None) -> str:
+    """Load a file into a named table, replacing or appending; returns its name.
+
+    The table's files lie in the warehouse, or below ``location`` if that is given.
+    """
     name = name or table_name(path)
-    writer_mode = {"replace": "overwrite", "append": "append"}[mode]
-    read_file(spark, path, schema).write.mode(writer_mode).saveAsTable(name)
+    writer = read_file(spark, path, schema).write.mode({"replace": "overwrite", "append": "append"}[mode])
+    (writer.option("path", location) if location else writer).saveAsTable(name)
     return name
 
 
