@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +57,14 @@ class Vocabulary:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.score[piece] = (model.get_score(i), i)
                 plain.append(piece)
-        #: Every ending of a piece, with (score, id) where it is a piece itself.
-        self.endings = {piece[k:]: None for piece in plain for k in range(len(piece))} | self.score
+        #: All pieces read from their ends: a character leads to (further characters, score, id), score null if none ends.
+        self.endings: dict = {}
+        for piece in plain:
+            level = self.endings
+            for c in piece[:0:-1]:
+                level = level.setdefault(c, ({}, None, -1))[0]
+            further = level.get(piece[0], ({},))[0]
+            level[piece[0]] = (further, *self.score[piece])
         self.unknown = min(s for s, _ in self.score.values()) - UNKNOWN
         self.unknown_id = model.unk_id()
         joined = {c for piece in plain if len(piece) > 1 for c in piece}
@@ -91,14 +98,16 @@ def search(words: list[str], vocabulary: Vocabulary) -> dict[str, list[int]]:
             shared += 1
         del best[shared + 1 :], start[shared + 1 :], ids[shared + 1 :]
         for end in range(shared + 1, len(word) + 1):
-            top, at, piece_id = best[end - 1] + unknown, end - 1, -1
-            for begin in range(end - 1, -1, -1):
-                hit = endings.get(word[begin:end], 0)
-                if hit == 0:
-                    if begin < end - 1:
-                        break
-                elif hit is not None and best[begin] + hit[0] >= top:
-                    top, at, piece_id = best[begin] + hit[0], begin, hit[1]
+            begin = at = end - 1
+            top, piece_id, level = best[begin] + unknown, -1, endings
+            while begin >= 0:
+                node = level.get(word[begin])
+                if node is None:
+                    break
+                level, value, number = node
+                if value is not None and best[begin] + value >= top:
+                    top, at, piece_id = best[begin] + value, begin, number
+                begin -= 1
             best.append(top)
             start.append(at)
             ids.append(piece_id)
@@ -122,25 +131,31 @@ def _encoder(path: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(path)
         number: dict[str, int] = {}
-        known: list[np.ndarray] = []
+        flat, sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
         for whole in batches:
             texts = ["" if t is None else t for t in whole.column("text").to_pylist()]
             for lo, hi in _groups(texts):
                 if len(number) > MEMORY:
-                    number, known = {}, []
+                    number, flat, sizes = {}, flat[:0], sizes[:0]
                 cut = [vocabulary.words.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[lo:hi]]
-                new = {w for words in cut for w in words}.difference(number)
-                for word, ids in search(list(new), vocabulary).items():
-                    number[word] = len(known)
-                    known.append(np.array(ids, np.int32))
-                flat = [[known[number[w]] for w in words] for words in cut]
-                ids = [np.concatenate(x) if x else np.zeros(0, np.int32) for x in flat]
-                counts = np.array([len(x) for x in ids])
-                offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
+                found = search(list(set(chain.from_iterable(cut)).difference(number)), vocabulary)
+                number.update(zip(found, range(len(number), len(number) + len(found))))
+                flat = np.append(flat, np.fromiter(chain.from_iterable(found.values()), np.int32))
+                sizes = np.append(sizes, np.fromiter(map(len, found.values()), np.int64))
+                # The pieces of all words of the group, one after the other.
+                word = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64)
+                n = sizes[word]
+                ends = np.cumsum(n)
+                first = (np.cumsum(sizes) - sizes)[word]
+                pieces = flat[np.repeat(first - (ends - n), n) + np.arange(n.sum())]
+                words = np.append(0, np.cumsum([len(x) for x in cut]))
+                offsets = np.append(0, ends)[words].astype(np.int32)
+                ids = np.split(pieces, offsets[1:-1])
+                counts = np.diff(offsets)
                 decoded = [decode(x, vocabulary) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [whole.column("doc_id")[lo:hi], pa.array(counts, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(pieces)),
                      pa.array(decoded, pa.string()), pa.array([a == b for a, b in zip(decoded, texts[lo:hi])])],
                     ["doc_id", "n_pieces", "ids", "decoded", "exact"])
 
