@@ -64,12 +64,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     part = F.coalesce(F.size(F.filter(cuts, lambda c: c < F.col("doc_id"))), F.lit(-1))
     docs = docs.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(part))
     order = Window.partitionBy("part").orderBy(F.col("doc_id").desc(), "text")
-    rows = docs.withColumn("within", F.lead("text").over(order)).withColumn("last", F.lead(F.lit(1)).over(order).isNull())
-    # The first row of each range, and the range that reads it: bounded by the number of ranges.
-    heads = docs.groupBy("part").agg(F.max("doc_id").alias("head_id")).withColumn(
-        "reader", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())))
-    head = heads.alias("h").join(docs.alias("d"), (F.col("h.part") == F.col("d.part")) & F.col("h.head_id").eqNullSafe(
-        F.col("d.doc_id"))).groupBy("reader").agg(F.min("d.text").alias("head"))
+    rows = docs.withColumn("within", F.lead("text").over(order)).withColumn(
+        "last", F.lead(F.lit(1)).over(order).isNull()).withColumn("nth", F.row_number().over(order))
+    # The range that reads each range's first row: bounded by the number of ranges.
+    readers = docs.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(
+        F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("reader"))
+    head = rows.where("nth = 1").select("part", F.col("text").alias("head")).join(readers, "part").select("reader", "head")
     return rows.join(head, F.col("last") & (rows["part"] == head["reader"]), "left").select(
         "doc_id", "text", F.when(F.col("last"), F.col("head")).otherwise(F.col("within")).alias("next_text"))
 
