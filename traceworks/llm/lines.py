@@ -7,7 +7,7 @@ Every distinct line is cut into ``edits + 1`` segments; a line within the thresh
 offset that the two lengths bound. Segments are indexed by (number, line length, content), the substrings that can
 match are probed by length and offset, and pairs that meet are verified by a banded bit-parallel edit distance. Equal
 lines are one entry of the join, at their earliest place, so the number of copies bears on nothing. Of many lines that
-share a segment, a pair leaves the join only if parities of its characters allow so few edits, so that no list of all
+share a segment, a pair leaves the join only if counts of its characters allow so few edits, so that no list of all
 their pairs is made.
 
 Lines shorter than ``least`` characters are left alone. Defined results: null and empty texts have one empty line;
@@ -109,28 +109,18 @@ def banded_distance(a: Column, b: Column, most: int = EDITS) -> Column:
     return let(characters(a), lambda rows: let(characters(b), lambda columns: run(rows, columns)))
 
 
-def _parity(parts: Column) -> Column:
-    """One bit per bucket of 64: whether an odd number of the parts falls into it."""
-    return F.aggregate(parts, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(
-        F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(x), F.lit(64)))))
+#: Classes of characters that are counted; any disjoint ones would do.
+CLASSES = ("[a]", "[e]", "[i]", "[o]", "[n]", "[rs]", "[tl]", "[^aeionrstl]")
 
 
 def signature(line: Column) -> Column:
-    """Parities of a text's characters and of its pairs of neighbours.
-
-    One edit flips at most two bits of the first and four of the second, so texts whose signatures differ in more are
-    further apart than that many edits.
-    """
-    characters = F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0))
-    return let(characters, lambda c: F.struct(_parity(c).alias("singles"), _parity(F.transform(
-        F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.concat(F.get(c, i), F.get(c, i + 1)))).alias("pairs")))
+    """How many characters of each class a text has. One edit changes these counts by two at most, taken together."""
+    return F.struct(*[F.regexp_count(line, F.lit(c)).alias(f"c{k}") for k, c in enumerate(CLASSES)])
 
 
 def _may_be_near(a: str, b: str, edits: int) -> Column:
-    def flipped(name: str) -> Column:
-        return F.bit_count(F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}")))
-
-    return (flipped("singles") <= 2 * edits) & (flipped("pairs") <= 4 * edits)
+    apart = sum((F.abs(F.col(f"{a}.c{k}") - F.col(f"{b}.c{k}")) for k in range(len(CLASSES))), F.lit(0))
+    return apart <= 2 * edits
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
