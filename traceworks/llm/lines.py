@@ -109,8 +109,8 @@ def banded_distance(a: Column, b: Column, most: int = EDITS) -> Column:
     return let(characters(a), lambda rows: let(characters(b), lambda columns: run(rows, columns)))
 
 
-#: Classes of characters that are counted; any disjoint ones would do.
-CLASSES = ("[a]", "[e]", "[i]", "[o]", "[n]", "[rs]", "[tl]", "[^aeionrstl]")
+#: Classes of characters that are counted; any disjoint ones would do, the more of them the sharper the signature.
+CLASSES = ("a", "e", "i", "o", "u", "n", "r", "s", "t", "l", "h", "d", "[cm]", "[pb]", "[gv]", "[wfy]", "[éèê]", "[ñáíóúü]")
 
 
 def signature(line: Column) -> Column:
