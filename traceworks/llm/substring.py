@@ -26,9 +26,8 @@ from traceworks.llm.anchors import (allowed, anchored_runs, flat_shared, own, pa
                                     word_grams)
 from traceworks.llm.common import keyed, with_list
 
-#: A block's key: a hash of its anchor above, of its content in the lowest bits, 64 in all.
-CONTENT_BITS = 24
-BLOCKS = "doc_id long, tag int, block long, start int, n int"
+#: A block's key is a 64-bit hash of its content. The 32 bits of its anchor only choose what is checked window by window.
+BLOCKS = "doc_id long, tag int, block long, anchor int, start int, n int"
 WINDOWS = "doc_id long, tag int, start int, hash long"
 KEPT = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<first:int,last:int>>"
 
@@ -61,14 +60,12 @@ def _blocks(gram: int, window: int):
                 np.cumsum(w.hashes * powers[: len(w.hashes)], out=sums[1:])
                 content = grams.mix((sums[first + n - 1 + window] - sums[first]) * inverse[first])
                 content ^= grams.mix((anchor - first).astype(np.uint64) * np.uint64(1 << 20) + n.astype(np.uint64))
-                low = np.uint64((1 << CONTENT_BITS) - 1)
-                block = (grams.mix(g[anchor]) & ~low) | (content & low)
                 text = w.text[first]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[lo:hi].take(pa.array(text)), batch.column("tag")[lo:hi].take(pa.array(text)),
-                     pa.array(block.view(np.int64)),
+                     pa.array(content.view(np.int64)), pa.array(grams.mix(g[anchor]).astype(np.uint32).view(np.int32)),
                      pa.array((first - w.first[text]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                    ["doc_id", "tag", "block", "start", "n"])
+                    ["doc_id", "tag", "block", "anchor", "start", "n"])
 
     return work
 
@@ -141,14 +138,14 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, id_col: str
     blocks = with_shared(docs, small, _finder(gram, window)).where("shared is not null").mapInArrow(
         _blocks(gram, window), BLOCKS)
     place = ["doc_id", "tag", "start"]
-    # The index: every distinct block at its earliest place.
+    # The index: every distinct block at its earliest place. The hash of a block's content tells its anchor too.
     index = blocks.groupBy("block").agg(
-        F.min(F.struct(*place, "n")).alias("at"), F.count(F.lit(1)).alias("places"))
+        F.min(F.struct(*place, "n", "anchor")).alias("at"), F.count(F.lit(1)).alias("places"))
     # Factors: blocks that the index has earlier are copied whole.
     copies = blocks.select("block", *place, "n").join(index.where("places > 1").select("block", "at"), "block").where(
         ~_at_place()).select(*place, "n")
     # Boundaries: first occurrences whose anchor has other blocks too are checked window by window.
-    first = index.select("at.*", F.shiftright("block", CONTENT_BITS).alias("anchor"))
+    first = index.select("at.*")
     several = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").select("anchor")
     asked = first.join(several, "anchor", "left_semi").select(*place, "n")
     windows = with_list(small, asked, "asked").where("asked is not null").mapInArrow(_windows(window), WINDOWS)
