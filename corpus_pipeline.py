@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that stand earlier, up to two edits; documents made of nothing else go."""
+    """Texts without lines that stand earlier, up to two edits; documents of which only blank lines are left go."""
     return lines.without_repeats(docs)
 
 

@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from traceworks.llm import grams, substring
+from traceworks.llm import grams, lines, substring
 
 
 def test_substring_blocks_of_one_anchor_do_not_meet_by_chance(spark):
@@ -19,3 +19,14 @@ def test_substring_blocks_of_one_anchor_do_not_meet_by_chance(spark):
     rows.append((20_000, rows[77][1], 0))
     out = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(8))
     assert [(r.doc_id, r.n_removed) for r in out.where("n_removed > 0").collect()] == [(20_000, 20)]
+
+
+def test_documents_keep_their_short_lines(spark):
+    footer = "This text may be copied under the terms of its licence."
+    verse = [f"verse {i} of it" for i in range(300)]
+    texts = [footer, "\n".join([*verse, footer]), footer + "\n \t\n", " \n", "\n" + footer + "\nend"]
+    rows = [(i, t, len(t)) for i, t in enumerate(texts)]
+    out = lines.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"))
+    left = "\n".join(verse)
+    assert sorted(map(tuple, out.collect())) == [
+        (0, footer, len(footer)), (1, left, len(left)), (3, " \n", 2), (4, "\nend", 4)]

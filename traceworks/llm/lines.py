@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceworks.llm.common import boxed, keyed, with_list, written
+from traceworks.llm.common import SPACES, boxed, keyed, with_list, written
 
 EDITS, LEAST = 2, 32
 
@@ -192,15 +192,14 @@ def without_repeats(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_
                     text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
     """The rows of ``docs`` with repeated lines taken out of the text and ``size_col``, if there, counted anew.
 
-    A document all of whose lines of at least ``least`` characters are repeats goes: others hold what it says.
-    Untouched documents stay exactly as they are.
+    A document of which only blank lines are left goes: others hold what it says. Untouched documents stay exactly as
+    they are.
     """
     columns = docs.columns
-    rows = with_removed(boxed(docs, id_col, text_col), edits, least)
-    long_lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= least))
     touched = F.size("removed") > 0
-    rows = rows.where(~touched | (F.size("removed") < long_lines)).withColumn(
+    rows = with_removed(boxed(docs, id_col, text_col), edits, least).withColumn(
         "kept", kept_lines(F.col("text"), F.col("removed")))
+    rows = rows.where(~touched | (F.regexp_replace("kept", SPACES, "") != ""))
     changed = {text_col: F.col("kept"), size_col: F.length("kept").cast("long")}
     return rows.select(*[
         (F.when(touched, changed[c]).otherwise(F.col("row")[c]) if c in changed else F.col("row")[c]).alias(c)
