@@ -5,8 +5,9 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
-from traceworks.llm import grams, lines, substring
+from traceworks.llm import grams, lines, mixing, substring
 
 
 def test_substring_blocks_of_one_anchor_do_not_meet_by_chance(spark):
@@ -30,3 +31,22 @@ def test_documents_keep_their_short_lines(spark):
     left = "\n".join(verse)
     assert sorted(map(tuple, out.collect())) == [
         (0, footer, len(footer)), (1, left, len(left)), (3, " \n", 2), (4, "\nend", 4)]
+
+
+@pytest.mark.parametrize("n", [4, 10, 60])
+def test_mixing_holds_the_given_weights_over_many_stretches(spark, n):
+    # Weights that are no multiples of anything: half for one source, the rest uneven.
+    weight = [0.5] + [0.5 * (k + 2 ** 0.5) / sum(j + 2 ** 0.5 for j in range(1, n)) for k in range(1, n)]
+    weights = spark.createDataFrame([(f"s{k}", w) for k, w in enumerate(weight)], "source string, weight double")
+    rows = [(f"s{k}", int(w * 9000)) for k, w in enumerate(weight)]
+    docs = spark.createDataFrame(rows, "source string, n int").selectExpr(
+        "source", "explode(sequence(1, n)) i").selectExpr("source", "i doc_id", "string(i) text")
+    out = mixing.schedule(docs, weights, block=1).select("source", "block", "slot").collect()
+    assert len(out) == sum(k for _, k in rows)
+    slots = {r.slot: int(r.source[1:]) for r in out}
+    assert len(slots) == len(out)
+    done = [0] * n
+    for t in range(8900):
+        if t in slots:
+            done[slots[t]] += 1
+        assert all(abs(d - (t + 1) * w) < 1 for d, w in zip(done, weight))

@@ -2,9 +2,10 @@
 
 A source's documents are cut into blocks. Block j of a source with weight w may be scheduled from slot floor(j / w) on
 and has to be by slot ceil((j + 1) / w); in every slot the released block with the earliest deadline goes first. Weights
-are whole multiples of 1 / PERIOD, so the schedule repeats after PERIOD slots: one period is worked out over the
-sources alone, and every block finds its slot by a join with that table of PERIOD rows. At any slot each source has
-had its weight's share of slots to within less than one block.
+are taken as given, so nothing repeats: stretches of slots are worked out apart, over the sources alone, and every block
+finds its slot by a join with that table. At any slot each source has had its weight's share of slots to within less
+than one block, however long the schedule. Only weights below 1 / (10 PERIOD) (with more than 5 PERIOD sources, below half
+of an equal share) are lifted to that, and all scaled to a sum of 1.
 
 Documents are numbered inside (source, bucket) pairs, whose counts are summed up per source, so no window holds a whole
 source. The order inside a source is a hash order, which does not depend on the partitions.
@@ -13,7 +14,7 @@ When a source runs out, its slots stay empty and the others go on in their propo
 
 Defined results: a null source is a source of its own (the empty name is another); null texts and ids are kept; repeated
 rows are documents of their own, ties in the hash order are ordered by id and digest of the text; sources without a
-target weight get the least weight; an empty table gives an empty result.
+target weight get the least weight of the others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 
 from traceworks.llm.common import boxed, shuffle_width
 
-#: Slots of one period, and documents of one block.
+#: Slots of one stretch at least, and documents of one block.
 PERIOD, BLOCK = 1000, 16
+#: A release or deadline so close to a whole slot is taken as that slot, since quotients are rounded.
+NEAR = 1e-6
 
 
 def let(value: Column, body) -> Column:
@@ -32,54 +35,85 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def tempered_weights(docs: DataFrame, source_col: str = "source", power: float = 0.5) -> DataFrame:
-    """(source, weight): the share of documents, raised to ``power`` to level large and small sources."""
-    counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("source", F.pow(F.col("n").cast("double"), F.lit(power)).alias("weight"))
+def _fractions(s: Column, period: int) -> Column:
+    """Structs (source, w) of structs (source, weight): exact fractions of 1 that are 1 / _longest or more before scaling."""
+    least = F.coalesce(F.array_min(F.filter(F.transform(s, lambda x: x["weight"]), lambda v: v > 0)), F.lit(1.0))
+
+    def scaled(parts: Column) -> Column:
+        return let(F.aggregate(parts, F.lit(0.0), lambda t, x: t + x["w"]), lambda total: F.transform(
+            parts, lambda x: F.struct(x["source"].alias("source"), (x["w"] / total).alias("w"))))
+
+    def lifted(parts: Column) -> Column:
+        return F.transform(parts, lambda x: F.struct(
+            x["source"].alias("source"), F.greatest(x["w"], 1 / _longest(parts, period)).alias("w")))
+
+    given = let(least, lambda v: F.transform(s, lambda x: F.struct(
+        x["source"].alias("source"), F.when(x["weight"] > 0, x["weight"]).otherwise(v).alias("w"))))
+    return let(let(let(given, scaled), lifted), scaled)
+
+
+def _longest(parts: Column, period: int) -> Column:
+    """The slots in which every source gets one at least."""
+    return F.greatest(F.lit(10 * period), 2 * F.size(parts)).cast("double")
 
 
 def shares(weights: DataFrame, period: int = PERIOD) -> DataFrame:
-    """(source, share): whole slots per period, at least one each, ``period`` in all, by largest remainders.
+    """(source, period, share): slots per period as an exact fraction, ``period`` in all."""
+    one = weights.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "weight"))).alias("s"))
+    return one.select(F.explode(_fractions(F.col("s"), period)).alias("x")).select(
+        "x.source", F.lit(period).cast("long").alias("period"), (F.col("x.w") * period).alias("share"))
+
+
+def slot_table(weights: DataFrame, period: int = PERIOD) -> DataFrame:
+    """(source, nth, slot): the slot of every source's nth block, for ``weights`` (source, weight, blocks).
 
-    With more sources than slots the period is as many times longer as it takes to give each its slot.
+    Stretches of slots are worked out apart. Two earliest-deadline schedules that start from different blocks agree as
+    soon as the blocks they differ in are past their deadlines, so a stretch begins one stretch earlier, which is twice
+    the longest window, and gives only its own slots.
     """
-    every = Window.partitionBy()
-    w = weights.withColumn("n", F.count(F.lit(1)).over(every)).withColumn("total", F.sum("weight").over(every)).withColumn(
-        "period", period * F.ceil(F.col("n") * 2 / period).cast("long"))
-    # One slot for everyone, the rest in proportion.
-    w = w.withColumn("exact", F.col("weight") / F.col("total") * (F.col("period") - F.col("n")))
-    w = w.withColumn("floor", F.floor("exact")).withColumn("spare", F.col("period") - F.col("n") - F.sum("floor").over(
-        every))
-    place = F.row_number().over(Window.partitionBy().orderBy((F.col("exact") - F.col("floor")).desc(), "source"))
-    return w.withColumn("place", place).select("source", "period", (
-        1 + F.col("floor") + F.when(F.col("place") <= F.col("spare"), 1).otherwise(0)).cast("long").alias("share"))
-
-
-def period_table(share: DataFrame) -> DataFrame:
-    """(source, nth, slot, share, period): the slot of every source's nth block of the period, earliest deadline first."""
-    one = share.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "share"))).alias("s"),
-                              F.max("period").alias("period"))
+    one = weights.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "weight", "blocks"))).alias("given"))
+    one = one.where(F.size("given") > 0).withColumn("s", _fractions(F.col("given"), period))
+    one = one.withColumn("length", F.greatest(F.lit(period), F.ceil(
+        2 / F.array_min(F.transform("s", lambda x: x["w"]))).cast("long")).cast("long"))
+    last = F.array_max(F.zip_with("s", "given", lambda x, g: F.ceil(g["blocks"] / x["w"])))
+    # Dealt out before they are worked out.
+    stretches = one.select("s", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / F.col("length")))).alias(
+        "stretch")).repartition(shuffle_width(weights.sparkSession), "stretch").withColumn(
+        "own", F.col("stretch") * F.col("length")).withColumn(
+        "begin", F.greatest(F.col("own") - F.col("length"), F.lit(0).cast("long")))
+
+    def release(done: Column, x: Column) -> Column:
+        return F.floor(done / x["w"] + NEAR)
+
+    def deadline(done: Column, x: Column) -> Column:
+        return F.ceil((done + 1) / x["w"] - NEAR)
+
+    # At the beginning: the blocks that are due by then, and of those released the ones with the earliest deadlines.
+    due = F.transform("s", lambda x: F.floor(F.col("begin") * x["w"] + NEAR))
+    stretches = stretches.withColumn("due", due)
+    open_blocks = F.array_sort(F.filter(F.transform("s", lambda x, i: F.when(
+        release(F.get("due", i), x) < F.col("begin"), F.struct(deadline(F.get("due", i), x).alias("deadline"), i.alias("i")))),
+        lambda e: e.isNotNull()))
+    more = F.greatest(F.col("begin") - F.aggregate("due", F.lit(0).cast("long"), lambda t, n: t + n), F.lit(0)).cast("int")
+    stretches = stretches.withColumn("early", F.transform(F.slice(open_blocks, 1, more), lambda e: e["i"]))
 
     def step(state: Column, slot: Column) -> Column:
-        # Due per source: its next block, if released by now, with its deadline.
-        def due(x: Column, i: Column) -> Column:
+        # Open per source: its next block, if released by now, with its deadline.
+        def candidate(x: Column, i: Column) -> Column:
             done = F.get(state["done"], i)
-            released = F.floor(done * F.col("period") / x["share"]) <= slot
-            return F.when(released & (done < x["share"]), F.struct(
-                F.ceil((done + 1) * F.col("period") / x["share"]).alias("deadline"), i.alias("i")))
+            return F.when(release(done, x) <= slot, F.struct(deadline(done, x).alias("deadline"), i.alias("i")))
 
-        first = F.array_min(F.filter(F.transform(F.col("s"), due), lambda x: x.isNotNull()))
+        first = F.array_min(F.filter(F.transform(F.col("s"), candidate), lambda x: x.isNotNull()))
         return let(first, lambda f: F.struct(
             F.transform(state["done"], lambda n, i: n + F.when(i == f["i"], 1).otherwise(0)).alias("done"),
-            F.concat(state["order"], F.array(F.struct(f["i"].alias("i"), F.get(state["done"], f["i"]).alias("nth"),
-                                                      slot.alias("slot")))).alias("order")))
+            F.when((slot < F.col("own")) | f.isNull(), state["order"]).otherwise(F.concat(state["order"], F.array(F.struct(
+                f["i"].alias("i"), F.get(state["done"], f["i"]).alias("nth"), slot.alias("slot"))))).alias("order")))
 
-    start = F.struct(F.transform("s", lambda x: F.lit(0).cast("long")).alias("done"),
+    start = F.struct(F.transform("due", lambda n, i: n + F.when(F.array_contains("early", i), 1).otherwise(0)).alias("done"),
                      F.array().cast("array<struct<i:int,nth:bigint,slot:bigint>>").alias("order"))
-    planned = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("period") - 1), start, step)
-    return one.where(F.size("s") > 0).select("s", "period", F.explode(planned["order"]).alias("o")).select(
-        F.get("s", F.col("o.i"))["source"].alias("source"), F.get("s", F.col("o.i"))["share"].alias("share"), "period",
-        F.col("o.nth").alias("nth"), F.col("o.slot").alias("slot"))
+    planned = F.aggregate(F.sequence(F.col("begin"), F.col("own") + F.col("length") - 1), start, step)
+    return stretches.select("s", F.explode(planned["order"]).alias("o")).select(
+        F.get("s", F.col("o.i"))["source"].alias("source"), F.col("o.nth").alias("nth"), F.col("o.slot").alias("slot"))
 
 
 def numbered(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -108,23 +142,18 @@ def schedule(docs: DataFrame, weights: DataFrame | None = None, source_col: str
     """
     rows = docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("long").alias("key1"),
                        F.hash(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("key2"))
+    counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
-        weights = tempered_weights(rows)
+        weight = F.sqrt(F.col("n").cast("double"))
     else:
-        present = rows.select("source").distinct()
-        weights = present.join(weights, present["source"].eqNullSafe(weights["source"]), "left").select(
-            present["source"], F.coalesce(weights["weight"].cast("double"), F.lit(0.0)).alias("weight"))
-    table = period_table(shares(weights, period))
-    counts = table.select("source", "share", "period").distinct().alias("t")
+        weights = weights.select(F.col("source").alias("of"), F.col("weight").cast("double").alias("weight"))
+        counts = counts.join(weights, F.col("source").eqNullSafe(F.col("of")), "left")
+        weight = F.coalesce("weight", F.lit(0.0))
+    slots = slot_table(counts.select("source", weight.alias("weight"), F.ceil(F.col("n") / block).alias("blocks")),
+                       period).alias("s")
     n = numbered(rows, block).alias("n")
-    share = F.col("t.share")
-    n = n.join(counts, F.col("n.source").eqNullSafe(F.col("t.source"))).select(
-        "n.*", F.floor(F.col("n.block") / share).alias("round"), (F.col("n.block") % share).alias("nth"),
-        "t.period").alias("n")
-    slots = table.select("source", "nth", "slot").alias("s")
-    return n.join(slots, F.col("n.source").eqNullSafe(F.col("s.source")) & (F.col("n.nth") == F.col("s.nth"))).select(
-        F.col("n.key1").alias("doc_id"), F.col("n.key2").alias("tag"), "n.source", "n.block", "n.place",
-        (F.col("n.round") * F.col("n.period") + F.col("s.slot")).alias("slot"))
+    return n.join(slots, F.col("n.source").eqNullSafe(F.col("s.source")) & (F.col("n.block") == F.col("s.nth"))).select(
+        F.col("n.key1").alias("doc_id"), F.col("n.key2").alias("tag"), "n.source", "n.block", "n.place", "s.slot")
 
 
 def in_mixed_order(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "source",
