@@ -1,7 +1,8 @@
 """The corpus pipeline: documents in, piece sequences out, one operator per stage.
 
 Each stage is written as Parquet and read again for the next. The order of the mixing stage is in its files: they hold
-ascending ranges of slots, and each file's rows stand in the order of the mix.
+ascending ranges of slots, and each file's rows stand in the order of the mix. Readers take files in any order, so the
+last stage turns a row's place in the files into the column ``position``: sorted by it, the result is in mixed order.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from traceworks.llm import lines, minhash, mixing, pieces, quality
 from traceworks.session import checkpoint_dir
@@ -35,8 +37,12 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The piece ids of every document."""
-    return pieces.encode_texts(docs).select("doc_id", "n_pieces", "ids", "exact")
+    """The piece ids of every document, and its ``position`` in the mix: task and file of the mixed table, row in the file."""
+    name = F.col("_metadata.file_name")
+    place = {"part": F.regexp_extract(name, r"^part-(\d+)", 1), "file": F.regexp_extract(name, r"-c(\d+)\.", 1),
+             "row": F.col("_metadata.row_index")}
+    return pieces.encode_texts(docs, carried=place).select(
+        "doc_id", "n_pieces", "ids", "exact", F.struct(*place).alias("position"))
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("minhash near-dedup", near_dedup),

@@ -7,7 +7,9 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from traceworks.llm import grams, lines, mixing, substring
+from traceworks.llm.common import written
 
 
 def test_substring_blocks_of_one_anchor_do_not_meet_by_chance(spark):
@@ -50,3 +52,23 @@ def test_mixing_holds_the_given_weights_over_many_stretches(spark, n):
         if t in slots:
             done[slots[t]] += 1
         assert all(abs(d - (t + 1) * w) < 1 for d, w in zip(done, weight))
+
+
+def test_positions_of_the_result_give_the_slots_of_the_mix(spark, tmp_path, monkeypatch):
+    # Files of uneven sizes, which a reader takes largest first.
+    docs = spark.range(600).selectExpr("id doc_id", "concat('text ', repeat(string(id), int(pow(id % 24, 2)))) text",
+                                       "concat('s', id % 3) source", "id n_chars")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    slot = {r.doc_id: (r.slot, r.place) for r in mixing.schedule(docs).collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, stages[n]) for n in ("source mixing", "sentencepiece")])
+    rows = corpus_pipeline.run(spark, str(tmp_path)).orderBy("position").collect()
+    assert len({r.position for r in rows}) == 600
+    assert [slot[r.doc_id] for r in rows] == sorted(slot.values())
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 7)
+    try:
+        mixed = written(mixing.in_mixed_order(docs), "mixed")
+        rows = corpus_pipeline.sentencepiece(spark, mixed, "").orderBy("position").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert [slot[r.doc_id] for r in rows] == sorted(slot.values())

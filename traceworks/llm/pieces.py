@@ -22,7 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
@@ -127,7 +127,7 @@ def decode(ids: np.ndarray, vocabulary: Vocabulary) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def _encoder(path: str):
+def _encoder(path: str, carried: list[str]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(path)
         number: dict[str, int] = {}
@@ -156,8 +156,9 @@ def _encoder(path: str):
                 yield pa.RecordBatch.from_arrays(
                     [whole.column("doc_id")[lo:hi], pa.array(counts, pa.int64()),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(pieces)),
-                     pa.array(decoded, pa.string()), pa.array([a == b for a, b in zip(decoded, texts[lo:hi])])],
-                    ["doc_id", "n_pieces", "ids", "decoded", "exact"])
+                     pa.array(decoded, pa.string()), pa.array([a == b for a, b in zip(decoded, texts[lo:hi])]),
+                     *[whole.column(c)[lo:hi] for c in carried]],
+                    ["doc_id", "n_pieces", "ids", "decoded", "exact", *carried])
 
     return work
 
@@ -174,10 +175,15 @@ def _groups(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]
         yield first, len(texts)
 
 
-def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
+                 carried: dict[str, Column] | None = None) -> DataFrame:
     """(doc_id, n_pieces, ids, decoded, exact): pieces of every text, their text again, and whether both agree.
 
-    ``path`` is the model file, which has to lie at the same place on every executor.
+    ``path`` is the model file, which has to lie at the same place on every executor. ``carried`` are long columns that
+    go along with each document.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_encoder(path or model_path()), ENCODED)
+    carried = carried or {}
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                       *[c.cast("long").alias(name) for name, c in carried.items()])
+    return rows.mapInArrow(_encoder(path or model_path(), list(carried)),
+                           ", ".join([ENCODED, *[f"{name} long" for name in carried]]))
