@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import os
 import random
+import sys
 
 import numpy as np
 import pytest
 
-import corpus_pipeline
-from traceworks.llm import grams, lines, mixing, substring
-from traceworks.llm.common import written
+sys.path.insert(0, os.path.dirname(__file__))
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+import brute  # noqa: E402
+import corpus_pipeline  # noqa: E402
+from test_operators import SF  # noqa: E402
+from traceworks.llm import grams, lines, mixing, substring  # noqa: E402
+from traceworks.llm.common import written  # noqa: E402
 
 
 def test_substring_blocks_of_one_anchor_do_not_meet_by_chance(spark):
@@ -72,3 +79,25 @@ def test_positions_of_the_result_give_the_slots_of_the_mix(spark, tmp_path, monk
     finally:
         spark.conf.unset("spark.sql.files.maxRecordsPerFile")
     assert [slot[r.doc_id] for r in rows] == sorted(slot.values())
+
+
+def test_equal_short_lines_are_repeats(spark):
+    texts = ["All rights reserved.\none\n\nfirst", "two\nAll rights reserved.\n\n \n 見出し", "見出し\n 見出し\nAll rights reserved!\none", "x\nx"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in lines.dedup_lines(docs).collect()}
+    assert out == {0: (4, 0, texts[0]), 1: (5, 1, "two\n\n \n 見出し"), 2: (4, 2, "見出し\nAll rights reserved!"), 3: (2, 1, "x")}
+
+
+def test_short_lines_of_the_given_documents(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("test data not present")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    seen, again = set(), dict.fromkeys(texts, 0)
+    for i, t in sorted(texts.items()):
+        for x in t.split("\n"):
+            if len(x) < 32 and x.strip(" \t\n\r\x0b\x0c"):
+                again[i] += x in seen
+                seen.add(x)
+    want = {i: n + again[i] for i, (_, n, _) in brute.lines(texts).items()}
+    assert sum(again.values()) > 0 and {r.doc_id: r.n_removed for r in lines.dedup_lines(docs).collect()} == want

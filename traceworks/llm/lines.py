@@ -1,7 +1,8 @@
 """Line dedup with a segment-partition edit join, in built-in expressions only.
 
-A line repeats if an earlier line (smaller id, or earlier in the same document) equals it or differs by at most
-``edits`` insertions, deletions and replacements of characters. Lines are judged on the input, not on what is left.
+A line repeats if an earlier line (smaller id, or earlier in the same document) equals it or, both having ``least``
+characters or more, differs by at most ``edits`` insertions, deletions and replacements of characters. Lines are judged
+on the input, not on what is left.
 
 Every distinct line is cut into ``edits + 1`` segments; a line within the threshold holds one of them unchanged, at an
 offset that the two lengths bound. Segments are indexed by (number, line length, content), the substrings that can
@@ -10,7 +11,8 @@ lines are one entry of the join, at their earliest place, so the number of copie
 share a segment, a pair leaves the join only if counts of its characters allow so few edits, so that no list of all
 their pairs is made.
 
-Lines shorter than ``least`` characters are left alone. Defined results: null and empty texts have one empty line;
+Lines shorter than ``least`` characters are compared for equality only: two edits make other words of a short line, and
+the join would meet most pairs of them. Blank lines shorter than that are left alone. Defined results: null and empty texts have one empty line;
 rows equal in id and text are one document and each is returned; rows that share only the id are ordered by a digest of
 the text; a null id sorts first; an empty table gives an empty result; columns other than id and text are not read.
 """
@@ -126,13 +128,13 @@ def _may_be_near(a: str, b: str, edits: int) -> Column:
 def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(doc_id, tag, line_no) of every line to remove; ``docs`` as ``keyed`` gives them."""
     rows = docs.select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(
-        F.length("line") >= least).select("doc_id", "tag", "line_no", "line", F.xxhash64("line").alias("id"))
+        (F.length("line") >= least) | (F.regexp_replace("line", SPACES, "") != "")).select("doc_id", "tag", "line_no", "line", F.xxhash64("line").alias("id"))
     # Every distinct line at its first place.
     distinct = rows.groupBy("id").agg(F.min(F.struct("doc_id", "tag", "line_no")).alias("at"),
                                       F.min("line").alias("line"))
     first = distinct.select("id", "at")
-    # Segment index and probes, and those of them that meet another line's.
-    cut = with_cuts(distinct.select("id", "line", F.length("line").alias("size")), edits)
+    # Segment index and probes of the longer lines, and those of them that meet another line's.
+    cut = with_cuts(distinct.select("id", "line", F.length("line").alias("size")).where(F.col("size") >= least), edits)
     index = cut.select(F.col("id").alias("r"), F.explode(index_keys(edits)).alias("key"))
     probes = cut.select(F.col("id").alias("s"), F.explode(probe_keys(edits)).alias("key"))
     met_index = index.alias("i").join(probes.alias("p"), (F.col("i.key") == F.col("p.key")) & (
