@@ -1,10 +1,10 @@
-"""Exact repeats of word passages: relative Lempel-Ziv parsing against the corpus's earlier text.
+"""Exact repeats of word passages: content-chosen blocks looked up by hash, other windows one by one.
 
-The reference is all text; its blocks are the neighbourhoods of anchors (``anchors.py``), indexed by anchor and content,
-each kept at its earliest occurrence. A document is factored greedily: the block at every anchor is looked up in the
-index, and a block found earlier is copied whole, so consecutive copied blocks make one long factor. What is left are
-the windows at factor boundaries, where neighbourhoods differ; they are checked one by one against the blocks with the
-same anchor. Factors of at least ``window`` words become duplicate spans.
+The reference is all text; its blocks are the neighbourhoods of anchors (``anchors.py``), indexed by content, each kept at
+its earliest occurrence. The block at every anchor of a document is looked up in the index, and a block found earlier is
+removed whole. What is left are windows of neighbourhoods that differ; they are checked one by one against the blocks with
+the same anchor. No greedy factors are made, so this is no relative Lempel-Ziv parsing; removed windows
+that overlap or touch join into one span.
 
 Defined results: null text has no words; rows equal in id and text are one document and each is returned; rows that
 share an id but not the text are ordered by a digest of the text; a null id sorts before all others; a document with
@@ -42,7 +42,7 @@ def _finder(gram: int, window: int):
 
 
 def _blocks(gram: int, window: int):
-    """The factor candidates of each document: runs of windows that share an anchor, with a hash of their content."""
+    """The blocks of each document: runs of windows that share an anchor, with a hash of their content."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,10 +141,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, id_col: str
     # The index: every distinct block at its earliest place. The hash of a block's content tells its anchor too.
     index = blocks.groupBy("block").agg(
         F.min(F.struct(*place, "n", "anchor")).alias("at"), F.count(F.lit(1)).alias("places"))
-    # Factors: blocks that the index has earlier are copied whole.
+    # Blocks that the index has earlier are removed whole.
     copies = blocks.select("block", *place, "n").join(index.where("places > 1").select("block", "at"), "block").where(
         ~_at_place()).select(*place, "n")
-    # Boundaries: first occurrences whose anchor has other blocks too are checked window by window.
+    # First occurrences whose anchor has other blocks too are checked window by window.
     first = index.select("at.*")
     several = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").select("anchor")
     asked = first.join(several, "anchor", "left_semi").select(*place, "n")
