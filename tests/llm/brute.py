@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -98,17 +99,18 @@ def distance(a, b):
 
 
 def lines(docs, edits=2, least=32):
-    """doc_id -> (n_lines, n_removed, kept_sha256)."""
+    """doc_id -> (n_lines, n_removed, kept_sha256); lines below ``least`` characters only equal ones, blank lines none."""
     first = {}
     for i, t in sorted(docs.items()):
         for k, x in enumerate((t or "").split("\n")):
-            if len(x) >= least:
+            if len(x) >= least or x.strip(" \t\n\r\x0b\x0c"):
                 first.setdefault(x, (i, k))
-    near, count = set(), {x: Counter(x) for x in first}
+    long = [x for x in first if len(x) >= least]
+    near, count = set(), {x: Counter(x) for x in long}
     by_length = defaultdict(list)
-    for x in first:
+    for x in long:
         by_length[len(x)].append(x)
-    for x in first:
+    for x in long:
         for size in range(len(x), len(x) + edits + 1):
             for y in by_length.get(size, ()):
                 if x != y and (count[x] - count[y]).total() <= edits and (count[y] - count[x]).total() <= edits:
@@ -117,7 +119,7 @@ def lines(docs, edits=2, least=32):
     out = {}
     for i, t in docs.items():
         rows = (t or "").split("\n")
-        keep = [x for k, x in enumerate(rows) if len(x) < least or (x not in near and first[x] == (i, k))]
+        keep = [x for k, x in enumerate(rows) if x not in first or (x not in near and first[x] == (i, k))]
         out[i] = (len(rows), len(rows) - len(keep), sha("\n".join(keep)))
     return out
 
@@ -153,3 +155,22 @@ def best_score(word, score, unknown):
         if word[end - 1] not in score:
             best[end] = max(best[end], best[end - 1] + unknown)
     return best[-1]
+
+
+def hard_negatives(rows, every=50, positives=5, negatives=3):
+    """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score), by all inner products."""
+    kept = set()
+    for i, v, label in rows:
+        if label is not None and v is not None and all(c is not None and math.isfinite(c) for c in v):
+            label = (label + 1) % 10 if i is not None and i % 7 == 0 else label
+            kept.add((i, label, tuple(math.floor(256 * float(c)) for c in v)))
+    out = []
+    for i, label, x in kept:
+        if i is None or i % every:
+            continue
+        scored = [(-sum(a * b for a, b in zip(x, y)), j is None, j, other == label) for j, other, y in kept if j != i]
+        scored.sort(key=lambda r: (r[0], r[1], r[2] or 0))
+        for p in [r for r in scored if r[3]][:positives]:
+            fit = [r for r in scored if not r[3] and 50 * -p[0] <= 100 * -r[0] <= 95 * -p[0]]
+            out += [(i, p[2], k, r[2], -p[0], -r[0]) for k, r in enumerate(fit[:negatives], 1)]
+    return out

@@ -317,6 +317,7 @@ def test_empty_tables(spark, tmp_path, name):
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(
         f"{folder}/conversations.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     assert LLM_QUERIES[name](spark, folder).count() == (1 if name.startswith("op4") else 0)
 
 

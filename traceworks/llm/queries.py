@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceworks.llm import chat, fingerprints, lines, minhash, mixing, pieces, quality, substring, suffixdedup, warc
+from traceworks.llm import (chat, fingerprints, lines, minhash, mixing, negatives, pieces, quality, substring, suffixdedup,
+                            tokens, warc, whitening)
 from traceworks.sources.tables import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +85,40 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf, "documents")).select(
         "doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_hard_negatives", """
+    WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) AS x
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+    s AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+               CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+        FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    p AS (
+        SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+    SELECT anchor_id, positive_id,
+           CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+           other_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 3""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    moved = F.expr("CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS LONG) + 1) % 10 ELSE label END")
+    return negatives.mine(negatives.prepared(table(spark, sf, "embeddings"), label=moved))
+
+
+@query("op12_token_counts")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf, "documents"), limit=512)
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings")).select(
+        "vec_id", "component", "n", F.expr("try_cast(deviation AS LONG)").alias("deviation"), "whitened", "explained",
+        "identity_error")
