@@ -110,8 +110,9 @@ def _(spark, sf):
 
 @query("t05_session_roll_up", over_staged(SESSION_SQL))
 def _(spark, sf):
-    ledger, out, mark = (scratch_path(spark, n) for n in ("ledger", "sessions", "ckpt"))
-    _finish(ledger_stream.roll_up_sessions(ledger_rows(spark, sf), ledger, out, mark))
+    ledger, out, mark, seen = (scratch_path(spark, n) for n in ("ledger", "sessions", "ckpt", "seen"))
+    _finish(ledger_stream.ingest(ledger_rows(spark, sf), ledger, mark))
+    _finish(ledger_stream.roll_up_sessions(spark, ledger, out, seen))
     return ledger_stream.current_sessions(spark, out)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from traceworks.operators.dedup import append_new
 from traceworks.session import checkpoint_dir
+from traceworks.sources.ledger_store import ParquetLedger  # noqa: F401  (one of the sinks)
 
 # Columns of the audit tables.
 AUDIT_SCHEMAS = {
@@ -99,32 +100,6 @@ class NoopSink:
         events.write.format("noop").mode("append").save()
 
 
-class ParquetLedger:
-    """Append-only ledger, partitioned by event day; the first write of a
-    trace id wins and later ones are dropped."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def read(self) -> DataFrame | None:
-        jvm = self.spark._jvm
-        location = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not location.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(location):
-            return None
-        return self.spark.read.option("mergeSchema", True).parquet(self.path)
-
-    def append(self, events: DataFrame) -> None:
-        order = ["ingest_seq"] if "ingest_seq" in events.columns else ["event_timestamp"]
-        stored = self.read()
-        if stored is None:
-            stored = events.limit(0)
-        fresh = append_new(stored, events, "trace_id", order)
-        dated = fresh.withColumn("event_date", F.coalesce(F.left("event_timestamp", F.lit(10)), F.lit("unknown")))
-        # Few files per day; a day that holds much of the data is split by size.
-        even = dated.hint("rebalance", F.col("event_date"))
-        even.write.mode("append").partitionBy("event_date").parquet(self.path)
-
-
 class JdbcLedger:
     """Ledger rows into a warehouse table."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,8 +12,11 @@ from traceworks.functions.redact import mask_credentials
 from traceworks.functions.times import parse_ts
 from traceworks.operators.aggregates import rate_pct, tally
 from traceworks.operators.dedup import keep_last
-from traceworks.plans.ledger import SESSION_KEYS, kind, session_summary, staged_events
-from traceworks.sources.sinks import ParquetLedger
+from traceworks.plans.ledger import SESSION_KEYS, kind, staged_events
+from traceworks.sources.ledger_store import CELL, ParquetLedger
+from traceworks.streaming import session_state
+from traceworks.streaming.session_state import IDLE
+from traceworks.streaming.state import into_batches, rocksdb
 
 ALL_AT_HAND = {"availableNow": True}
 
@@ -64,31 +69,26 @@ def live_risk(raw: DataFrame, delay: str = "1 day") -> DataFrame:
              rate_pct(F.col("sql_blocked"), F.col("sql_generated")).alias("block_rate"), "distinct_sql_approx")
 
 
-def roll_up_sessions(raw: DataFrame, ledger_path: str, out_path: str, checkpoint: str,
-                     trigger: dict | None = None) -> StreamingQuery:
-    """Session rows kept up to date: each batch is added to the ledger, and the
-    sessions it touches are computed again from the whole ledger.
+def roll_up_sessions(spark: SparkSession, ledger_path: str, out_path: str, checkpoint: str, trigger: dict | None = None,
+                     idle: timedelta = IDLE) -> StreamingQuery:
+    """Session rows kept up to date from what :func:`ingest` appends to the ledger.
 
-    Results are appended with their batch number and read back newest-first,
-    so nothing already written is rewritten; a repeated batch overwrites its
-    own folder.
+    The ledger's files are the stream, so an id counts once and each file is read once. A batch adds its events to the
+    partial sums, sets and texts that the state holds per session; no earlier event is read again. Results are appended
+    with their batch number and read back newest-first; a repeated batch overwrites its own folder. A session's state
+    ends with the first batch after ``idle`` without an event of it; events that come later still start it anew.
     """
-
-    def recompute(batch: DataFrame, batch_id: int) -> None:
-        ledger = ParquetLedger(batch.sparkSession, ledger_path)
-        ledger.append(batch)
-        touched = batch.select(*[F.col(k).alias(f"_{k}") for k in SESSION_KEYS]).distinct()
-        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in SESSION_KEYS]
-        rows = ledger.read().drop("event_date").join(touched, same, "left_semi")
-        session_summary(staged_events(rows)).withColumn("batch_id", F.lit(batch_id)).write.mode(
-            "overwrite").parquet(f"{out_path}/batch={batch_id}")
-
-    return (masked_events(raw).writeStream.foreachBatch(recompute).option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or ALL_AT_HAND)).start())
+    stored = spark.read.parquet(ledger_path).drop(*CELL).schema
+    events = staged_events(spark.readStream.schema(stored).option("recursiveFileLookup", True).parquet(ledger_path))
+    rows = session_state.sessions(events, idle)
+    with rocksdb(spark):
+        return (rows.writeStream.outputMode("update").foreachBatch(into_batches(out_path))
+                .option("checkpointLocation", checkpoint).trigger(**(trigger or ALL_AT_HAND)).start())
 
 
 def current_sessions(spark: SparkSession, out_path: str) -> DataFrame:
-    return keep_last(spark.read.parquet(f"{out_path}/batch=*"), SESSION_KEYS, ["batch_id"]).drop("batch_id")
+    rows = spark.read.option("basePath", out_path).parquet(f"{out_path}/batch=*")
+    return keep_last(rows, SESSION_KEYS, ["batch"]).drop("batch")
 
 
 def gap_sessions(raw: DataFrame, gap: str = "30 minutes", delay: str = "1 day") -> DataFrame:
