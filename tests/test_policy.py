@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from traceworks.operators import textmatch
 from traceworks.plans import policy
 
 NODES = [
@@ -150,3 +151,15 @@ def test_governed_reads(spark):
     with pytest.raises(policy.PolicyDenied):
         policy.governed_aggregate(df, ["email"], [F.count("*")], rules)
     assert policy.governed_aggregate(df, ["id"], [F.sum("salary").alias("s")], rules).first()["s"] == 5.0
+
+
+@pytest.mark.parametrize("block, characters", [(20_000, 4_000_000), (3, 40)])
+def test_names_in_long_texts(spark, block, characters):
+    names = [f"model_{i}" for i in range(60)] + ["Model_7", "é", "odel_1", None, "model_99"]
+    texts = [" ".join(f"word{k % 977}" for k in range(20_000)) + " MODEL_12 x", "É model_7model_8", "", None, "model_5"] + ["same"] * 50
+    left = spark.createDataFrame(list(enumerate(texts)), "id int, body string").repartition(3)
+    right = spark.createDataFrame([(n,) for n in names], "n string")
+    out = textmatch.names_in_texts(left, "id", "body", right, "n", block, characters)
+    got = sorted((int(r.text_id), r.name) for r in out.collect())
+    assert got == sorted({(i, n) for i, t in enumerate(texts) if t for n in names if n and n.lower() in t.lower()})
+    assert max(r[0] for r in got) == 4 and (0, "model_12") in got

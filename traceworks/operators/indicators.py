@@ -92,14 +92,14 @@ def macd(values: Column, fast: int = 12, slow: int = 26, signal: int = 9) -> Col
     return F.aggregate(_rest(values), start, step, finish)
 
 
-def _mean(values: Column) -> Column:
+def mean_of(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x) / F.size(values)
 
 
 def bollinger(values: Column, period: int = 20, width: float = 2.0) -> Column:
     """struct(upper, middle, lower) over the last ``period`` closes."""
     tail = F.slice(values, -period, period)
-    mid = _mean(tail)
+    mid = mean_of(tail)
     spread = F.sqrt(F.aggregate(tail, F.lit(0.0), lambda acc, x: acc + (x - mid) * (x - mid)) / (period - 1))
     return F.struct((mid + width * spread).alias("upper"), mid.alias("middle"),
                     (mid - width * spread).alias("lower"))
@@ -126,8 +126,13 @@ def indicators(bars: DataFrame, limits: dict[str, int] = BAR_LIMITS) -> DataFram
         from_bars(20, bollinger(closes)).alias("b"),
         *[from_bars(s, ema(closes, s)).alias(f"e{s}") for s in (9, 21, 50, 200)],
         F.element_at(volumes, -1).cast("bigint").alias("volume"),
-        from_bars(21, _mean(F.slice(volumes, -21, 20).cast("array<double>"))).alias("avg_vol"),
+        from_bars(21, mean_of(F.slice(volumes, -21, 20).cast("array<double>"))).alias("avg_vol"),
     )
+    return labelled(raw)
+
+
+def labelled(raw: DataFrame) -> DataFrame:
+    """Rounded fields and labels of raw indicator values."""
     price, prev, r = F.col("price"), F.col("prev"), F.col("r")
     upper, lower = F.col("b.upper"), F.col("b.lower")
     e21, e50 = F.col("e21"), F.col("e50")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from traceworks.functions import sqltext
 from traceworks.functions.redact import mask_hash, partial_mask
+from traceworks.operators.textmatch import names_in_texts
 
 # The words each setting accepts, with what stands in for others.
 MODEL_ENUMS = {
@@ -487,23 +488,10 @@ def user_message(allowed: Column, answer_mode: Column, violations: Column) -> Co
 
 
 def models_in_text(requests: DataFrame, text: str, models: DataFrame) -> DataFrame:
-    """(request_id, model_name) for every model whose name occurs in the text.
-
-    Each text gives its pieces of the lengths that model names have, and the
-    pieces meet the names in an equality join. The distinct lengths are a
-    short list bounded by the longest identifier.
-    """
-    named = models.select("model_name", F.lower("model_name").alias("piece"))
-    lengths = [r[0] for r in named.select(F.length("piece")).distinct().collect()]
-    body = F.lower(F.col(text))
-
-    def pieces_of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(body) - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(body, i, F.lit(n)))
-
-    pieces = F.array(*[pieces_of(n) for n in sorted(lengths)])
-    found = requests.select("request_id", F.explode(F.array_distinct(F.flatten(pieces))).alias("piece"))
-    return found.join(named, "piece").select("request_id", "model_name")
+    """(request_id, model_name) for every model whose name occurs in the text."""
+    kind = requests.schema["request_id"].dataType
+    hits = names_in_texts(requests, "request_id", text, models, "model_name")
+    return hits.select(F.col("text_id").cast(kind).alias("request_id"), F.col("name").alias("model_name"))
 
 
 def safe_schema(schema: DataFrame, models: DataFrame, columns: DataFrame, use_case: str = "",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from traceworks import fixtures as fx
 from traceworks.operators import indicators as ind
+from traceworks.operators import recursive
 from traceworks.plans import market
 from traceworks.registry.base import query, table
 
@@ -256,3 +257,33 @@ def _(spark, sf):
 @query("f37_indicator_labels", f"select ticker, tf, rsi_label, macd_label, bb_label, trend from ({indicator_sql(ALL_BARS_SQL)})")
 def _(spark, sf):
     return ind.indicators(all_bars(spark, sf)).select("ticker", "tf", "rsi_label", "macd_label", "bb_label", "trend")
+
+
+# Whole series, not cut to their newest bars; every order is a bar of one long series beside the others.
+LONG_BARS_SQL = f"""(select * from {ALL_BARS_SQL} union all
+  select 'LONG' as ticker, '5m' as tf, timestamp '2020-01-01' + interval 5 minute * o_orderkey as ts,
+    o_totalprice::double as open, o_totalprice::double as high, o_totalprice::double as low, o_totalprice::double as close,
+    o_custkey::bigint as volume from orders)"""
+
+
+def long_bars(spark, sf):
+    extra = table(spark, sf, "orders").selectExpr(
+        "'LONG' as ticker", "'5m' as tf", "cast(timestamp_seconds(1577836800 + 300 * o_orderkey) as timestamp_ntz) as ts",
+        *[f"cast(o_totalprice as double) as {c}" for c in ("open", "high", "low", "close")], "cast(o_custkey as bigint) as volume")
+    return all_bars(spark, sf).unionByName(extra)
+
+
+_WHOLE = f"""(select ticker, tf, count(*) as n, list(close order by ts) as c, list(volume order by ts) as v
+  from {LONG_BARS_SQL} where close is not null group by 1, 2)"""
+
+
+@query("w09_ema_whole_series", "select ticker, tf, n, " + ", ".join(f"round({ema_sql('c', s)}, 4) as ema_{s}" for s in (9, 21, 50, 200))
+       + f" from {_WHOLE}")
+def _(spark, sf):
+    states = recursive.last_states(recursive.slice_maps(long_bars(spark, sf)))
+    return states.select("ticker", "tf", "y.n", *[F.round(f"y.e{s}", 4).alias(f"ema_{s}") for s in (9, 21, 50, 200)])
+
+
+@query("v01_whole_series", indicator_sql(LONG_BARS_SQL, 10**9))
+def _(spark, sf):
+    return recursive.whole_series_indicators(long_bars(spark, sf))
