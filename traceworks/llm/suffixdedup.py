@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from traceworks.llm import grams
 from traceworks.llm.anchors import allowed, anchored_runs, flat_shared, own, packed, places, raw_texts, with_shared
-from traceworks.llm.common import keyed, with_list
+from traceworks.llm.common import keyed, with_list, written
 from traceworks.llm.suffixes import common_prefixes, suffix_array
 
 #: Neighbourhoods of one anchor that one shard takes, and the bytes after which a shard is closed.
@@ -247,6 +247,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 400, gram: int = 32, id
     small = packed(docs)  # once: all joins with it share one exchange
     blocks = with_shared(docs, small, _finder(gram, window), keep=True).where("shared is not null").mapInArrow(
         _blocks(gram, window), BLOCKS)
+    blocks = written(blocks, "blocks")  # three tables come from it
     place = ["doc_id", "tag", "start", "n"]
     # Every distinct block at its first and last place; the hash of its content tells its anchor too.
     index = blocks.groupBy("block").agg(
@@ -259,8 +260,8 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 400, gram: int = 32, id
     asked = first.join(several, "anchor").select(
         *place, "anchor", F.expr("cast(pmod(block, salts) as int)").alias("salt"), "salts", "known")
     pieces = with_list(small, asked, "asked").where("asked is not null").mapInArrow(_pieces(window), PIECES)
-    shards = pieces.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(
-        _shard(window), FOUND)
+    shards = written(pieces.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(
+        _shard(window), FOUND), "shards")  # sorted once for what is found inside and across
     inside = shards.where("anchor is null").select(*place)
     across = shards.where("anchor is not null").select(
         "anchor", "part", "prints", "owners", "tags", "starts", "known").groupBy("anchor", "part").applyInArrow(
