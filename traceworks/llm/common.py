@@ -40,14 +40,17 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def with_list(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-    """``docs`` with the column ``name``: the list of other columns of ``rows`` that have its doc_id, or null.
+    """``docs`` with the column ``name``: the list of other columns of ``rows`` that have its doc_id and tag, or null.
 
-    Every such join deals the texts out by doc_id alone, so one exchange of them serves several joins of a plan.
+    One other column gives a list of its values, several a list of structs that hold the tag too. Rows that share only
+    an id, a null one too, are documents of their own. Every such join deals the texts out by (doc_id, tag), so one
+    exchange of them serves several joins of a plan.
     """
-    columns = [c for c in rows.columns if c != "doc_id"]
-    item = F.struct(*columns) if len(columns) > 1 else F.col(columns[0])
-    lists = rows.groupBy("doc_id").agg(F.collect_list(item).alias(name))
-    return docs.join(lists, docs["doc_id"].eqNullSafe(lists["doc_id"]), "left").select(docs["*"], lists[name])
+    columns = [c for c in rows.columns if c not in ("doc_id", "tag")]
+    item = F.struct("tag", *columns) if len(columns) > 1 else F.col(columns[0])
+    lists = rows.groupBy("doc_id", "tag").agg(F.collect_list(item).alias(name))
+    return docs.join(lists, docs["doc_id"].eqNullSafe(lists["doc_id"]) & (docs["tag"] == lists["tag"]), "left").select(
+        docs["*"], lists[name])
 
 
 def boxed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

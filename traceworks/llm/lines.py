@@ -19,12 +19,14 @@ the text; a null id sorts first; an empty table gives an empty result; columns o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceworks.llm.common import SPACES, boxed, keyed, with_list, written
 
 EDITS, LEAST = 2, 32
+#: Lines that hold more than one in so many of all lines are frequent; there are fewer of them than that.
+HOT = 100_000
 
 
 def let(value: Column, body) -> Column:
@@ -125,40 +127,69 @@ def _may_be_near(a: str, b: str, edits: int) -> Column:
     return apart <= 2 * edits
 
 
+def _met(lines: DataFrame, edits: int) -> DataFrame:
+    """(key, id, is_segment): segments and probes of the lines (id, line, size) whose key another line's has too.
+
+    Segments and probes are dealt out by key together, once. Ids are even; in the exchange their lowest bit says which
+    of the two it is, and a key is cut to 48 bits, as what meets by chance is verified like all that meets.
+    """
+    odd, even, short = (F.lit(x).cast("long") for x in (1, -2, (1 << 48) - 1))
+
+    def marked(keys: Column, is_segment: int) -> Column:
+        return F.transform(keys, lambda k: F.struct(k.bitwiseAND(short).alias("key"),
+                                                    F.col("id").bitwiseOR(F.lit(is_segment).cast("long")).alias("id")))
+
+    both = F.concat(marked(index_keys(edits), 1), marked(probe_keys(edits), 0))
+    rows = with_cuts(lines, edits).select(F.inline(both))
+    one, is_segment, own = Window.partitionBy("key"), F.col("id").bitwiseAND(odd) == 1, F.col("id").bitwiseAND(even)
+    ends = {f"{how}_{side}": fn(F.when(is_segment == (side == "r"), own)).over(one)
+            for side in "rs" for how, fn in (("least", F.min), ("most", F.max))}
+    alone = (F.col("least_r") == F.col("most_s")) & (F.col("most_r") == F.col("least_s"))
+    # Null, and so left out, where a side is missing.
+    return rows.withColumns(ends).where(~alone).select("key", own.alias("id"), is_segment.alias("is_segment"))
+
+
+def _lines(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, tag, line_no, line, id, size) of the lines that are judged."""
+    line = F.col("line")
+    return docs.select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(
+        (F.length(line) >= least) | (F.regexp_replace(line, SPACES, "") != "")).withColumns(
+        {"id": F.xxhash64(line).bitwiseAND(F.lit(-2).cast("long")), "size": F.length(line)})
+
+
 def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(doc_id, tag, line_no) of every line to remove; ``docs`` as ``keyed`` gives them."""
-    rows = docs.select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(
-        (F.length("line") >= least) | (F.regexp_replace("line", SPACES, "") != "")).select("doc_id", "tag", "line_no", "line", F.xxhash64("line").alias("id"))
-    # Every distinct line at its first place.
-    distinct = rows.groupBy("id").agg(F.min(F.struct("doc_id", "tag", "line_no")).alias("at"),
-                                      F.min("line").alias("line"))
-    first = distinct.select("id", "at")
-    # Segment index and probes of the longer lines, and those of them that meet another line's.
-    cut = with_cuts(distinct.select("id", "line", F.length("line").alias("size")).where(F.col("size") >= least), edits)
-    index = cut.select(F.col("id").alias("r"), F.explode(index_keys(edits)).alias("key"))
-    probes = cut.select(F.col("id").alias("s"), F.explode(probe_keys(edits)).alias("key"))
-    met_index = index.alias("i").join(probes.alias("p"), (F.col("i.key") == F.col("p.key")) & (
-        F.col("r") != F.col("s")), "left_semi")
-    met_probes = probes.alias("p").join(index.alias("i"), (F.col("i.key") == F.col("p.key")) & (
-        F.col("r") != F.col("s")), "left_semi")
-    met = met_index.select("key", F.col("r").alias("id"), F.lit(True).alias("is_segment")).union(
-        met_probes.select("key", F.col("s").alias("id"), F.lit(False).alias("is_segment"))).distinct()
-    # With their texts and signatures; a pair whose signatures are too far apart never leaves the join.
-    texts = distinct.select("id", "line").join(met.select("id").distinct(), "id", "left_semi").withColumn(
-        "mark", signature(F.col("line")))
-    marked = written(met.join(texts, "id"), "met")
-    lines = marked.select("id", "line").dropDuplicates(["id"])
+    """(doc_id, tag, line_no) of every line to remove; ``docs`` as ``keyed`` gives them.
+
+    Texts are dealt out once, as whole documents; all else travels as hashes and places.
+    """
+    rows = written(_lines(docs, least).drop("line"), "lines")
+    place = F.struct("doc_id", "tag", "line_no")
+    # Every distinct line at its first place; no more than HOT of them are this frequent.
+    first = rows.groupBy("id").agg(F.min(place).alias("at"))
+    often = rows.groupBy("id").count().where(F.col("count") > rows.count() / HOT).select("id")
+    hot = rows.join(F.broadcast(often), "id", "left_semi").groupBy("id").agg(F.min(place).alias("at")).select(
+        F.col("id").alias("hot_id"), "at")
+    # Segments and probes of the longer lines that meet another line's; frequent lines at their first place only.
+    longer = _lines(docs, least).where(F.col("size") >= least).join(F.broadcast(hot), F.col("id") == F.col("hot_id"), "left")
+    longer = longer.where(F.col("at").isNull() | F.col("at").eqNullSafe(place)).select("id", "line", "size")
+    met = written(_met(longer, edits).distinct(), "met")
+    # Their texts, looked up at their first places. Signatures keep pairs that are too far apart inside the join.
+    wanted = first.join(met.select("id").distinct(), "id", "left_semi")
+    asked = with_list(docs, wanted.select("at.doc_id", "at.tag", "at.line_no", "id"), "asked").where("asked is not null")
+    texts = asked.select(F.split("text", "\n").alias("lines"), "asked").select(F.inline(F.transform(
+        "asked", lambda a: F.struct(a["id"].alias("id"), F.get("lines", a["line_no"]).alias("line")))))
+    marked = met.join(texts, "id").select("key", "id", "is_segment", signature(F.col("line")).alias("mark"))
     r = marked.where("is_segment").select("key", F.col("id").alias("r"), F.col("mark").alias("r_mark"))
     s = marked.where("not is_segment").select("key", F.col("id").alias("s"), F.col("mark").alias("s_mark"))
     pairs = r.alias("x").join(s.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("r") != F.col("s"))
                               & _may_be_near("r_mark", "s_mark", edits)).select("r", "s").distinct()
-    verified = pairs.join(lines.select(F.col("id").alias("r"), F.col("line").alias("r_line")), "r").join(
-        lines.select(F.col("id").alias("s"), F.col("line").alias("s_line")), "s").where(
+    verified = pairs.join(texts.select(F.col("id").alias("r"), F.col("line").alias("r_line")), "r").join(
+        texts.select(F.col("id").alias("s"), F.col("line").alias("s_line")), "s").where(
         banded_distance(F.col("r_line"), F.col("s_line"), edits) <= edits).select("r", "s")
     placed = verified.join(first.select(F.col("id").alias("r"), F.col("at").alias("r_at")), "r").join(
         first.select(F.col("id").alias("s"), F.col("at").alias("s_at")), "s")
     near = placed.select(F.when(F.col("r_at") < F.col("s_at"), F.col("s")).otherwise(F.col("r")).alias("id")).distinct()
-    judged = first.join(near.withColumn("near", F.lit(True)), "id", "left")
+    judged = first.select("id", "at").join(near.withColumn("near", F.lit(True)), "id", "left")
     n = rows.select("doc_id", "tag", "line_no", "id").alias("n")
     return n.join(judged, "id").where(F.coalesce("near", F.lit(False)) | ~(
         F.col("n.doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("n.tag") == F.col("at.tag"))
@@ -172,18 +203,17 @@ def kept_lines(text: Column, removed: Column) -> Column:
         lambda e: ~F.array_contains(removed, e["i"])), lambda e: e["x"]), "\n")
 
 
-def with_removed(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """``docs`` (doc_id, tag, text, ..) with ``removed``: the numbers of its repeated lines, ascending."""
-    gone = with_list(docs, repeated_lines(docs.select("doc_id", "tag", "text"), edits, least), "gone")
-    mine = F.transform(F.filter(F.coalesce("gone", F.array().cast("array<struct<tag:int,line_no:int>>")),
-                                lambda g: g["tag"] == F.col("tag")), lambda g: g["line_no"])
-    return gone.withColumn("removed", F.sort_array(mine)).drop("gone")
+def with_removed(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, tag, ..) with ``removed``: the numbers of its repeated lines, ascending."""
+    return with_list(docs, gone, "removed").withColumn(
+        "removed", F.sort_array(F.coalesce("removed", F.array().cast("array<int>"))))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_removed, kept): every document without its repeated lines."""
-    rows = with_removed(keyed(docs, id_col, text_col), edits, least)
+    docs = keyed(docs, id_col, text_col)
+    rows = with_removed(docs, repeated_lines(docs, edits, least))
     return rows.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
                        F.size("removed").cast("long").alias("n_removed"),
                        F.when(F.size("removed") == 0, F.col("text")).otherwise(
@@ -199,8 +229,10 @@ def without_repeats(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_
     """
     columns = docs.columns
     touched = F.size("removed") > 0
-    rows = with_removed(boxed(docs, id_col, text_col), edits, least).withColumn(
-        "kept", kept_lines(F.col("text"), F.col("removed")))
+    rows = boxed(docs, id_col, text_col)
+    gone = repeated_lines(rows.select("doc_id", "tag", "text"), edits, least)
+    text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
+    rows = with_removed(rows.drop("text"), gone).withColumn("kept", kept_lines(text, F.col("removed")))
     rows = rows.where(~touched | (F.regexp_replace("kept", SPACES, "") != ""))
     changed = {text_col: F.col("kept"), size_col: F.length("kept").cast("long")}
     return rows.select(*[
