@@ -47,23 +47,22 @@ def with_cuts(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 def _key(shorter: int, number: int, start: Column) -> Column:
     """Key of the substring from ``start`` that is as long as a segment of lines shorter by so much."""
     size = F.col(f"cut_{shorter}_{number + 1}") - F.col(f"cut_{shorter}_{number}")
-    return F.xxhash64(F.lit(number), F.col("size") - shorter, F.substring("line", start + 1, size))
+    return F.xxhash64((F.col("size") - shorter) * 64 + number, F.substring("line", start + 1, size))
 
 
-def index_keys(edits: int = EDITS) -> Column:
+def index_keys(edits: int = EDITS) -> list[Column]:
     """The segments of a line of ``with_cuts`` as keys."""
-    return F.array(*[_key(0, i, F.col(f"cut_0_{i}")) for i in range(edits + 1)])
+    return [_key(0, i, F.col(f"cut_0_{i}")) for i in range(edits + 1)]
 
 
-def probe_keys(edits: int = EDITS) -> Column:
+def probe_keys(edits: int = EDITS) -> list[Column]:
     """Keys of all substrings that can equal a segment of a line as long or up to ``edits`` shorter.
 
     The i-th segment can have moved by at most i places seen from the left, and by what the other segments leave of
     the edits seen from the right. Lines of ``with_cuts`` are long enough that no substring leaves them.
     """
-    return F.array(*[
-        _key(d, i, F.col(f"cut_{d}_{i}") + move) for d in range(edits + 1) for i in range(edits + 1)
-        for move in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1)])
+    return [_key(d, i, F.col(f"cut_{d}_{i}") + move) for d in range(edits + 1) for i in range(edits + 1)
+            for move in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1)]
 
 
 def banded_distance(a: Column, b: Column, most: int = EDITS) -> Column:
@@ -134,19 +133,16 @@ def _met(lines: DataFrame, edits: int) -> DataFrame:
     of the two it is, and a key is cut to 48 bits, as what meets by chance is verified like all that meets.
     """
     odd, even, short = (F.lit(x).cast("long") for x in (1, -2, (1 << 48) - 1))
-
-    def marked(keys: Column, is_segment: int) -> Column:
-        return F.transform(keys, lambda k: F.struct(k.bitwiseAND(short).alias("key"),
-                                                    F.col("id").bitwiseOR(F.lit(is_segment).cast("long")).alias("id")))
-
-    both = F.concat(marked(index_keys(edits), 1), marked(probe_keys(edits), 0))
-    rows = with_cuts(lines, edits).select(F.inline(both))
-    one, is_segment, own = Window.partitionBy("key"), F.col("id").bitwiseAND(odd) == 1, F.col("id").bitwiseAND(even)
-    ends = {f"{how}_{side}": fn(F.when(is_segment == (side == "r"), own)).over(one)
-            for side in "rs" for how, fn in (("least", F.min), ("most", F.max))}
-    alone = (F.col("least_r") == F.col("most_s")) & (F.col("most_r") == F.col("least_s"))
-    # Null, and so left out, where a side is missing.
-    return rows.withColumns(ends).where(~alone).select("key", own.alias("id"), is_segment.alias("is_segment"))
+    keys = F.array(*index_keys(edits), *probe_keys(edits))
+    rows = with_cuts(lines, edits).select("id", F.posexplode(keys).alias("number", "key")).select(
+        F.col("key").bitwiseAND(short).alias("key"),
+        F.when(F.col("number") <= edits, F.col("id").bitwiseOR(odd)).otherwise(F.col("id")).alias("id"))
+    one, own, is_segment = Window.partitionBy("key"), F.col("id").bitwiseAND(even), F.col("id").bitwiseAND(odd) == 1
+    # Most keys belong to one line; the few others also need both sides.
+    several = rows.withColumns({"least": F.min("id").over(one), "most": F.max("id").over(one)}).where(
+        F.col("least").bitwiseAND(even) != F.col("most").bitwiseAND(even)).select("key", "id")
+    sides = several.withColumns({"r": F.max(F.when(is_segment, own)).over(one), "s": F.max(F.when(~is_segment, own)).over(one)})
+    return sides.where("r is not null and s is not null").select("key", own.alias("id"), is_segment.alias("is_segment"))
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
