@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceworks.operators.knn import nearest_neighbours
+from traceworks.sources.file_table import FileTable
 
 # Collection per file extension, and context size.
 COLLECTION_OF = {".pdf": "pdfs", ".png": "images", ".jpg": "images", ".jpeg": "images",
@@ -148,6 +149,15 @@ def collections_holding(kb: DataFrame, filename: str) -> DataFrame:
         F.count_distinct("collection").alias("collections_affected"))
 
 
+def delete_document(stored: FileTable, filename: str) -> int:
+    """Delete a document from every collection of a stored table; the number of collections that held it."""
+    rows = stored.read()
+    held = 0 if rows is None else collections_holding(rows, filename).first()[0]
+    if held:
+        stored.delete(F.col("filename") == filename)
+    return held
+
+
 def union_collections(collections: dict[str, DataFrame | None]) -> DataFrame:
     """Collections under each other with their name; missing ones are skipped."""
     out = None

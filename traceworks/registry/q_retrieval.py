@@ -10,6 +10,7 @@ from traceworks.plans import filings, retrieval
 from traceworks.registry.base import query, table
 from traceworks.registry.q_policy import _COLUMN, _NODE
 from traceworks.sources import sinks
+from traceworks.sources.file_table import FileTable
 
 
 def kb(spark, sf):
@@ -114,10 +115,11 @@ def _(spark, sf):
 @query("s25_document_deleted", f"""select collection, filename, (select count(distinct collection) from ({fx.KB_SQL})
   where filename = 'doc_7.txt') as collections_affected from ({fx.KB_SQL}) where filename <> 'doc_7.txt'""")
 def _(spark, sf):
-    records = kb(spark, sf)
-    affected = retrieval.collections_holding(records, "doc_7.txt").scalar()
-    return retrieval.without_document(records, "doc_7.txt").select(
-        "collection", "filename", affected.alias("collections_affected"))
+    """Deleted in the stored collections: only files that hold the document are written anew."""
+    stored = FileTable(spark, sinks.scratch_path(spark, "kb"))
+    stored.append(kb(spark, sf))
+    affected = retrieval.delete_document(stored, "doc_7.txt")
+    return stored.read().select("collection", "filename", F.lit(affected).cast("bigint").alias("collections_affected"))
 
 
 FILES = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from traceworks import fixtures as fx
-from traceworks.functions import redact, register as sql_functions
+from traceworks.functions import redact, register as sql_functions, tablefuncs
 from traceworks.plans import emit, metrics, policy, replay
 from traceworks.plans.ledger import complete_rows, with_flags
 from traceworks.registry.base import query, table
@@ -16,6 +16,7 @@ from traceworks.registry.q_quality import CLEAN_CONFIG, CLEAN_SQL, _mask_sql, _s
 from traceworks.registry.sql import over_staged, pct
 from traceworks.operators.clean import clean
 from traceworks.sources import bars_source, files, sinks, warehouse
+from traceworks.sources.file_table import FileTable
 
 
 def _written(spark, df, name, fmt, **options):
@@ -143,10 +144,33 @@ def _(spark, sf):
 
 @query("s16_append_then_read", "select n_nationkey, n_name from nation union all select s_suppkey, s_name from supplier")
 def _(spark, sf):
-    path = sinks.scratch_path(spark, "load")
-    table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "n_name").write.parquet(path)
-    table(spark, sf, "supplier").selectExpr("s_suppkey as n_nationkey", "s_name as n_name").write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    loaded = FileTable(spark, sinks.scratch_path(spark, "load"))
+    loaded.sync(table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "n_name"), "append")
+    loaded.sync(table(spark, sf, "supplier").selectExpr("cast(s_suppkey as bigint) as n_nationkey", "s_name as n_name"), "append")
+    return loaded.read()
+
+
+@query("s16_truncate_then_load", "select s_suppkey, s_name from supplier")
+def _(spark, sf):
+    """A full load over an earlier one: the earlier rows are gone."""
+    loaded = FileTable(spark, sinks.scratch_path(spark, "load"))
+    loaded.sync(table(spark, sf, "nation").selectExpr("cast(n_nationkey as bigint) as s_suppkey", "n_name as s_name"), "append")
+    loaded.sync(table(spark, sf, "supplier").selectExpr("cast(s_suppkey as bigint) as s_suppkey", "s_name"), "truncate")
+    return loaded.read()
+
+
+@query("s19_upsert_persisted", """select o_orderkey, case when o_orderkey % 5 = 0 then 'changed' else o_orderstatus end as status,
+  case when o_orderkey % 5 = 0 then 1 else 0 end as version from orders
+union all select -o_orderkey - 1, 'new', 1 from orders where o_orderkey % 50 = 0""")
+def _(spark, sf):
+    """Stored orders, then changes of every fifth and some new ones, merged on the key and read back."""
+    orders = table(spark, sf, "orders")
+    stored = FileTable(spark, sinks.scratch_path(spark, "orders"))
+    stored.append(orders.selectExpr("o_orderkey", "o_orderstatus as status", "0 as version"))
+    stored.upsert(orders.where("o_orderkey % 5 = 0").selectExpr("o_orderkey", "'changed' as status", "1 as version").unionByName(
+        orders.where("o_orderkey % 50 = 0").selectExpr("-o_orderkey - 1 as o_orderkey", "'new' as status", "1 as version")),
+        ["o_orderkey"], ["version"])
+    return stored.read()
 
 
 @query("s17_external_table", "select c_mktsegment, count(*) as customers from customer group by 1")
@@ -468,10 +492,41 @@ def _(spark, sf):
     return spark.read.format("bars").option("provider", "parquet").load(path)
 
 
+@query("x02_bar_filter", f"""select ticker, ts, close from ({fx.DAILY_BARS_SQL})
+  where ticker >= (select max(ticker) from ({fx.DAILY_BARS_SQL})) and close > 0""")
+def _(spark, sf):
+    """A folder given as a URI; the filter on the ticker skips row groups."""
+    path = sinks.scratch_path(spark, "bars")
+    bars = fx.daily_bars(spark, sf)
+    bars.sortWithinPartitions("ticker", "ts").write.parquet(path)
+    bars_source.register(spark)
+    uri = path if "://" in path else f"file://{path}"
+    last = bars.agg(F.max("ticker")).first()[0]
+    return spark.read.format("bars").load(uri).where((F.col("ticker") >= last) & (F.col("close") > 0)).select(
+        "ticker", "ts", "close")
+
+
 @query("x06_violation_rows", over_staged("""select trace_id, unnest(list_filter([case when is_error then 'error' end,
   case when is_policy_blocked then 'policy_blocked' end, case when is_boundary_violation then 'boundary' end],
   lambda x: x is not null)) as violation from staged"""))
 def _(spark, sf):
-    kinds = F.array(F.when(F.col("is_error"), "error"), F.when(F.col("is_policy_blocked"), "policy_blocked"),
-                    F.when(F.col("is_boundary_violation"), "boundary"))
-    return staged(spark, sf).select("trace_id", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("violation"))
+    tablefuncs.register(spark)
+    staged(spark, sf).createOrReplaceTempView("traceworks_staged")
+    return spark.sql("""select trace_id, violation from traceworks_staged, lateral violation_rows(
+        error => is_error, policy_blocked => is_policy_blocked, boundary => is_boundary_violation)""")
+
+
+_PROFILED = ["c_custkey", "c_name", "c_mktsegment", "note"]
+_NOTED = "select c_custkey, c_name, c_mktsegment, case when c_custkey % 3 = 0 then c_name end as note from customer"
+
+
+@query("x06_profile_rows", " union all ".join(
+    f"""select '{c}' as column_name, count(*) as rows, count(*) - count({c}) as nulls,
+  max(length(cast({c} as varchar)))::bigint as longest from ({_NOTED})""" for c in _PROFILED))
+def _(spark, sf):
+    """Every task profiles its rows of the table; the parts are added up."""
+    tablefuncs.register(spark)
+    table(spark, sf, "customer").selectExpr(
+        "c_custkey", "c_name", "c_mktsegment", "if(c_custkey % 3 = 0, c_name, null) as note").createOrReplaceTempView("traceworks_noted")
+    return spark.sql("""select column_name, sum(rows) as rows, sum(nulls) as nulls, max(longest) as longest
+        from column_counts(table(traceworks_noted)) group by column_name""")
