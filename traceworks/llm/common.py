@@ -61,12 +61,5 @@ def boxed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                        row.alias("row"))
 
 
-def only_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of a ``boxed`` table whose (doc_id, tag) is among ``keys``, as they were given."""
-    keys = keys.select("doc_id", "tag").distinct()
-    return docs.join(keys, docs["doc_id"].eqNullSafe(keys["doc_id"]) & (docs["tag"] == keys["tag"]), "left_semi").select(
-        "row.*")
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceworks.llm.common import SPACES, boxed, drop_written, only_rows, written
+from traceworks.llm.common import SPACES, boxed, keyed, written
 
 SYMBOLS = "#*$%&|<>"
 ROUNDS = 25
@@ -90,31 +90,64 @@ def rules() -> dict[str, Column]:
 
 
 def _estimate(patterns: DataFrame, names: list[str]) -> tuple[float, dict[str, tuple[float, float]]]:
-    """Share of good documents, and per rule the chance of a bad vote on a good and on a bad document."""
-    any_bad = F.lit(False)
-    for name in names:
-        any_bad = any_bad | F.coalesce(F.col(name) == 0, F.lit(False))
-    good = F.when(any_bad, 0.05).otherwise(0.95)
-    prior, chances = 0.5, {name: (0.5, 0.5) for name in names}
-    for _ in range(ROUNDS):
-        weighted = patterns.withColumn("g", F.col("n") * good).withColumn("b", F.col("n") * (1 - good))
-        sums = weighted.agg(
-            F.sum("n").alias("n"), F.sum("g").alias("g"), *[
-                F.coalesce(F.sum(F.when(F.col(name) == vote, F.col(side))), F.lit(0.0)).alias(f"{name}_{vote}{side}")
-                for name in names for vote in (0, 1) for side in "gb"]).first()
-        if not sums["n"]:
-            return 1.0, chances
-        before, prior = prior, (sums["g"] + 1) / (sums["n"] + 2)
-        for name in names:
-            on_good, on_bad = ((sums[f"{name}_0{s}"] + 1) / (sums[f"{name}_0{s}"] + sums[f"{name}_1{s}"] + 2)
-                               for s in "gb")
-            if on_good > on_bad:
-                on_good = on_bad = (on_good + on_bad) / 2
-            chances[name] = (on_good, on_bad)
-        good = posterior(prior, chances)
-        if abs(prior - before) < 1e-9:
-            break
-    return prior, chances
+    """Share of good documents, and per rule the chance of a bad vote on a good and on a bad document.
+
+    Expectation-maximisation over the vote patterns, of which there are at most 3 to the number of rules: they are one
+    array of one row, and the rounds are a fold over it.
+    """
+    rules_ = F.sequence(F.lit(0), F.lit(len(names) - 1))
+
+    def total(weights: Column, what: Callable[[Column], Column]) -> Column:
+        return F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + what(w))
+
+    def learnt(weights: Column, before: Column) -> Column:
+        """Maximisation: shares and chances from patterns weighted by how good and how bad they are."""
+        def chance(side: str) -> Column:
+            def of(rule: Column) -> Column:
+                bad = total(weights, lambda w: F.when(F.get(w["votes"], rule) == 0, w[side]).otherwise(F.lit(0.0)))
+                cast = total(weights, lambda w: F.when(F.get(w["votes"], rule).isNotNull(), w[side]).otherwise(F.lit(0.0)))
+                return (bad + 1) / (cast + 2)
+
+            return F.transform(rules_, of)
+
+        def pair(good: Column, bad: Column) -> Column:
+            # A rule that speaks against good documents more than against bad ones says nothing.
+            return F.when(good > bad, F.struct(((good + bad) / 2).alias("good"), ((good + bad) / 2).alias("bad"))).otherwise(
+                F.struct(good.alias("good"), bad.alias("bad")))
+
+        prior = (total(weights, lambda w: w["g"]) + 1) / (total(weights, lambda w: w["g"] + w["b"]) + 2)
+        return let(prior, lambda p: F.struct(p.alias("prior"), F.zip_with(chance("g"), chance("b"), pair).alias("chances"),
+                                             (F.abs(p - before) < 1e-9).alias("done")))
+
+    def weighted(good: Callable[[Column], Column]) -> Column:
+        return F.transform("p", lambda p: let(good(p["votes"]), lambda g: F.struct(
+            p["votes"].alias("votes"), (p["n"] * g).alias("g"), (p["n"] * (1 - g)).alias("b"))))
+
+    def step(state: Column, _: Column) -> Column:
+        """Expectation with what is known, then maximisation."""
+        terms = F.transform(state["chances"], lambda c: F.struct(
+            F.log(c["good"] / c["bad"]).alias("bad"), F.log((1 - c["good"]) / (1 - c["bad"])).alias("good")))
+
+        def good(t: Column) -> Callable[[Column], Column]:
+            def of(votes: Column) -> Column:
+                said = F.zip_with(votes, t, lambda v, x: F.when(v == 0, x["bad"]).when(v == 1, x["good"]).otherwise(F.lit(0.0)))
+                odds = F.aggregate(said, F.log(state["prior"]) - F.log(1 - state["prior"]), lambda acc, x: acc + x)
+                return 1 / (1 + F.exp(-odds))
+
+            return of
+
+        new = let(terms, lambda t: let(weighted(good(t)), lambda w: learnt(w, state["prior"])))
+        return F.when(state["done"], state).otherwise(new)
+
+    start = let(weighted(lambda votes: F.when(F.array_contains(votes, 0), F.lit(0.05)).otherwise(F.lit(0.95))),
+                lambda w: learnt(w, F.lit(0.5)))
+    found = patterns.agg(F.collect_list(F.struct(
+        F.array(*[F.col(n).cast("int") for n in names]).alias("votes"), F.col("n").cast("double").alias("n"))).alias("p"))
+    last = found.where(F.size("p") > 0).select(
+        F.aggregate(F.sequence(F.lit(2), F.lit(ROUNDS)), start, step).alias("s")).select("s.*").first()
+    if last is None:
+        return 1.0, {name: (0.5, 0.5) for name in names}
+    return last["prior"], {name: (c["good"], c["bad"]) for name, c in zip(names, last["chances"])}
 
 
 def posterior(prior: float, chances: dict[str, tuple[float, float]]) -> Column:
@@ -126,24 +159,25 @@ def posterior(prior: float, chances: dict[str, tuple[float, float]]) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    m = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text).alias("tag"), measures(text).alias("m"))
-    return m.select("doc_id", "tag", "m.w.*", "m.l.*", "m.word_chars", "m.n_symbols", "m.n_letters", "m.n_capitals")
-
-
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its measures, the rules' votes, base_failed, the posterior quality and ``kept``."""
+def _judged(docs: DataFrame) -> DataFrame:
+    """``docs`` (text, ..) with measures, votes, base_failed, quality and ``kept`` instead of the text, written once."""
+    others = [c for c in docs.columns if c != "text"]
+    m = docs.select(*others, measures(F.col("text")).alias("m")).select(
+        *others, "m.w.*", "m.l.*", "m.word_chars", "m.n_symbols", "m.n_letters", "m.n_capitals")
     names = list(rules())
-    measured = written(_measured(docs, id_col, text_col).withColumns(rules()), "quality")
-    patterns = written(measured.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "votes")
+    measured = written(m.withColumns(rules()), "quality")
+    patterns = measured.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
     prior, chances = _estimate(patterns, names)
-    drop_written(patterns)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return measured.withColumn("base_failed", failed).withColumn("quality", posterior(prior, chances)).withColumn(
         "kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
 
 
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: its measures, the rules' votes, base_failed, the posterior quality and ``kept``."""
+    return _judged(keyed(docs, id_col, text_col))
+
+
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document is kept, with all their columns."""
-    return only_rows(boxed(docs, id_col, text_col), verdicts(docs, id_col, text_col).where("kept"))
+    """The rows of ``docs`` whose document is kept, with all their columns; they go along with their measures."""
+    return _judged(boxed(docs, id_col, text_col).select("text", "row")).where("kept").select("row.*")
