@@ -8,34 +8,61 @@ last stage turns a row's place in the files into the column ``position``: sorted
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceworks.llm import lines, minhash, mixing, pieces, quality
+from traceworks.llm.common import drop_folder, recorded
 from traceworks.session import checkpoint_dir
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Folders that the last stage of a run wrote in between, by session and source.
+_left: dict[tuple[int, str], list[str]] = {}
 
+
+def _tidy(stage: Stage) -> Stage:
+    """A stage is called when its predecessor's result is stored: what that one wrote in between is deleted first."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        run_of = (id(spark), sf_dir)
+        for folder in _left.pop(run_of, []):
+            drop_folder(spark, folder)
+        with recorded() as folders:
+            result = stage(spark, docs, sf_dir)
+        _left[run_of] = folders
+        return result
+
+    return run_stage
+
+
+@_tidy
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior quality is at least one half and that pass the base rules."""
     return quality.accepted(docs)
 
 
+@_tidy
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that stand earlier, up to two edits; documents of which only blank lines are left go."""
     return lines.without_repeats(docs)
 
 
+@_tidy
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     return minhash.one_of_each(docs)
 
 
+@_tidy
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order that mixes the sources to their target weights."""
     return mixing.in_mixed_order(docs)
 
 
+@_tidy
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The piece ids of every document, and its ``position`` in the mix: task and file of the mixed table, row in the file."""
     name = F.col("_metadata.file_name")
