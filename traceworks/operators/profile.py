@@ -16,9 +16,10 @@ def long_form(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """Nulls, distinct values and a low-cardinality flag for every column.
 
-    One scan. Cells are counted per (column, value) before the shuffle, so a
-    dominant value or column costs one row per task; the second step only
-    sees per-column sums. ``approx`` skips the value shuffle altogether.
+    One scan. Cells are counted per (column, digest of the value) before the
+    shuffle, so a dominant value or column costs one row per task and no text
+    travels; the second step only sees per-column sums. ``approx`` skips the
+    value shuffle altogether.
     """
     types = F.create_map(*[F.lit(x) for name, t in df.dtypes for x in (name, t)])
     cells = long_form(df)
@@ -29,18 +30,26 @@ def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
             F.approx_count_distinct("value").alias("distinct_count"),
         )
     else:
+        # 96 bits stand for a value; null has none.
+        has = F.col("value").isNotNull()
+        digests = cells.select("column_name", F.when(has, F.xxhash64("value")).alias("a"), F.when(has, F.hash("value")).alias("b"))
         stats = (
-            cells.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+            digests.groupBy("column_name", "a", "b").agg(F.count("*").alias("n"))
             .groupBy("column_name").agg(
                 F.sum("n").alias("row_count"),
-                F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("null_count"),
-                F.count("value").alias("distinct_count"),
+                F.sum(F.when(F.col("a").isNull(), F.col("n")).otherwise(0)).alias("null_count"),
+                F.count("a").alias("distinct_count"),
             )
         )
+    return _reported(stats.withColumn("type", types[F.col("column_name")]))
+
+
+def _reported(stats: DataFrame) -> DataFrame:
+    """Profile rows from (column_name, type, row_count, null_count, distinct_count)."""
     n = F.col("row_count")
     return stats.select(
         "column_name",
-        types[F.col("column_name")].alias("type"),
+        "type",
         "row_count",
         "null_count",
         F.round(F.col("null_count") / F.greatest(n, F.lit(1)) * 100, 1).alias("null_pct"),
@@ -49,6 +58,30 @@ def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     )
 
 
+def profile_partial(df: DataFrame, part: str) -> DataFrame:
+    """What a part of a table (a day, a load) adds to the table's profile: one mergeable row per column.
+
+    Counts, and a sketch of the distinct values; to be stored beside the part, named ``part``.
+    """
+    types = F.create_map(*[F.lit(x) for name, t in df.dtypes for x in (name, t)])
+    return long_form(df).groupBy("column_name").agg(
+        F.count("*").alias("row_count"),
+        F.count_if(F.col("value").isNull()).alias("null_count"),
+        F.hll_sketch_agg("value", 14).alias("values"),
+    ).select(F.lit(part).alias("part"), "column_name", types[F.col("column_name")].alias("type"), "row_count", "null_count", "values")
+
+
+def merged_profile(partials: DataFrame) -> DataFrame:
+    """The profile of a table from its parts' rows, without its cells; distinct counts are the sketches' estimates.
+
+    A part that was stored twice counts once.
+    """
+    once = partials.dropDuplicates(["part", "column_name"])
+    return _reported(once.groupBy("column_name").agg(
+        F.max("type").alias("type"), F.sum("row_count").alias("row_count"), F.sum("null_count").alias("null_count"),
+        F.hll_sketch_estimate(F.hll_union_agg("values")).alias("distinct_count")))
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows, distinct rows and the difference, over whole rows."""
     counted = df.groupBy(*df.columns).agg(F.count("*").alias("n"))

@@ -55,10 +55,18 @@ KINDS = {
 EXTRA_INPUTS = {"passed": "boolean", "prompt_text": "string"}
 
 
+def _made(what: str, kind: str, given: Column) -> Column:
+    """An id in the usual form of 8, 4, 4, 4 and 12 hexadecimal digits, from what a row says."""
+    digest = F.sha2(F.concat_ws("|", F.lit(what), F.lit(kind), given), 256)
+    return F.concat_ws("-", *[F.substring(digest, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
 def to_trace_events(rows: DataFrame, kind: str) -> DataFrame:
     """Rows as ledger events of one kind.
 
-    Ids and times are taken from the rows where given, else made here. Typed
+    Ids and times are taken from the rows where given, else made here: an id
+    is a hash of the row's own values, so a task that runs again, or a batch
+    that is sent again, makes the same id and the first write wins. Typed
     credentials are masked in question and SQL before they are hashed.
     """
     k = KINDS[kind]
@@ -67,11 +75,12 @@ def to_trace_events(rows: DataFrame, kind: str) -> DataFrame:
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(dtype))
     rows = rows.withColumn("status", F.coalesce("status", F.lit("ok")))
+    given = F.to_json(F.struct(*[F.col(c) for c in known]))
     sql = mask_credentials(F.col("sql_text"))
     values: dict[str, Column] = {c: F.col(c) for c in LEDGER_COLUMNS}
     values |= {
-        "trace_id": F.coalesce("trace_id", F.uuid()),
-        "request_id": F.coalesce(F.nullif("request_id", F.lit("")), F.uuid()),
+        "trace_id": F.coalesce("trace_id", _made("trace", kind, given)),
+        "request_id": F.coalesce(F.nullif("request_id", F.lit("")), _made("request", kind, given)),
         "event_timestamp": F.coalesce("event_timestamp", F.date_format(
             F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")),
         "event_type": F.expr(k.event_type),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from traceworks.operators.knn import nearest_neighbours
@@ -19,11 +19,8 @@ COLLECTION_OF = {".pdf": "pdfs", ".png": "images", ".jpg": "images", ".jpeg": "i
 MAX_CONTEXT_CHARS = 6000
 NO_TEXT = "(No extracted text)"
 RULE = "─" * 60
-SYSTEM_TEXT = (
-    "You are a helpful data and documentation assistant. "
-    "Use ONLY the provided context to answer. "
-    "If the answer is not in the context, say you don't know. "
-    "Do NOT invent facts. Be concise and precise.")
+SYSTEM_TEXT = ("Answer from the passages below and from nothing else. Where they do not say, answer that they do not. "
+               "Keep it short and exact.")
 
 
 def extension(path: Column) -> Column:
@@ -176,3 +173,43 @@ def model_texts(models: DataFrame, columns: DataFrame) -> DataFrame:
         "model_name",
         F.concat(F.lit("Model: "), F.col("model_name"), F.lit("\nDescription: "), F.col("description"),
                  F.lit("\nColumns: "), F.coalesce("cols", F.lit(""))).alias("text"))
+
+
+class MetadataIndex:
+    """Vectors of model texts in a stored table; built anew only when the texts' content has changed.
+
+    The table's newest version is the index in use. Its rows carry the content they were built from, so a build that
+    stops half way leaves the version before.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.stored = FileTable(spark, path)
+
+    @staticmethod
+    def content_of(texts: DataFrame) -> str:
+        """A hash of all rows (doc_id, text) in any order."""
+        mark = F.xxhash64("doc_id", "text")
+        n, total, mixed = texts.agg(F.count("*"), F.sum(mark.cast("decimal(38,0)")), F.bit_xor(mark)).first()
+        return f"{n}:{total}:{mixed}"
+
+    def refresh(self, texts: DataFrame, embed: Callable, content: str | None = None) -> bool:
+        """Embed and store ``texts`` unless the index holds this content already; whether it was built.
+
+        ``content`` may be the hash of the manifest the texts come from; by default the texts themselves are hashed.
+        """
+        content = self.content_of(texts) if content is None else content
+        rows = self.read()
+        held = rows.select("content").first() if rows is not None else None
+        if held is not None and held[0] == content:
+            return False
+        self.stored.replace(texts.select("doc_id", "text", embedded(F.col("text"), embed).alias("vector"),
+                                         F.lit(content).alias("content")))
+        return True
+
+    def read(self) -> DataFrame | None:
+        return self.stored.read()
+
+    def search(self, questions: DataFrame, k: int = 3) -> DataFrame:
+        """The ``k`` nearest texts per question (query_id, query_vector)."""
+        base = self.read().select("doc_id", F.lit("models").alias("collection"), "vector")
+        return nearest_neighbours(base, questions, k)

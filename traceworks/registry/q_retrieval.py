@@ -197,11 +197,13 @@ def _(spark, sf):
     columns = table(spark, sf, "part").selectExpr(*[f"{e} as {c}" for c, e in _COLUMN])
     texts = retrieval.model_texts(models, columns).join(models.select("doc_id", "model_name"), "model_name")
     embed = retrieval.hash_embedder()
-    base = texts.select("doc_id", F.lit("models").alias("collection"), retrieval.embedded(F.col("text"), embed).alias("vector"))
+    index = retrieval.MetadataIndex(spark, sinks.scratch_path(spark, "metadata"))
+    for _ in range(2):  # the second time nothing has changed, and nothing is built
+        index.refresh(texts.select("doc_id", "text"), embed)
     asked = table(spark, sf, "nation").select(
         F.col("n_nationkey").cast("bigint").alias("query_id"),
         retrieval.embedded(F.concat(F.lit("description: orders by nation "), F.col("n_name")), embed).alias("query_vector"))
-    return nearest_neighbours(base, asked, 3).withColumn("distance", F.round("distance", 6))
+    return index.search(asked).withColumn("distance", F.round("distance", 6))
 
 
 @query("x03_embedder")
