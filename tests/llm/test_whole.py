@@ -14,8 +14,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 from test_operators import SF  # noqa: E402
-from traceworks.llm import grams, lines, mixing, substring  # noqa: E402
+from traceworks.llm import grams, lines, mixing, substring, warc  # noqa: E402
 from traceworks.llm.common import written  # noqa: E402
 
 
@@ -102,3 +103,22 @@ def test_short_lines_of_the_given_documents(spark):
     alone = brute.lines({i: "\n".join(x for x in t.split("\n") if len(x) >= 32) for i, t in texts.items()})
     want = {i: n + again[i] for i, (_, n, _) in alone.items()}
     assert sum(again.values()) > 0 and {r.doc_id: r.n_removed for r in lines.dedup_lines(docs).collect()} == want
+
+
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    pages = spark.range(400).selectExpr("id page_id", "'u' url", "repeat(sha2(string(id), 512), 8) html").repartition(2)
+    files = warc.write_archives(pages, str(tmp_path))
+    rows = warc.read_archives(spark, str(tmp_path), files, split_bytes=20_000)
+    assert rows.count() == 400
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 5
+
+
+def test_many_rows_of_one_id_are_documents_of_their_own(spark):
+    line = "a line that is long enough to be compared with others "
+    rows = [(None, f"{line}{i}{i}{i}{i} " + " ".join(f"w{i}x{k}" for k in range(40))) for i in range(20_000)]
+    rows += [(7, f"{line}{i}-{i}-{i} " + " ".join(f"v{i}x{k}" for k in range(40))) for i in range(2_000)] + rows[:1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    out = substring.remove_repeats(docs).select("doc_id", "n_words", "n_removed")
+    assert out.count() == len(rows) and out.where("n_removed > 0").count() == 0
+    out = lines.dedup_lines(docs).select("doc_id", "n_removed")
+    assert out.count() == len(rows) and out.where("doc_id is null").count() == 20_001

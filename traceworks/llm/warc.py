@@ -216,7 +216,13 @@ def read_archives(spark: SparkSession, folder: str, files: DataFrame, split_byte
     splits = files.where("bytes > 0").select("file", "bytes", F.explode(F.sequence(
         F.lit(0).cast("long"), F.col("bytes") - 1, step)).alias("start")).withColumn(
         "end", F.least(F.col("start") + step, F.col("bytes")))
-    return splits.repartition("file", "start").mapInArrow(_reader(folder), RECORDS)
+    # A number, since the splits' own rows are so small that they would all be given to one task.
+    tasks = min(max(1, splits.count()), MOST_TASKS)
+    return splits.repartition(tasks, "file", "start").mapInArrow(_reader(folder), RECORDS)
+
+
+#: Tasks that read archives at once, beyond which a task takes several ranges.
+MOST_TASKS = 100_000
 
 
 def archive_folder(spark: SparkSession) -> str:
