@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceworks.llm import grams
-from traceworks.llm.common import with_list, written
+from traceworks.llm.common import own_key, with_list, written
 
-ANCHORS = "doc_id long, tag int, anchors array<long>, again array<boolean>"
+ANCHORS = "own long, anchors array<long>, again array<boolean>"
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:
@@ -80,11 +80,11 @@ def anchor_rows(docs: DataFrame, find: Callable) -> DataFrame:
                 again = np.diff(np.append(at, len(hashes))) > 1
                 counts = np.bincount(text[at], minlength=hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[lo:hi], batch.column("tag")[lo:hi],
+                    [batch.column("own")[lo:hi],
                      list_column(hashes[at].view(np.int64), counts, pa.int64()),
-                     list_column(again, counts, pa.bool_())], ["doc_id", "tag", "anchors", "again"])
+                     list_column(again, counts, pa.bool_())], ["own", "anchors", "again"])
 
-    return docs.mapInArrow(work, ANCHORS)
+    return docs.select(own_key().alias("own"), "text").mapInArrow(work, ANCHORS)
 
 
 def with_shared(docs: DataFrame, small: DataFrame, find: Callable, keep: bool = False) -> DataFrame:
@@ -92,12 +92,12 @@ def with_shared(docs: DataFrame, small: DataFrame, find: Callable, keep: bool =
 
     The anchors are needed twice: ``keep`` writes them to the shared folder instead of finding them again.
     """
-    one = anchor_rows(docs, find).select("doc_id", "tag", F.explode(F.arrays_zip("anchors", "again")).alias("a")).select(
-        "doc_id", "tag", F.col("a.anchors").alias("anchor"), F.col("a.again").alias("again"))
+    one = anchor_rows(docs, find).select("own", F.explode(F.arrays_zip("anchors", "again")).alias("a")).select(
+        "own", F.col("a.anchors").alias("anchor"), F.col("a.again").alias("again"))
     one = written(one, "anchors") if keep else one
     shared = one.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where(
         "n > 1 or again").select("anchor")
-    return with_list(small, one.select("doc_id", "tag", "anchor").join(shared, "anchor"), "shared")
+    return with_list(small, one.select("own", "anchor").join(shared, "anchor"), "shared")
 
 
 def own(batch: pa.RecordBatch, name: str, lo: int, hi: int) -> tuple[np.ndarray, pa.StructArray]:

@@ -62,18 +62,24 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text).alias("tag"), text.alias("text"))
 
 
+def own_key() -> Column:
+    """One number for a document of ``keyed``: a 64-bit hash of id and tag."""
+    return F.xxhash64("doc_id", "tag")
+
+
 def with_list(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     """``docs`` with the column ``name``: the list of other columns of ``rows`` that have its doc_id and tag, or null.
 
-    One other column gives a list of its values, several a list of structs that hold the tag too. Rows that share only
-    an id, a null one too, are documents of their own. Every such join deals the texts out by (doc_id, tag), so one
-    exchange of them serves several joins of a plan.
+    ``rows`` have doc_id and tag, or their ``own_key`` as ``own``. One other column gives a list of its values, several
+    a list of structs, with the tag if given. Rows that share only an id, a null one too, are documents of their own.
+    Every such join deals the texts out by the same key, so one exchange of them serves several joins of a plan.
     """
-    columns = [c for c in rows.columns if c not in ("doc_id", "tag")]
-    item = F.struct("tag", *columns) if len(columns) > 1 else F.col(columns[0])
-    lists = rows.groupBy("doc_id", "tag").agg(F.collect_list(item).alias(name))
-    return docs.join(lists, docs["doc_id"].eqNullSafe(lists["doc_id"]) & (docs["tag"] == lists["tag"]), "left").select(
-        docs["*"], lists[name])
+    columns = [c for c in rows.columns if c not in ("doc_id", "tag", "own")]
+    if "own" not in rows.columns:
+        rows = rows.withColumn("own", own_key())
+    item = F.struct(*(["tag"] if "tag" in rows.columns else []), *columns) if len(columns) > 1 else F.col(columns[0])
+    lists = rows.select("own", item.alias("item")).groupBy("own").agg(F.collect_list("item").alias(name))
+    return docs.withColumn("own", own_key()).join(lists, "own", "left").drop("own")
 
 
 def boxed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
