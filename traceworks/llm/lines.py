@@ -172,8 +172,10 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> D
     # Their texts, looked up at their first places. Signatures keep pairs that are too far apart inside the join.
     wanted = first.join(met.select("id").distinct(), "id", "left_semi")
     asked = with_list(docs, wanted.select("at.doc_id", "at.tag", "at.line_no", "id"), "asked").where("asked is not null")
-    texts = asked.select(F.split("text", "\n").alias("lines"), "asked").select(F.inline(F.transform(
-        "asked", lambda a: F.struct(a["id"].alias("id"), F.get("lines", a["line_no"]).alias("line")))))
+    # The id goes along, so that the exchange of the texts is the one that the result is made from.
+    texts = asked.select("doc_id", F.split("text", "\n").alias("lines"), "asked").select(F.inline(F.transform(
+        "asked", lambda a: F.struct(a["id"].alias("id"), F.get("lines", a["line_no"]).alias("line"),
+                                    F.col("doc_id").alias("of"))))).select("id", "line")
     marked = met.join(texts, "id").select("key", "id", "is_segment", signature(F.col("line")).alias("mark"))
     r = marked.where("is_segment").select("key", F.col("id").alias("r"), F.col("mark").alias("r_mark"))
     s = marked.where("not is_segment").select("key", F.col("id").alias("s"), F.col("mark").alias("s_mark"))
