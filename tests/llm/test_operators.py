@@ -122,6 +122,23 @@ def test_near_duplicates_without_ids(spark):
     assert [(r.component_id, r.kept) for r in out if r.doc_id == 3] == [(3, True)] * 2
 
 
+def test_near_duplicates_of_several_texts_of_one_id(spark):
+    a, b = [" ".join(f"{c}{i}" for i in range(60)) for c in "xy"]
+    rows = [(3, a), (3, b), (5, b + " new"), (2, a + " other"), (9, "z " * 9), (9, None), (4, "q r s t u")]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in out) == [
+        (2, 2, True), (3, 2, False), (3, 2, False), (4, 4, True), (5, 2, False), (9, 9, True), (9, 9, True)]
+
+
+def test_near_duplicates_with_very_many_texts_of_one_id(spark):
+    rows = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat_ws(
+        " ", *[F.concat(F.lit(w), F.col("id")) for w in "abcdef"]).alias("text"))
+    more = spark.createDataFrame([(8, "a5 b5 c5 d5 e5 f5"), (6, "a9 b9 c9 d9 e9 f9")], "doc_id long, text string")
+    out = minhash.near_duplicates(rows.union(more), 4)
+    assert [tuple(r) for r in out.groupBy("doc_id", "component_id").count().orderBy("doc_id").collect()] == [
+        (6, 6, 1), (7, 6, 20_000), (8, 6, 1)]
+
+
 def test_components_of_chains_stars_and_loops(spark):
     random.seed(7)
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 140)] + [(5, 5), (200, 201), (201, 200)]

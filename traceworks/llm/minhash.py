@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from traceworks.llm import grams
 from traceworks.llm.anchors import list_column, raw_texts
-from traceworks.llm.common import boxed, keyed, written
+from traceworks.llm.common import boxed, drop_written, keyed, written
 from traceworks.llm.components import connected_components
 
 BANDS, ROWS = 24, 4
@@ -33,12 +33,11 @@ BANDS, ROWS = 24, 4
 SLACK = 0.25
 #: Members of one block of a bucket that is compared in full.
 BLOCK = 256
-_MERSENNE = np.uint64((1 << 61) - 1)
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 61, BANDS * ROWS, np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 1 << 61, BANDS * ROWS, np.uint64)
 
-SKETCH = "doc_id long, n long, set_a long, set_b long, bands array<long>, signature binary"
+SKETCH = "doc_id long, body long, n long, set_a long, set_b long, bands array<long>, signature binary"
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,11 +94,11 @@ def _sketches(k: int):
                 for i, s in zip(filled, signature):
                     signatures[i] = s
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[lo:hi], pa.array(counts, pa.int64()), pa.array(digests[0].view(np.int64)),
+                    [batch.column("doc_id")[lo:hi], batch.column("body")[lo:hi], pa.array(counts, pa.int64()), pa.array(digests[0].view(np.int64)),
                      pa.array(digests[1].view(np.int64)),
                      list_column(bands.ravel().view(np.int64), np.where(counts > 0, BANDS, 0), pa.int64()),
                      pa.array(signatures, pa.binary())],
-                    ["doc_id", "n", "set_a", "set_b", "bands", "signature"])
+                    ["doc_id", "body", "n", "set_a", "set_b", "bands", "signature"])
 
     return work
 
@@ -174,19 +173,26 @@ def _tied(k: int, percent: int):
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row; ``kept`` marks the smallest id of each component."""
-    docs = keyed(docs, id_col, text_col)
-    sketch = written(docs.mapInArrow(_sketches(shingle), SKETCH), "sketches")
-    classes = sketch.where("n > 0 and doc_id is not null").groupBy("set_a", "set_b", "n").agg(
-        F.min("doc_id").alias("node"))
-    nodes = sketch.join(classes, ["set_a", "set_b", "n"]).where("doc_id = node")
-    buckets = nodes.select("node", F.explode("bands").alias("bucket")).distinct()
+    docs = keyed(docs, id_col, text_col).withColumn("body", F.xxhash64("text"))
+    sketch = written(docs.mapInArrow(_sketches(shingle), SKETCH).withColumn("row", F.monotonically_increasing_id()),
+                     "sketches")
+    sets = ["set_a", "set_b", "n"]
+    # A class of equal sets is named by one of its rows, since rows of one id may be of several classes.
+    classes = written(sketch.where("n > 0 and doc_id is not null").groupBy(*sets).agg(
+        F.min("row").alias("node"), F.min("doc_id").alias("least")), "classes")
+    s, c = sketch.select("doc_id", *sets).alias("s"), classes.alias("c")
+    equal = [F.col(f"s.{x}") == F.col(f"c.{x}") for x in sets]
+    placed = written(s.join(c, [*equal, F.col("s.n") > 0, F.col("s.doc_id").isNotNull()], "left").select(
+        "s.doc_id", "s.n", "c.node"), "placed")
+    nodes = sketch.join(classes.select("node"), F.col("row") == F.col("node"))
+    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi")
     members = written(buckets.join(shared, "bucket"), "buckets")
     wanted = members.select("node").distinct()
-    texts = written(docs.join(wanted, docs["doc_id"] == wanted["node"]).groupBy("node").agg(
+    signatures = written(nodes.join(wanted, "node").select("node", "doc_id", "body", "signature"), "signatures")
+    drop_written(sketch)
+    texts = written(docs.join(signatures.select("node", "doc_id", "body"), ["doc_id", "body"]).groupBy("node").agg(
         F.min("text").alias("text")), "texts")
-    signatures = written(nodes.join(wanted, "node").groupBy("node").agg(F.min("signature").alias("signature")),
-                         "signatures")
 
     def links(pairs: DataFrame) -> DataFrame:
         def sided(column: str, side: str, source: DataFrame, value: str) -> DataFrame:
@@ -199,8 +205,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             "a", "b", "text_a", "text_b").mapInArrow(_confirmed(shingle, percent), "a long, b long")
 
     # Rows that share an id join their classes.
-    same_id = sketch.where("n > 0").join(classes, ["set_a", "set_b", "n"]).where("doc_id != node").select(
-        F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    several = placed.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b")
+    same_id = placed.join(several.select("doc_id", "a"), "doc_id").where("node != a").select(
+        "a", F.col("node").alias("b")).distinct()
     # Two centres per bucket: its smallest and its largest member.
     stars = members.select("node", F.explode(F.array("lo", "hi")).alias("centre")).where("node != centre").select(
         F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
@@ -221,14 +228,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     held = held.select("bucket", "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     tied = held.join(texts, "node").groupBy("bucket", "lo", "hi").applyInArrow(_tied(shingle, percent), "a long, b long")
-    labels = connected_components(written(found.union(tied), "links"), "a", "b")
-
-    ids = sketch.groupBy("doc_id").agg(F.max("n").alias("n")).where("doc_id is not null and n > 0")
-    label = ids.join(labels, ids["doc_id"] == labels["node"]).select("doc_id", "component")
-    s = sketch.alias("s")
-    component = F.when(F.col("s.n") > 0, F.coalesce("component", "s.doc_id")).otherwise(F.col("s.doc_id"))
-    return s.join(label, "doc_id", "left").select(
-        "doc_id", F.col("s.n").alias("n_shingles"), component.alias("component_id"),
+    every = written(found.union(tied), "links")
+    for table in (members, signatures, texts, found, labels):
+        drop_written(table)
+    labels = connected_components(every, "a", "b")
+    drop_written(every)
+
+    # A component is named by the smallest id of its classes.
+    linked = classes.select("node", "least").join(labels, "node")
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    names = classes.select("node", "least").join(
+        linked.join(least, "component").select("node", "component_id"), "node", "left").select(
+        "node", F.coalesce("component_id", "least").alias("component_id"))
+    component = F.coalesce("component_id", "doc_id")
+    return placed.join(names, "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
