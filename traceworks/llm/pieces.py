@@ -4,7 +4,8 @@ A text is escaped (each space becomes the mark, one mark is put in front) and cu
 reach across: in front of a run of marks, and around characters that no longer piece holds. The distinct words of a
 batch are sorted and walked as a trie, depth first: going from one word to the next, only the characters beyond their
 common prefix are searched again, since forward scores depend on the prefix alone. Words are kept between batches up to
-``MEMORY`` of them, which bears on speed only.
+``MEMORY`` characters, which bears on speed only. A very long word (text without spaces) is searched in stretches, each
+cut where all open segmentations agree, so that its result is that of one search.
 
 The segmentation is the one of highest total piece score; on ties a piece that starts earlier wins. The public model
 file was made for merging pairs; here its pieces and scores are searched as a unigram model's. A character without a piece becomes its UTF-8 byte pieces.
@@ -26,8 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Distinct words that a task remembers.
-MEMORY = 400_000
+#: Characters of distinct words that a task remembers.
+MEMORY = 4_000_000
+#: A longer word is searched by itself, in stretches of so many characters.
+LONG = 1_000
 #: A character without a piece scores this much below the lowest piece.
 UNKNOWN = 10.0
 MODEL = "piece_bpe_32k.model"
@@ -65,6 +68,7 @@ class Vocabulary:
                 level = level.setdefault(c, ({}, None, -1))[0]
             further = level.get(piece[0], ({},))[0]
             level[piece[0]] = (further, *self.score[piece])
+        self.longest = max(map(len, plain))
         self.unknown = min(s for s, _ in self.score.values()) - UNKNOWN
         self.unknown_id = model.unk_id()
         joined = {c for piece in plain if len(piece) > 1 for c in piece}
@@ -86,44 +90,83 @@ class Vocabulary:
         return [self.bytes.get(b, self.unknown_id) for b in character.encode()] if self.bytes else [self.unknown_id]
 
 
+def _forward(word: str, state: tuple[list, list, list], vocabulary: Vocabulary) -> None:
+    """Extend the forward state (best score of each prefix, where its last piece starts, its id) to all of ``word``."""
+    endings, unknown = vocabulary.endings, vocabulary.unknown
+    best, start, ids = state
+    for end in range(len(best), len(word) + 1):
+        begin = at = end - 1
+        top, piece_id, level = best[begin] + unknown, -1, endings
+        while begin >= 0:
+            node = level.get(word[begin])
+            if node is None:
+                break
+            level, value, number = node
+            if value is not None and best[begin] + value >= top:
+                top, at, piece_id = best[begin] + value, begin, number
+            begin -= 1
+        best.append(top)
+        start.append(at)
+        ids.append(piece_id)
+
+
+def _backward(word: str, end: int, state: tuple[list, list, list], vocabulary: Vocabulary) -> list[int]:
+    """Ids of the best segmentation of the first ``end`` characters."""
+    _, start, ids = state
+    out = []
+    while end > 0:
+        out.append([ids[end]] if ids[end] >= 0 else vocabulary.spell(word[end - 1]))
+        end = start[end]
+    return [i for part in reversed(out) for i in part]
+
+
 def search(words: list[str], vocabulary: Vocabulary) -> dict[str, list[int]]:
     """Best segmentation of every word; ``words`` are walked in sorted order as the paths of a trie."""
-    endings, unknown, found = vocabulary.endings, vocabulary.unknown, {}
-    # Forward state of the current path: best score of each prefix, where its last piece starts, and its id.
-    best, start, ids = [0.0], [0], [-1]
-    before = ""
+    found, state, before = {}, ([0.0], [0], [-1]), ""
     for word in sorted(words):
+        if len(word) > LONG:
+            found[word] = search_long(word, vocabulary)
+            continue
         shared, most = 0, min(len(before), len(word))
         while shared < most and before[shared] == word[shared]:
             shared += 1
-        del best[shared + 1 :], start[shared + 1 :], ids[shared + 1 :]
-        for end in range(shared + 1, len(word) + 1):
-            begin = at = end - 1
-            top, piece_id, level = best[begin] + unknown, -1, endings
-            while begin >= 0:
-                node = level.get(word[begin])
-                if node is None:
-                    break
-                level, value, number = node
-                if value is not None and best[begin] + value >= top:
-                    top, at, piece_id = best[begin] + value, begin, number
-                begin -= 1
-            best.append(top)
-            start.append(at)
-            ids.append(piece_id)
-        out, end = [], len(word)
-        while end > 0:
-            out.append([ids[end]] if ids[end] >= 0 else vocabulary.spell(word[end - 1]))
-            end = start[end]
-        found[word] = [i for part in reversed(out) for i in part]
+        for values in state:
+            del values[shared + 1 :]
+        _forward(word, state, vocabulary)
+        found[word] = _backward(word, len(word), state, vocabulary)
         before = word
     return found
 
 
+def search_long(word: str, vocabulary: Vocabulary) -> np.ndarray:
+    """``search`` of one word of any length, with the state of a stretch of it.
+
+    Later pieces start at one of the last ``longest`` prefixes. Where the best segmentations of all of these go through
+    one place, everything before it is settled: its ids are put out and its state is dropped.
+    """
+    out, state, first = [], ([0.0], [0], [-1]), 0
+    for stop in range(LONG, len(word) + LONG, LONG):
+        part = word[first:stop]
+        _forward(part, state, vocabulary)
+        start, settled = state[1], len(part)
+        if stop < len(word):
+            open_ends = set(range(max(0, len(part) - vocabulary.longest + 1), len(part) + 1))
+            while len(open_ends) > 1:
+                last = max(open_ends)
+                open_ends.remove(last)
+                open_ends.add(start[last])
+            settled = open_ends.pop()
+        out.append(np.array(_backward(part, settled, state, vocabulary), np.int32))
+        state = state[0][settled:], [x - settled for x in start[settled:]], state[2][settled:]
+        first += settled
+    return np.concatenate(out)
+
+
 def decode(ids: np.ndarray, vocabulary: Vocabulary) -> str:
     """The text of a piece sequence, without the mark put in front."""
     raw = vocabulary.raw
-    text = b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "replace")
+    text = b"".join(b"".join([raw[i] for i in ids[lo : lo + 100_000].tolist()]) for lo in range(0, len(ids), 100_000)).decode(
+        "utf-8", "replace")
     return text[1:] if text.startswith(" ") else text
 
 
@@ -131,15 +174,16 @@ def _encoder(path: str, carried: list[str]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(path)
         number: dict[str, int] = {}
-        flat, sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        flat, sizes, held = np.zeros(0, np.int32), np.zeros(0, np.int64), 0
         for whole in batches:
             texts = ["" if t is None else t for t in whole.column("text").to_pylist()]
             for lo, hi in _groups(texts):
-                if len(number) > MEMORY:
-                    number, flat, sizes = {}, flat[:0], sizes[:0]
+                if held > MEMORY:
+                    number, flat, sizes, held = {}, flat[:0], sizes[:0], 0
                 cut = [vocabulary.words.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[lo:hi]]
                 found = search(list(set(chain.from_iterable(cut)).difference(number)), vocabulary)
                 number.update(zip(found, range(len(number), len(number) + len(found))))
+                held += sum(map(len, found))
                 flat = np.append(flat, np.fromiter(chain.from_iterable(found.values()), np.int32))
                 sizes = np.append(sizes, np.fromiter(map(len, found.values()), np.int64))
                 # The pieces of all words of the group, one after the other.
