@@ -327,6 +327,52 @@ def test_shared_search_finds_the_best_segmentation():
         assert total == pytest.approx(brute.best_score(word, vocabulary.score, vocabulary.unknown))
 
 
+def test_merged_fingerprints_and_containment(spark):
+    random.seed(10)
+    text = lambda n: " ".join(f"w{random.randrange(10**6)}" for _ in range(n))
+    whole = text(100_000).split()
+    docs = [("big", 0, " ".join(whole))]
+    true = {}
+    for i, share in enumerate([0.0, 0.1, 0.5, 0.8, 1.0], 1):
+        n = int(1000 * share)
+        docs.append((f"s{i}", i, " ".join(whole[i * 5000 : i * 5000 + n] + text(1000 - n).split())))
+        own, all_of = brute.shingles(docs[i][2], 5), brute.shingles(docs[0][2], 5)
+        true[i] = len(own & all_of) / len(own)
+    df = spark.createDataFrame(docs, "name string, doc_id long, text string")
+    rows = {r.doc_id: r for r in fingerprints.fingerprints(df).collect()}
+    pairs = spark.createDataFrame([(i, rows[i].hashes, rows[0].hashes) for i in true], "i int, a array<long>, b array<long>")
+    got = {r.i: r for r in pairs.select("i", fingerprints.containment(F.col("a"), F.col("b")).alias("c"), fingerprints.containment(
+        F.col("b"), F.col("a")).alias("back"), fingerprints.containment(fingerprints.coarser(F.col("a"), 8), F.col("b")).alias("eighth"),
+        fingerprints.containment(F.array().cast("array<long>"), F.col("b")).alias("nothing")).collect()}
+    for i, c in true.items():
+        assert got[i].c == pytest.approx(c, abs=0.1) and got[i].eighth == pytest.approx(c, abs=0.15)
+        assert got[i].back < 0.02 and got[i].nothing is None
+    # Merged fingerprints are those of all shingles together, in any order and in several steps.
+    own = fingerprints.fingerprints(df).join(df.selectExpr("doc_id", "doc_id % 2 as half", "cast(null as string) as gap"), "doc_id")
+    once = fingerprints.merged(own, "gap").first()
+    assert once.hashes == sorted(set().union(*[r.hashes for r in rows.values()]))
+    halves = fingerprints.merged(own, "half").withColumn("gap", F.lit(None).cast("string"))
+    assert fingerprints.merged(halves, "gap").first() == once
+    coarse = fingerprints.merged(own, "gap", scale=64).first()
+    assert coarse.hashes == [h for h in once.hashes if h < -(1 << 63) + (1 << 58)] and 0 < len(coarse.hashes)
+    empty = fingerprints.fingerprints(spark.createDataFrame([(1, None), (1, "")], "doc_id long, text string"))
+    assert [(r.doc_id, r.hashes, r.fingerprint) for r in fingerprints.merged(empty, "doc_id").collect()] == [(1, [], "")]
+
+
+def test_long_words_are_searched_in_stretches(spark, monkeypatch):
+    vocabulary = pieces.Vocabulary(pieces.model_path())
+    random.seed(9)
+    words = ["".join(random.choices(letters, k=n)) for letters in ("aehinorst", "日本語中文字😀", "a", "=/+0123abcXYZ")
+             for n in (999, 1000, 1001, 5000, 20_007)]
+    in_stretches = {w: list(i) for w, i in pieces.search(words, vocabulary).items()}
+    assert all(list(pieces.search_long(w, vocabulary)) == in_stretches[w] for w in words if len(w) > pieces.LONG)
+    monkeypatch.setattr(pieces, "LONG", 100_000)
+    assert pieces.search(words, vocabulary) == in_stretches
+    text = "".join(random.choices("日本語中文字漢かな", k=300_000))
+    out = pieces.encode_texts(spark.createDataFrame([(1, text), (2, text[::-1]), (3, "a b")], "doc_id long, text string")).collect()
+    assert all(r.exact and r.n_pieces == len(r.ids) for r in out)
+
+
 @pytest.mark.parametrize("name", sorted(LLM_QUERIES))
 def test_empty_tables(spark, tmp_path, name):
     folder = str(tmp_path)

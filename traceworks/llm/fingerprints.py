@@ -27,9 +27,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def threshold(scale: int) -> Column:
+    """The hash below which one part in ``scale`` of all hashes lies."""
+    return F.lit(-(1 << 63) + (1 << 64) // scale)
+
+
 def kept_hashes(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
     """Sorted distinct shingle hashes below the threshold."""
-    below = F.lit(-(1 << 63) + (1 << 64) // scale)
+    below = threshold(scale)
 
     def hashes(w: Column) -> Column:
         last = F.greatest(F.size(w) - (shingle - 1), F.lit(1))
@@ -51,6 +56,33 @@ def likeness(a: Column, b: Column, equal: Column) -> Column:
         F.size(F.array_intersect(a, b)) / least).cast("double")
 
 
+def coarser(hashes: Column, scale: int) -> Column:
+    """The fingerprint at a larger ``scale``: that of the same text if it had been made at it."""
+    return F.filter(hashes, lambda h: h < threshold(scale))
+
+
+def containment(a: Column, b: Column) -> Column:
+    """Estimated share of the shingles of ``a`` that ``b`` has too, from their kept hashes; null if ``a`` keeps none.
+
+    ``b`` may be made at any scale that is not larger than that of ``a``, however unequal the texts; the standard error is that
+    of a share among ``size(a)`` draws.
+    """
+    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).cast("double")
+
+
+def merged(sketches: DataFrame, *by: str, scale: int = SCALE) -> DataFrame:
+    """(by, hashes, fingerprint): the fingerprint of all shingles of a group, from its rows' ``hashes``.
+
+    Merging in several steps or in another order gives the same. Null keys are a group; a group without hashes has an
+    empty fingerprint. Equal hashes are dropped before and after the exchange on (group, hash), so a hot group is many
+    tasks' work; its fingerprint is one row, of one part in ``scale`` of its distinct shingles: take a larger one than that
+    of the rows for groups of very many documents.
+    """
+    rows = sketches.select(*by, F.explode_outer(coarser(F.col("hashes"), scale)).alias("hash")).distinct()
+    return rows.groupBy(*by).agg(F.sort_array(F.collect_list("hash")).alias("hashes")).withColumn(
+        "fingerprint", as_text(F.col("hashes")))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with ``next_text``: that of the next document in descending id, the first after the last.
 
