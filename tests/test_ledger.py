@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from traceworks.operators.dedup import append_new, sync
 from traceworks.operators.quantiles import exact_percentiles
 from traceworks.operators.sliced import ordered_texts, sequence_in_group
-from traceworks.plans import emit, ledger, replay
+from traceworks.plans import emit, ledger, metrics, replay
 from traceworks.plans.emit import LEDGER_COLUMNS
 from traceworks.sources.sinks import ParquetLedger
 
@@ -151,3 +151,28 @@ def test_sync_modes(spark):
     assert sync(old, new, "full_refresh").count() == 2
     with pytest.raises(ValueError):
         sync(old, new, "upsert")
+
+
+def test_metric_report_builds_each_mart_once(spark):
+    raw = with_legacy(events(spark, *[
+        {"event_type": t, "tenant_id": ten, "workspace_id": w, "request_id": f"r{i % 3}", "pii_detected": i % 2 == 0,
+         "model_name": "m", "datasource_name": "d"}
+        for i, (t, ten, w) in enumerate([("request_received", "acme", "w"), ("sql_generated", "acme", "w"),
+                                         ("sql_blocked", "acme", None), ("sql_generated", "zeta", "w"),
+                                         ("sql_executed", "zeta", "v"), ("model_invoked", "zeta", "v")])]))
+    staged = ledger.staged_events(raw)
+    names = ["total_user_requests", "total_sql_blocked_by_user", "pii_sql_generations", "avg_model_error_rate"]
+    out = metrics.metric_report(staged, names, ["tenant_id", "workspace_id"], [["tenant_id", "workspace_id"], ["tenant_id"], []])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # One aggregation over grouping sets per mart: users, generations, models.
+    assert sum("Aggregate [" in x and "spark_grouping_id" in x for x in plan.splitlines()) == 3
+    rows = {(r.grain, r.tenant_id, r.workspace_id, r.metric): r.value for r in out.collect()}
+    for grain, by in ((0, ["tenant_id", "workspace_id"]), (1, ["tenant_id"]), (3, [])):
+        for name in names:
+            for r in metrics.metrics(staged, [name], by).collect():
+                key = (grain, r["tenant_id"] if grain < 3 else None, r["workspace_id"] if grain < 1 else None, name)
+                want = r[name]
+                assert rows.pop(key) == (None if want is None else pytest.approx(float(want)))
+    assert not rows
+    with pytest.raises(KeyError):
+        metrics.metric_report(staged, ["no_such_metric"], ["tenant_id"], [[]])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,3 +103,21 @@ def metrics(staged: DataFrame, names: list[str], by: list[str]) -> DataFrame:
         raise ValueError(f"metrics of several marts asked at once: {sorted(sources)}")
     mart = MARTS[sources.pop()](staged)
     return mart.groupBy(*by).agg(*[m.column().alias(n) for n, m in chosen.items()])
+
+
+def metric_report(staged: DataFrame, names: list[str], by: list[str], sets: list[list[str]]) -> DataFrame:
+    """Metrics of any marts as rows (grain, by, metric, value), each mart built and aggregated once.
+
+    ``sets`` are the groupings wanted, as lists out of ``by``, which are columns of all marts asked for; all sets of a
+    mart are one aggregation. ``grain`` tells a rolled-up column from a null key: bit by bit, 1 for a column
+    that is not grouped, the first of ``by`` highest. Sums and averages merge from partial ones.
+    """
+    wanted: dict[str, list[str]] = {}
+    for name in names:
+        wanted.setdefault(METRICS[name].mart, []).append(name)
+    parts = []
+    for mart, own in wanted.items():
+        out = MARTS[mart](staged).groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in by]).agg(
+            F.grouping_id().cast("long").alias("grain"), *[METRICS[n].column().cast("double").alias(n) for n in own])
+        parts.append(out.unpivot(["grain", *by], own, "metric", "value"))
+    return reduce(DataFrame.unionByName, parts)

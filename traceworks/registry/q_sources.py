@@ -8,7 +8,7 @@ from traceworks import fixtures as fx
 from traceworks.functions import redact, register as sql_functions, tablefuncs
 from traceworks.plans import emit, metrics, policy, replay
 from traceworks.plans.ledger import complete_rows, with_flags
-from traceworks.registry.base import query, table
+from traceworks.registry.base import ORACLES, query, table
 from traceworks.registry.q_audit import RUNS, runs
 from traceworks.registry.q_ledger import REQUEST_CTES, staged
 from traceworks.registry.q_policy import MODELS_SQL, MODEL_META, _NODE, _SCALARS
@@ -434,6 +434,33 @@ def _(spark, sf):
     return out.withColumn("avg_block_rate", F.round("avg_block_rate", 4))
 
 
+def _all_metrics_sql() -> str:
+    """Every metric over the check SQL of its mart."""
+    marts_sql = {
+        "users": "m09_dim_ai_users", "workspaces": "m10_dim_ai_workspaces", "datasources": "m11_dim_ai_datasources",
+        "models": "m12_dim_ai_models", "requests": "m13_fct_ai_requests", "sql_generations": "m14_fct_ai_sql_generations",
+        "sql_executions": "m15_fct_ai_sql_executions", "policy_checks": "m16_fct_ai_policy_checks",
+        "tool_calls": "m17_fct_ai_tool_calls", "rag_retrievals": "m18_fct_ai_rag_retrievals",
+        "sql_risk": "m06_rpt_sql_risk_summary", "model_usage": "m07_rpt_model_usage",
+        "request_report": "m04_rpt_request_summary", "session_report": "m08_rpt_session_overview"}
+    forms = {"sum": "sum({})", "average": "avg({})", "count_distinct": "count(distinct {})"}
+    ctes, rows = [], []
+    for mart, name in marts_sql.items():
+        own = {n: m for n, m in metrics.METRICS.items() if m.mart == mart}
+        values = ", ".join(f"{forms[m.kind].format(m.expr)}::double as {n}" for n, m in own.items())
+        ctes.append(f"""a_{mart} as materialized (select grouping(tenant_id, workspace_id)::bigint as grain, tenant_id,
+  workspace_id, {values} from ({ORACLES[name]}) group by grouping sets ((tenant_id, workspace_id), (tenant_id), ()))""")
+        rows += [f"select grain, tenant_id, workspace_id, '{n}' as metric, round({n}, 4) as value from a_{mart}" for n in own]
+    return "with " + ",\n".join(ctes) + "\n" + "\nunion all ".join(rows)
+
+
+@query("m22_all_metrics", _all_metrics_sql())
+def _(spark, sf):
+    out = metrics.metric_report(staged(spark, sf), list(metrics.METRICS), ["tenant_id", "workspace_id"],
+                                [["tenant_id", "workspace_id"], ["tenant_id"], []])
+    return out.withColumn("value", F.round("value", 4))
+
+
 # Event construction -----------------------------------------------------------------
 _MASK = lambda c: _mask_sql(c, redact.CREDENTIAL_PATTERNS)
 
