@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from traceworks.operators.dedup import append_new, sync
 from traceworks.operators.quantiles import exact_percentiles
-from traceworks.operators.sliced import ordered_texts, sequence_in_group
+from traceworks.operators.sliced import _split, ordered_texts, sequence_in_group
 from traceworks.plans import emit, ledger, metrics, replay
 from traceworks.plans.emit import LEDGER_COLUMNS
 from traceworks.sources.sinks import ParquetLedger
@@ -90,23 +90,45 @@ def test_one_row_per_request_folds_run_ids(spark):
     assert [(r["etl_run_id"], r["total_request_ms"]) for r in folded] == [("run-1", 1000)]
 
 
-def test_sequence_matches_plain_ranking_with_a_hot_group_and_missing_times(spark):
+@pytest.mark.parametrize("bound", [40, 100_000])
+def test_sequence_matches_plain_ranking_with_a_hot_group_and_missing_times(spark, bound):
     data = []
     start = dt.datetime(2024, 1, 1)
     for i in range(600):
         group = "hot" if i % 3 == 0 else f"g{i % 11}"
-        ts = None if i % 17 == 0 else start + dt.timedelta(seconds=(i * 7919) % 5000 // 3)
-        data.append((None if i % 29 == 0 else group, ts, f"id{i:04d}"))
+        # Spread times, a burst at one instant, and missing ones, so that pieces are cut by time and by id.
+        ts = None if i % 7 == 0 else start if i % 5 == 0 else start + dt.timedelta(seconds=(i * 7919) % 5000 // 3)
+        data.append((None if i % 29 == 0 else group, ts, f"event-id-{i:04d}"))
+    data += [("same", start, "x")] * 20 + [("no id", start, None)] * 20
     df = spark.createDataFrame(data, "g string, ts timestamp_ntz, id string")
-    got = sequence_in_group(df, ["g"], "ts", "id").toPandas().set_index("id")
-    pdf = pd.DataFrame(data, columns=["g", "ts", "id"]).fillna({"g": "\0"})
+    got = sequence_in_group(df, ["g"], "ts", "id", bound).toPandas()
+    assert len(got) == len(data) and set(got.columns) == {"g", "ts", "id", "event_sequence", "group_start", "group_end", "prev_ts"}
+    got = got[["g", "id", "event_sequence", "prev_ts", "group_start", "group_end"]].fillna({"g": "-", "id": "-"})
+    pdf = pd.DataFrame(data, columns=["g", "ts", "id"]).fillna({"g": "-", "id": "-"})
     pdf = pdf.sort_values(["g", "ts", "id"], na_position="last")
-    pdf["rank"] = pdf.groupby("g").cumcount() + 1
-    pdf["prev"] = pdf.groupby("g")["ts"].shift()
-    for r in pdf.itertuples():
-        assert got.loc[r.id, "event_sequence"] == r.rank
-        if not pd.isna(r.ts):
-            assert (pd.isna(r.prev) and pd.isna(got.loc[r.id, "prev_ts"])) or got.loc[r.id, "prev_ts"] == r.prev
+    pdf["event_sequence"] = pdf.groupby("g").cumcount() + 1
+    pdf["prev_ts"] = pdf.groupby("g")["ts"].shift()
+    pdf["group_start"], pdf["group_end"] = (pdf.groupby("g")["ts"].transform(f) for f in ("min", "max"))
+    order = ["g", "event_sequence", "id"]
+    pd.testing.assert_frame_equal(
+        got.sort_values(order).reset_index(drop=True).astype(str),
+        pdf[got.columns].sort_values(order).reset_index(drop=True).astype(str))
+
+
+def test_only_large_groups_are_cut_and_into_few_pieces(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = spark.range(6000).select(
+        F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 997).cast("string"))).alias("g"),
+        # Half of the hot group lies in one second of a year, a quarter has no time.
+        F.when(F.col("id") % 8 == 0, None).when(F.col("id") % 4 == 0, F.lit(start)).otherwise(
+            F.timestamp_add("SECOND", F.col("id").cast("int") * 5000, F.lit(start))).cast("timestamp_ntz").alias("ts"),
+        F.format_string("event-%08d", "id").alias("e"))
+    keyed = rows.withColumn("_g", F.struct("g")).withColumn("_k", F.struct("_g"))
+    cut, any_cut = _split(keyed, "ts", "e", 100)
+    sizes = [r["n"] for r in cut.groupBy("_g", "_k").agg(F.count("*").alias("n")).where("_g.g = 'hot'").collect()]
+    assert any_cut and sum(sizes) == 3000 and max(sizes) <= 100 and len(sizes) <= 300
+    assert cut.where("_g.g <> 'hot'").select("_k").distinct().count() == rows.where("g <> 'hot'").select("g").distinct().count()
+    assert not _split(keyed, "ts", "e", 3000)[1]
 
 
 def test_texts_are_joined_in_time_order_over_slices(spark):

@@ -55,9 +55,9 @@ def staged_events(raw: DataFrame) -> DataFrame:
     return with_flags(typed)
 
 
-def request_timeline(staged: DataFrame, slice_unit: str = "minute") -> DataFrame:
+def request_timeline(staged: DataFrame) -> DataFrame:
     """Every event with its place and timing inside its request."""
-    seq = sequence_in_group(staged, ["tenant_id", "request_id"], "event_timestamp", "trace_id", slice_unit)
+    seq = sequence_in_group(staged, ["tenant_id", "request_id"], "event_timestamp", "trace_id")
     start, end = F.col("group_start"), F.col("group_end")
     return seq.withColumns({
         "request_started_at": start,

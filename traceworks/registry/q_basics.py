@@ -11,7 +11,7 @@ from traceworks.functions.redact import redact_label
 from traceworks.operators import aggregates as agg
 from traceworks.operators import clean, dedup, profile
 from traceworks.plans import ledger, marts, summary
-from traceworks.operators.sliced import with_texts
+from traceworks.operators.sliced import sequence_in_group, with_texts
 from traceworks.registry.base import query, table
 from traceworks.registry.q_audit import RUNS, runs
 from traceworks.registry.q_ledger import DIM_USERS, SESSION_SQL, TIMELINE_SQL, VIOLATIONS_SQL, staged
@@ -110,13 +110,21 @@ for _name, _cols in {
         lambda spark, sf, c=_cols: ledger.request_timeline(staged(spark, sf)).select(*c))
 
 
-@query("w01_sequence_of_hot_group", over_staged("""select trace_id, row_number() over (partition by tenant_id
-  order by event_timestamp nulls last, trace_id) as event_sequence from staged"""))
+_HOT_SEQUENCE = over_staged("""select trace_id, row_number() over (partition by tenant_id
+  order by event_timestamp nulls last, trace_id) as event_sequence from staged""")
+
+
+@query("w01_sequence_of_hot_group", _HOT_SEQUENCE)
 def _(spark, sf):
-    """Four groups hold all rows: the sliced window spreads each over its hours."""
-    from traceworks.operators.sliced import sequence_in_group
+    """Four groups hold all rows: what goes beyond the bound is cut into pieces."""
+    return sequence_in_group(staged(spark, sf), ["tenant_id"], "event_timestamp", "trace_id").select(
+        "trace_id", "event_sequence")
 
-    return sequence_in_group(staged(spark, sf), ["tenant_id"], "event_timestamp", "trace_id", "hour").select(
+
+@query("w01_sequence_of_cut_groups", _HOT_SEQUENCE)
+def _(spark, sf):
+    """The same with a bound that the four groups exceed on small data too."""
+    return sequence_in_group(staged(spark, sf), ["tenant_id"], "event_timestamp", "trace_id", 200).select(
         "trace_id", "event_sequence")
 
 
