@@ -12,6 +12,7 @@ from traceworks.registry import (  # noqa: F401
     q_filings,
     q_basics,
     q_streaming,
+    q_models,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

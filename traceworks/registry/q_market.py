@@ -71,8 +71,12 @@ from (select ticker, tf, n, c[-1] as price, case when n > 1 then c[-2] end as pr
   from {gathered_sql(source, limit)})))"""
 
 
-CLEAN_SQL = f"""(select * exclude (k) from (select *, count(*) over (partition by ticker, tf) as k
-  from {newest_sql(ALL_BARS_SQL)}) where k >= 15)"""
+def clean_sql(source: str) -> str:
+    return f"""(select * exclude (k) from (select *, count(*) over (partition by ticker, tf) as k
+  from {newest_sql(source)}) where k >= 15)"""
+
+
+CLEAN_SQL = clean_sql(ALL_BARS_SQL)
 
 
 @query("v01_indicators", indicator_sql(ALL_BARS_SQL))
