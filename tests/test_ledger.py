@@ -66,6 +66,18 @@ def test_first_versus_corrected_sql(spark):
     assert got["req-1"]["has_correction"] and not got["req-2"]["has_correction"]
 
 
+def test_rows_without_a_request_id_share_their_tenants_span(spark):
+    raw = events(
+        spark, {"event_type": "request_received", "request_id": None, "session_id": "s1"},
+        {"event_type": "request_received", "request_id": None, "session_id": "s2", "tenant_id": "rival"},
+        {"event_type": "response_returned", "request_id": None, "session_id": "s3"},
+        {"event_type": "response_returned"}, {"event_type": "response_returned"},
+        {"event_type": "response_returned", "request_id": None, "session_id": "s2", "tenant_id": "rival"})
+    got = ledger.request_summary(ledger.staged_events(raw)).collect()
+    assert sorted((r["tenant_id"], r["session_id"], r["total_request_ms"]) for r in got) == [
+        ("acme", "s1", 2000), ("acme", "s3", 2000), ("acme", "sess-alice-001", 1000), ("rival", "s2", 4000)]
+
+
 def test_request_risk_and_status(spark):
     raw = events(
         spark, {"event_type": "agent_boundary_violation", "boundary_violated": True, "status": "violation",

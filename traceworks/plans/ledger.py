@@ -11,6 +11,7 @@ from traceworks.operators.aggregates import (
     vocabulary_size,
 )
 from traceworks.operators.sliced import ordered_texts, sequence_in_group, with_texts
+from traceworks.sources.sinks import scratch_path, write_counted
 
 # Event vocabularies the flags are defined over.
 SQL_EVENTS = ["sql_generated", "sql_validated", "sql_blocked", "sql_executed"]
@@ -162,12 +163,24 @@ def request_summary(staged: DataFrame, one_row_per_request: bool = False) -> Dat
     boundary = F.col("boundary_violated") > 0
     sql_blocked = F.col("sql_blocked_count") > 0
     errors = F.col("error_count") > 0
-    request = Window.partitionBy("tenant_id", "request_id")
+    # Rows without a request id would all meet in one window: they are spread, and their span is aggregated by tenant
+    # and written, so that the planner knows how large that table is when it joins it.
+    unnamed = F.col("request_id").isNull()
+    request = Window.partitionBy("tenant_id", "request_id", F.when(unnamed, F.xxhash64(*keys)))
+    spans = events.where(unnamed).groupBy(F.col("tenant_id").alias("_tenant")).agg(
+        F.min(ts).alias("_from"), F.max(ts).alias("_to"))
     texts = in_event_order(events, keys, agent_actions_taken=AGENT_ACTIONS, boundary_violation_risks=BOUNDARY_RISKS)
     grouped = with_texts(grouped, keys, texts, ["agent_actions_taken", "boundary_violation_risks"])
+    path = scratch_path(events.sparkSession, "spans")
+    if write_counted(spans, path):
+        spans = events.sparkSession.read.schema(spans.schema).parquet(path)
+        grouped = grouped.join(spans, unnamed & F.col("tenant_id").eqNullSafe(F.col("_tenant")), "left")
+    else:
+        grouped = grouped.withColumns({c: F.lit(None).cast("timestamp_ntz") for c in ("_from", "_to")})
     return grouped.withColumns({
         "total_request_ms": millis_between(
-            F.min("request_started_at").over(request), F.max("request_ended_at").over(request)),
+            F.coalesce("_from", F.min("request_started_at").over(request)),
+            F.coalesce("_to", F.max("request_ended_at").over(request))),
         "risk_level": first_match([
             (boundary | safe(level == "CRITICAL"), "CRITICAL"),
             (sql_blocked | (F.col("policy_blocks") > 0) | safe(level == "HIGH"), "HIGH"),
@@ -176,7 +189,7 @@ def request_summary(staged: DataFrame, one_row_per_request: bool = False) -> Dat
         ], "NONE"),
         "request_status": first_match(
             [(boundary, "violation"), (sql_blocked, "blocked"), (errors, "failed")], "ok"),
-    })
+    }).drop("_tenant", "_from", "_to")
 
 
 def policy_violations(staged: DataFrame) -> DataFrame:
