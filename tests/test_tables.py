@@ -153,3 +153,11 @@ def test_column_counts_of_any_table(spark):
     assert sorted(map(tuple, got.collect())) == [("x", 4, 1, 2), ("y", 4, 2, 3)]
     by = spark.sql("select * from column_counts(table(select * from cells) partition by y)").where("column_name = 'y'")
     assert sorted((r.rows, r.nulls) for r in by.collect()) == [(1, 0), (1, 0), (2, 2)]
+
+
+def test_no_record_batch_is_made_per_row(spark):
+    tablefuncs.register(spark)
+    spark.range(5).selectExpr("id", "id > 2 as late").createOrReplaceTempView("many")
+    for call in ("column_counts(table(many))", "many, lateral violation_rows(late => late)"):
+        plan = spark.sql(f"select * from {call}")._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan

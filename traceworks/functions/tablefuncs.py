@@ -63,9 +63,12 @@ class ColumnCounts:
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Make the table functions callable from SQL text; rows go to Python in Arrow batches."""
+    """Make the table functions callable from SQL text.
+
+    Both take one row a call, and as an Arrow function each call would make a record batch of its own.
+    """
     from pyspark.sql.functions import udtf
 
     for name, handler in (("violation_rows", ViolationRows), ("column_counts", ColumnCounts)):
-        spark.udtf.register(name, udtf(handler, useArrow=True))
+        spark.udtf.register(name, udtf(handler, useArrow=False))
     return ["violation_rows", "column_counts"]
