@@ -54,3 +54,21 @@ def test_ids_come_from_the_row(spark):
         d, "model_invoked").collect()} for d in (rows, rows.repartition(3)))
     assert one == two and len({i for pair in one.values() for i in pair}) == 6
     assert all(len(i) == 36 and i.count("-") == 4 for pair in one.values() for i in pair)
+
+
+def test_kinds_are_made_together_as_one_by_one(spark, tmp_path):
+    spark.createDataFrame(
+        [("t1", "r1", "ok", "token=abcdefgh12", None), (None, "r2", None, "select 1", "bad  row"), ("t3", "", "failed", None, ""),
+         ("t4", None, "ok", "", None), (None, None, None, None, None), ("t1", "r1", "ok", "token=abcdefgh12", None)],
+        "trace_id string, request_id string, status string, sql_text string, error_message string").withColumn(
+        "event_timestamp", F.lit("2024-01-01T00:00:00")).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    kinds = ["sql_validated", "agent_boundary_violation"]
+    got = emit.events_of_kinds(rows, kinds)
+    want = None
+    for kind in kinds:
+        one = emit.to_trace_events(rows, kind).select(F.lit(kind).alias("kind"), "*")
+        want = one if want is None else want.unionByName(one)
+    made, one_by_one = (sorted(map(repr, df.collect())) for df in (got, want))
+    assert got.columns == want.columns and made == one_by_one and len(made) == 12
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2

@@ -61,36 +61,46 @@ def _made(what: str, kind: str, given: Column) -> Column:
     return F.concat_ws("-", *[F.substring(digest, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
-def to_trace_events(rows: DataFrame, kind: str) -> DataFrame:
-    """Rows as ledger events of one kind.
+#: Made once per row, whatever the kinds: texts with typed credentials masked, the error text, hashes.
+SHARED = {"question_text": "_question", "sql_text": "_sql", "sql_hash": "_sql_hash", "prompt_hash": "_prompt_hash",
+          "error_message": "_error"}
+KNOWN = dict.fromkeys(LEDGER_COLUMNS, "string") | {c: "boolean" for c in BOOLEANS} | EXTRA_INPUTS
 
-    Ids and times are taken from the rows where given, else made here: an id
-    is a hash of the row's own values, so a task that runs again, or a batch
-    that is sent again, makes the same id and the first write wins. Typed
-    credentials are masked in question and SQL before they are hashed.
-    """
-    k = KINDS[kind]
-    known = dict.fromkeys(LEDGER_COLUMNS, "string") | {c: "boolean" for c in BOOLEANS} | EXTRA_INPUTS
-    for name, dtype in known.items():
+
+def _unnamed() -> Column:
+    """Whether a row lacks one of its ids."""
+    return F.col("trace_id").isNull() | F.col("request_id").isNull() | (F.col("request_id") == "")
+
+
+def _prepared(rows: DataFrame) -> DataFrame:
+    """Rows with every column that a kind may read, and the columns that no kind changes; what a row says only where it needs an id."""
+    for name, dtype in KNOWN.items():
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(dtype))
     rows = rows.withColumn("status", F.coalesce("status", F.lit("ok")))
-    given = F.to_json(F.struct(*[F.col(c) for c in known]))
-    sql = mask_credentials(F.col("sql_text"))
-    values: dict[str, Column] = {c: F.col(c) for c in LEDGER_COLUMNS}
+    made = rows.withColumns({
+        "_given": F.when(_unnamed(), F.to_json(F.struct(*[F.col(c) for c in KNOWN]))),
+        "_question": mask_credentials(F.col("question_text")),
+        "_sql": mask_credentials(F.col("sql_text")),
+        "_prompt_hash": text_hash(F.col("prompt_text")),
+        "_error": summarise(F.col("error_message"), 500)})
+    return made.withColumns({"_sql_hash": text_hash(F.col("_sql")), "_error": F.nullif("_error", F.lit(""))})
+
+
+def _filled(kind: str, columns: list[str], named: bool = False) -> list[Column]:
+    """Ledger columns of one kind over prepared rows, all of which have their ids if ``named``."""
+    k = KINDS[kind]
+    given = F.col("_given")
+    values: dict[str, Column] = {c: F.col(SHARED.get(c, c)) for c in LEDGER_COLUMNS}
+    if not named:
+        values["trace_id"] = F.coalesce("trace_id", _made("trace", kind, given))
+        values["request_id"] = F.coalesce(F.nullif("request_id", F.lit("")), _made("request", kind, given))
     values |= {
-        "trace_id": F.coalesce("trace_id", _made("trace", kind, given)),
-        "request_id": F.coalesce(F.nullif("request_id", F.lit("")), _made("request", kind, given)),
         "event_timestamp": F.coalesce("event_timestamp", F.date_format(
             F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")),
         "event_type": F.expr(k.event_type),
         "actor_type": F.lit(k.actor_type),
         "actor_id": F.expr(k.actor_id),
-        "question_text": mask_credentials(F.col("question_text")),
-        "sql_text": sql,
-        "sql_hash": text_hash(sql),
-        "prompt_hash": text_hash(F.col("prompt_text")),
-        "error_message": F.nullif(summarise(F.col("error_message"), 500), F.lit("")),
     }
     if k.summary:
         values["ai_action_summary"] = F.expr(k.summary)
@@ -98,7 +108,32 @@ def to_trace_events(rows: DataFrame, kind: str) -> DataFrame:
         values["status"] = F.expr(k.status)
     for name, expr in k.fixed:
         values[name] = F.expr(expr)
-    return rows.select(*[values[c].cast(known[c]).alias(c) for c in LEDGER_COLUMNS])
+    return [values[c].cast(KNOWN[c]).alias(c) for c in columns]
+
+
+def to_trace_events(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows as ledger events of one kind.
+
+    Ids and times are taken from the rows where given, else made here: an id
+    is a hash of the row's own values, so a task that runs again, or a batch
+    that is sent again, makes the same id and the first write wins. Typed
+    credentials are masked in question and SQL before they are hashed.
+    """
+    return _prepared(rows).select(*_filled(kind, LEDGER_COLUMNS))
+
+
+def events_of_kinds(rows: DataFrame, kinds: list[str], columns: list[str] = LEDGER_COLUMNS) -> DataFrame:
+    """Every row as one event of each kind, as :func:`to_trace_events` makes them, with the ``kind`` in front.
+
+    Masking and hashing are done once per row, not once per event. Rows without an id are a branch of their own, so
+    that the others are not turned to JSON and their code stays short.
+    """
+    def made(part: DataFrame, named: bool) -> DataFrame:
+        return part.select(F.inline(F.array(*[
+            F.struct(F.lit(k).alias("kind"), *_filled(k, columns, named)) for k in kinds])))
+
+    rows = _prepared(rows)
+    return made(rows.where(~_unnamed()), True).unionByName(made(rows.where(_unnamed()), False))
 
 
 def mirrored_runs(runs: DataFrame) -> DataFrame:

@@ -86,11 +86,7 @@ def _(spark, sf):
     given = fx.trace_events(spark, sf).where("request_id <> ''").withColumns({
         "passed": F.col("error_code").isNull(),
         "prompt_text": F.expr("if(event_type = 'model_invoked', question_text || 'prompt', null)")})
-    out = None
-    for kind in emit.KINDS:
-        made = emit.to_trace_events(given, kind).select(F.lit(kind).alias("kind"), *_FILLED)
-        out = made if out is None else out.unionByName(made)
-    return out
+    return emit.events_of_kinds(given, list(emit.KINDS), _FILLED)
 
 
 # Audit tables -----------------------------------------------------------------------
