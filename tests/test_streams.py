@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from datetime import timedelta
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from traceworks import fixtures as fx
 from traceworks.plans import cost
 from traceworks.plans.ledger import session_summary, staged_events
 from traceworks.sources.ledger_store import BITS, ParquetLedger, _is_set
-from traceworks.streaming import budget_stream, ledger_stream
+from traceworks.streaming import budget_stream, ledger_stream, session_state
 
 SF = "/root/testdata/sf0.001"
 CALL = "run_id string, model string, prompt_tokens int, completion_tokens int, call_ts string"
@@ -118,3 +119,62 @@ def test_idle_sessions_leave_the_state(spark, raw, tmp_path):
     rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*").orderBy("batch").collect()
     # The third batch ends the first session's state; what comes after starts it anew.
     assert [(r.session_id, r.total_events) for r in rows][2:] == [("b", 1), ("a", 1)] and rows[0].total_events == 1
+
+
+class Calls:
+    """State of one session in memory that counts what is asked of it."""
+
+    def __init__(self):
+        self.n, self.total, self.ids, self.texts = 0, None, {}, []
+
+    def call(self, result=None):
+        self.n += 1
+        return result
+
+    def getValueState(self, name, schema):
+        return SimpleNamespace(get=lambda: self.call(self.total), update=lambda row: self.call(setattr(self, "total", row)))
+
+    def getMapState(self, name, key, value):
+        return SimpleNamespace(containsKey=lambda k: self.call(k in self.ids), updateValue=lambda k, v: self.call(self.ids.update({k: v})))
+
+    def getListState(self, name, schema):
+        return SimpleNamespace(get=lambda: self.call(iter(self.texts)), appendList=lambda rows: self.call(self.texts.extend(rows)))
+
+    def registerTimer(self, at):
+        self.call()
+
+    deleteTimer = registerTimer
+    getCurrentProcessingTimeInMs = staticmethod(lambda: 0)
+
+
+def test_an_ordinary_session_asks_little_of_the_state():
+    state, session = Calls(), session_state.Session(timedelta(days=1))
+    session.init(state)
+
+    def add(*ids):
+        before = state.n
+        row = SimpleNamespace(at_min="a", at_max="b", request_id_distinct=[*ids, None], model_name_distinct=[], datasource_name_distinct=[],
+                              risk_list=[])
+        sums = {f"{t}_sum": 1 for t in ["total_events", *session_state.TALLIES]}
+        row = type("Part", (SimpleNamespace,), {"__getitem__": lambda _, k: sums[k]})(**vars(row))
+        (out,) = session.handleInputRows(("t", "w", "u", "s"), [row, row], state)
+        return state.n - before, out.total_requests
+
+    assert add("r1", "r2", "r3") == (3, 3)
+    assert add("r1", "r4") == (4, 4)
+    _, requests = add(*[f"r{k}" for k in range(60)])
+    assert requests == 60 and len(state.ids) == 60 - session_state.INLINE
+    assert add(*[f"r{k}" for k in range(60)])[1] == 60 and len(state.ids) == 60 - session_state.INLINE
+
+
+def test_texts_beyond_the_first_are_kept_in_order():
+    state, session = Calls(), session_state.Session(timedelta(days=1))
+    session.init(state)
+    for first in (0, 50):
+        row = dict(at_min=None, at_max=None, request_id_distinct=[], model_name_distinct=["m"], datasource_name_distinct=[],
+                   risk_list=[f"0\x01{k:03}\x01id\x01x{k}" for k in reversed(range(first, first + 50))])
+        sums = {f"{t}_sum": 1 for t in ["total_events", *session_state.TALLIES]}
+        part = type("Part", (SimpleNamespace,), {"__getitem__": lambda _, k: sums[k]})(**row)
+        (out,) = session.handleInputRows(("t", "w", "u", "s"), [part], state)
+    assert out.boundary_violation_risks == ", ".join(f"x{k}" for k in range(100))
+    assert len(state.texts) == 100 - session_state.INLINE

@@ -27,6 +27,8 @@ KEY_TYPES = ", ".join(f"{k} string" for k in SESSION_KEYS)
 STATE = (f"{KEY_TYPES}, started string, ended string, total_requests long, models_used string, datasources_accessed string, "
          f"distinct_models_used long, total_events long, {', '.join(f'{t} long' for t in TALLIES)}, boundary_violation_risks string")
 OUT = Row(*[c.split()[0] for c in STATE.split(", ")])
+#: So many request ids and violation texts of a session stand in its totals; the others are entries of their own.
+INLINE = 32
 #: Between the parts of a text that sorts by time, then id.
 BREAK = "\x01"
 
@@ -52,7 +54,9 @@ def parts(staged: DataFrame) -> DataFrame:
 class Session(StatefulProcessor):
     """Sums, times, small vocabularies, request ids and violation texts of one session.
 
-    Request ids are entries of a map and texts of a list, so that a long session is added to without being rewritten.
+    Every call to the state is a message to the JVM, so a session's first ids and texts are kept with its sums: an ordinary
+    one is read and written with one call each. Further request ids are entries of a map and texts of a list, so that
+    a long session is added to without being rewritten.
     """
 
     def __init__(self, idle: timedelta):
@@ -62,7 +66,8 @@ class Session(StatefulProcessor):
         self.handle = handle
         sums = ", ".join(f"{t} long" for t in ["total_events", *TALLIES])
         self.totals = handle.getValueState(
-            "totals", f"{sums}, started string, ended string, requests long, models array<string>, sources array<string>, ends long")
+            "totals", f"{sums}, started string, ended string, requests long, models array<string>, sources array<string>, "
+                      "ends long, ids array<string>, risks array<string>, more_risks boolean")
         self.requests = handle.getMapState("requests", "request_id string", "seen int")
         self.risks = handle.getListState("risks", "text string")
 
@@ -70,9 +75,9 @@ class Session(StatefulProcessor):
         names = ["total_events", *TALLIES]
         before = self.totals.get()
         n, ends = len(names), 0
-        sums, started, ended, requests, models, sources = [0] * n, None, None, 0, set(), set()
+        sums, started, ended, requests, models, sources, known, risks, more = [0] * n, None, None, 0, set(), set(), [], [], False
         if before is not None:
-            sums, (started, ended, requests, models, sources, ends) = list(before[:n]), before[n:]
+            sums, (started, ended, requests, models, sources, ends, known, risks, more) = list(before[:n]), before[n:]
             models, sources = set(models), set(sources)
         texts, ids = [], set()
         for r in rows:
@@ -82,21 +87,29 @@ class Session(StatefulProcessor):
             ids |= set(r.request_id_distinct)
             models |= set(r.model_name_distinct)
             sources |= set(r.datasource_name_distinct)
-            texts += [(t,) for t in r.risk_list if t is not None]
-        for i in ids - {None}:
-            if not self.requests.containsKey((i,)):
-                self.requests.updateValue((i,), (1,))
-                requests += 1
+            texts += [t for t in r.risk_list if t is not None]
+        ids -= {None, *known}
+        if requests > len(known):
+            ids = {i for i in ids if not self.requests.containsKey((i,))}
+        requests += len(ids)
+        new = sorted(ids)
+        room = INLINE - len(known)
+        known = [*known, *new[:room]]
+        for i in new[room:]:
+            self.requests.updateValue((i,), (1,))
         models, sources = sorted(models - {None}), sorted(sources - {None})
-        if texts:
-            self.risks.appendList(texts)
+        room = INLINE - len(risks)
+        risks = [*risks, *texts[:room]]
+        if texts[room:]:
+            self.risks.appendList([(t,) for t in texts[room:]])
+            more = True
         if ends:
             self.handle.deleteTimer(ends)
         ends = timerValues.getCurrentProcessingTimeInMs() + self.idle
         self.handle.registerTimer(ends)
-        self.totals.update((*sums, started, ended, requests, models, sources, ends))
-        risks = sorted(t[0] for t in self.risks.get()) if sums[names.index("boundary_violations")] else []
-        joined = ", ".join(t.split(BREAK, 3)[3] for t in risks)
+        self.totals.update((*sums, started, ended, requests, models, sources, ends, known, risks, more))
+        shown = sorted([*risks, *(t[0] for t in self.risks.get())] if more else risks) if sums[names.index("boundary_violations")] else []
+        joined = ", ".join(t.split(BREAK, 3)[3] for t in shown)
         yield OUT(*key, started, ended, requests, ", ".join(models), ", ".join(sources), len(models), *sums, joined)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
