@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from traceworks import fixtures as fx
 from traceworks.plans import cost
 from traceworks.plans.ledger import session_summary, staged_events
-from traceworks.sources.ledger_store import BITS, ParquetLedger, _is_set
+from traceworks.sources.ledger_store import BITS, ParquetLedger, _bit, _is_set, _words
 from traceworks.streaming import budget_stream, ledger_stream, session_state
 
 SF = "/root/testdata/sf0.001"
@@ -178,3 +178,11 @@ def test_texts_beyond_the_first_are_kept_in_order():
         (out,) = session.handleInputRows(("t", "w", "u", "s"), [part], state)
     assert out.boundary_violation_risks == ", ".join(f"x{k}" for k in range(100))
     assert len(state.texts) == 100 - session_state.INLINE
+
+
+def test_words_hold_the_bits_of_a_bitmap(spark, tmp_path):
+    positions = [*range(0, 130, 3), 63, 64, BITS - 64, BITS - 1]
+    bits = spark.createDataFrame([(p,) for p in positions], "p int").agg(F.bitmap_construct_agg("p").alias("bits"))
+    words = bits.select(_words(F.col("bits")).alias("words"))
+    got = words.crossJoin(spark.range(BITS).select(F.col("id").cast("int").alias("p"))).where(_bit(F.col("words"), F.col("p")))
+    assert sorted(r.p for r in got.select("p").collect()) == sorted(set(positions))

@@ -7,6 +7,8 @@ probes them with its own ids and opens only the buckets whose filters answer, re
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from traceworks.operators.dedup import keep_first
 
 #: Id buckets inside a day, bitmaps per bucket, and bits set by an id in its bitmap. Fixed for the life of a ledger.
 BUCKETS, PIECES, HASHES = 4, 16, 5
+POSITIONS = [f"p{j}" for j in range(HASHES)]
 #: Bits of one bitmap of the built-in aggregate.
 BITS = 32_768
 CELL = ["event_date", "id_bucket"]
@@ -24,10 +27,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
 
 
+def _words(bits: Column) -> Column:
+    """The 64-bit words of a bitmap, the first byte of a word as its highest."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BITS // 64 - 1)), lambda k: F.conv(
+        F.hex(F.substring(bits, k * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+
+
+def _bit(words: Column, position: Column) -> Column:
+    """Whether a bit is set in the words of a bitmap; cheap, as it runs for every id and day."""
+    at = F.lit(56) - F.shiftright(position, 3).bitwiseAND(F.lit(7)) * 8 + position.bitwiseAND(F.lit(7))
+    return F.getbit(F.get(words, F.shiftright(position, 6)), at) == 1
+
+
 def _is_set(bits: Column, position: Column) -> Column:
     """Whether a bit of a bitmap is set."""
-    byte = F.conv(F.hex(F.substring(bits, (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return byte.bitwiseAND(F.pow(F.lit(2), position % 8).cast("int")) != 0
+    return _bit(_words(bits), position)
 
 
 class ParquetLedger:
@@ -54,19 +68,20 @@ class ParquetLedger:
             "id_bucket": F.pmod(F.xxhash64("trace_id"), F.lit(self.buckets)).cast("int")})
 
     def _probes(self, events: DataFrame) -> DataFrame:
-        """(trace_id, cell, piece, positions): where the ids' bits stand."""
-        positions = F.array(*[F.pmod(F.xxhash64("trace_id", F.lit(j)), F.lit(BITS)).cast("int") for j in range(HASHES)])
+        """(cell, piece, p0, p1, ..): where the ids' bits stand."""
+        positions = [F.pmod(F.xxhash64("trace_id", F.lit(j)), F.lit(BITS)).cast("int").alias(p) for j, p in enumerate(POSITIONS)]
         return self.placed(events).where(F.col("trace_id").isNotNull()).select(
-            "trace_id", *CELL, F.pmod(F.shiftright(F.xxhash64("trace_id"), 20), F.lit(self.pieces)).cast("int").alias("piece"),
-            positions.alias("positions"))
+            *CELL, F.pmod(F.shiftright(F.xxhash64("trace_id"), 20), F.lit(self.pieces)).cast("int").alias("piece"), *positions)
 
     def _stored_filters(self) -> DataFrame:
         return self.spark.read.schema("event_date string, piece int, bits binary, id_bucket int").parquet(self.filters)
 
     def store_filters(self, events: DataFrame) -> None:
         """Set the bits of all ids; those that turn out to be stored before only add to the false answers."""
-        bits = self._probes(events).withColumn("position", F.explode("positions")).groupBy(*CELL, "piece").agg(
-            F.bitmap_construct_agg("position").alias("bits"))
+        # One row per id is sorted, not one per bit.
+        each = self._probes(events).groupBy(*CELL, "piece").agg(*[F.bitmap_construct_agg(p).alias(p) for p in POSITIONS])
+        bits = each.select(*CELL, "piece", F.explode(F.array(*POSITIONS)).alias("bits")).groupBy(*CELL, "piece").agg(
+            F.bitmap_or_agg("bits").alias("bits"))
         bits.repartition("id_bucket").write.mode("append").partitionBy("id_bucket").parquet(self.filters)
 
     def merge_filters(self) -> None:
@@ -76,10 +91,10 @@ class ParquetLedger:
 
     def cells_hit(self, events: DataFrame) -> list[tuple[str, int]]:
         """The (day, bucket) cells that may hold one of the ids: at most the number of the ledger's own folders."""
-        filters = self._stored_filters()
-        probes = self._probes(events).select("trace_id", "id_bucket", "piece", "positions")
-        answers = probes.join(filters, ["id_bucket", "piece"]).where(
-            F.forall("positions", lambda p: _is_set(F.col("bits"), p)))
+        filters = self._stored_filters().withColumn("words", _words(F.col("bits"))).drop("bits")
+        probes = self._probes(events).drop("event_date")
+        set_in = functools.reduce(Column.__and__, [_bit(F.col("words"), F.col(p)) for p in POSITIONS])
+        answers = probes.join(filters, ["id_bucket", "piece"]).where(set_in)
         return sorted((r.event_date, r.id_bucket) for r in answers.select(*CELL).distinct().collect())
 
     def stored_ids(self, events: DataFrame) -> DataFrame | None:
