@@ -93,6 +93,27 @@ def test_suffix_dedup(spark, folder, salt, monkeypatch):
         brute.byte_repeats(documents(spark, folder))
 
 
+def test_suffix_dedup_of_planted_passages(spark, tmp_path):
+    """Passages of over 50 words in three documents each: from 400 bytes on they go, shorter ones stay."""
+    random.seed(9)
+
+    def words(n):
+        return " ".join("".join(random.choice("abcdefgh") for _ in range(random.randint(2, 5))) for _ in range(n))
+
+    docs, expected = {}, {}
+    for size in (0, 271, 394, 399, 400, 700):
+        passage = words(250)[:size]
+        assert size == 0 or len(passage.split()) > 50
+        for edges in ("AU", "BV", "CW"):  # other bytes on both sides in each document
+            before, after = words(80) + edges[0], edges[1] + words(80)
+            text = before + passage + after
+            out = size if size >= 400 else 0
+            docs[len(docs)] = text
+            expected[len(expected)] = (len(text), out, int(out > 0), brute.sha(before + after if out else text))
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert answers(spark, str(tmp_path), "op9_suffix_dedup", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
+
+
 def test_suffix_array_and_common_prefixes():
     import numpy as np
 
