@@ -6,12 +6,13 @@ import time
 from datetime import timedelta
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from traceworks import fixtures as fx
 from traceworks.plans import cost
-from traceworks.plans.ledger import session_summary, staged_events
+from traceworks.plans.ledger import SESSION_KEYS, session_summary, staged_events
 from traceworks.sources.ledger_store import BITS, ParquetLedger, _bit, _is_set, _words
 from traceworks.streaming import budget_stream, ledger_stream, session_state
 
@@ -180,6 +181,127 @@ def test_texts_beyond_the_first_are_kept_in_order():
     assert len(state.texts) == 100 - session_state.INLINE
 
 
+class Held:
+    """State of one shelf in memory."""
+
+    def __init__(self):
+        self.now, self.timers, self.maps = 0, set(), {}
+
+    def getValueState(self, name, schema):
+        kept = [None]
+        return SimpleNamespace(get=lambda: kept[0], update=lambda row: kept.__setitem__(0, row), clear=lambda: kept.__setitem__(0, None))
+
+    def getMapState(self, name, key, value):
+        entries = self.maps[name] = {}
+        return SimpleNamespace(containsKey=entries.__contains__, getValue=entries.get, updateValue=entries.__setitem__,
+                               removeKey=entries.pop, keys=lambda: iter(list(entries)))
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def shelf_of(state, idle_ms):
+    shelf = session_state.Shelf(timedelta(milliseconds=idle_ms))
+    shelf.init(state)
+
+    def add(at, *given):
+        state.now = at
+        sums = [[1 for _ in given] for _ in session_state.SUMS]
+        texts = [[f"0\x01{k:03}\x01id\x01x{k}" for k in range(n)] for _, _, n in given]
+        columns = [[0 for _ in given], *([v for _ in given] for v in ("t", None, "u\t\n\"é")), [s for s, _, _ in given], *sums,
+                   [None for _ in given], [None for _ in given], [ids for _, ids, _ in given], [["m"] for _ in given], [[None] for _ in given], texts]
+        packed = session_state.shelved(pa.table(columns, ["shelf", *SESSION_KEYS, *session_state.PART])).to_pylist()
+        assert len(packed) == 1
+        (out,) = shelf.handleInputRows((0,), [SimpleNamespace(**r) for r in packed], state)
+        (rows,) = session_state.unpacked([pa.record_batch([[out.rows]], ["rows"])])
+        return {r["session_id"]: r for r in rows.to_pylist()}
+
+    def wake(at):
+        state.now = at
+        for timer in [t for t in state.timers if t < at]:
+            assert list(shelf.handleExpiredTimer((0,), state, None)) == []
+            state.timers.discard(timer)
+
+    return add, wake
+
+
+def test_sessions_of_a_shelf_end_one_by_one():
+    state = Held()
+    add, wake = shelf_of(state, 10)
+    ids = [f"r{k}" for k in range(50)]
+    assert add(0, ("a", ids, 0), ("b", ["r"], 40))["a"]["total_requests"] == 50
+    got = add(5, ("b", ["r", "s"], 10))["b"]
+    assert (got["total_events"], got["total_requests"], got["boundary_violation_risks"].count("x")) == (2, 2, 50)
+    assert state.timers == {10} and len(state.maps["requests"]) == 50 - session_state.INLINE and len(state.maps["risks"]) == 2
+    wake(11)
+    assert state.timers == {15} and not state.maps["requests"] and len(state.maps["risks"]) == 2
+    assert add(12, ("a", ["r1"], 0))["a"]["total_events"] == 1
+    # An event in the first batch after its end still finds the session; the other one ends.
+    assert add(40, ("a", ["r2"], 0))["a"]["total_requests"] == 2
+    assert state.timers == {50} and not state.maps["risks"]
+    wake(51)
+    assert state.timers == set() and add(60, ("b", [None], 0))["b"]["total_events"] == 1
+
+
+def test_partial_results_are_added_in_pieces(monkeypatch):
+    monkeypatch.setattr(session_state, "AT_ONCE", 3)
+    add, _ = shelf_of(Held(), 10)
+    got = add(0, *[(s, [f"r{k}", f"r{k + 1}"], k) for k in range(60) for s in "ab"])
+    assert got["a"] == got["b"] | {"session_id": "a"}
+    assert (got["a"]["total_events"], got["a"]["total_requests"], got["a"]["models_used"]) == (60, 61, "m")
+    assert got["a"]["boundary_violation_risks"].count("x") == sum(range(60))
+
+
+def test_many_sessions_are_few_entries_of_the_state(spark, raw, tmp_path):
+    ledger, out, seen = (str(tmp_path / n) for n in ("ledger", "out", "seen"))
+    n = 3 * session_state.SHELVES
+    one = raw.where("user_id is not null and tenant_id is not null").orderBy("trace_id").limit(1).drop("trace_id", "session_id").collect()
+    rows = spark.createDataFrame(one, raw.drop("trace_id", "session_id").schema).crossJoin(
+        spark.range(n).select(F.concat(F.lit("t"), "id").alias("trace_id"), F.concat(F.lit("s"), "id").alias("session_id")))
+    ParquetLedger(spark, ledger).append(rows)
+    q = finished(ledger_stream.roll_up_sessions(spark, ledger, out, seen))
+    updated = sum(o["numRowsUpdated"] for p in q.recentProgress for o in p["stateOperators"])
+    assert 0 < updated <= session_state.SHELVES
+    got = ledger_stream.current_sessions(spark, out)
+    want = session_summary(staged_events(rows)).select(got.columns)
+    assert got.count() == n and got.exceptAll(want).count() == 0
+
+
+def test_long_sessions_over_restarts_and_after_their_end(spark, raw, tmp_path):
+    ledger, out, seen = (str(tmp_path / n) for n in ("ledger", "out", "seen"))
+    known = raw.where("user_id is not null and tenant_id is not null").orderBy("trace_id").limit(1).drop("ingest_seq").collect()
+    one = spark.createDataFrame(known, raw.drop("ingest_seq").schema)
+
+    def add(k, session, first, last):
+        at = F.concat(F.lit(f"{k}-"), F.col("id").cast("string"))
+        rows = one.drop("trace_id", "session_id", "workspace_id", "request_id", "boundary_violated", "risk_flags").crossJoin(
+            spark.range(first, last).select(
+                at.alias("trace_id"), F.lit(session).alias("session_id"), F.lit(None).cast("string").alias("workspace_id"),
+                F.concat(F.lit("r"), "id").alias("request_id"), F.lit(True).alias("boundary_violated"),
+                F.concat(F.lit("risk\t\n"), "id").alias("risk_flags")))
+        ParquetLedger(spark, ledger).append(rows)
+        finished(ledger_stream.roll_up_sessions(spark, ledger, out, seen, idle=timedelta(seconds=8)))
+        (got,) = [r for r in ledger_stream.current_sessions(spark, out).collect() if r.session_id == session]
+        want = session_summary(staged_events(spark.read.parquet(ledger).where(F.col("session_id") == session)))
+        return got, want
+
+    long = "a\t\n\"é"
+    add(0, long, 0, 50)
+    got, want = add(1, long, 40, 100)
+    assert got == want.select(*got.asDict()).first() and (got.total_requests, got.boundary_violations) == (100, 110)
+    time.sleep(9)
+    add(2, "b", 0, 1)
+    assert add(3, long, 0, 40)[0].total_requests == 40
+    got, _ = add(4, long, 40, 100)
+    assert (got.total_requests, got.total_events, got.boundary_violation_risks.count("risk")) == (100, 100, 100)
+
+
 def test_words_hold_the_bits_of_a_bitmap(spark, tmp_path):
     positions = [*range(0, 130, 3), 63, 64, BITS - 64, BITS - 1]
     bits = spark.createDataFrame([(p,) for p in positions], "p int").agg(F.bitmap_construct_agg("p").alias("bits"))
