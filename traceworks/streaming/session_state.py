@@ -39,7 +39,7 @@ BREAK = "\x01"
 #: Sessions share so many entries of the state, dealt by hash. Fixed for the life of a checkpoint.
 SHELVES = 4096
 #: Partial results of a shelf are added to its sessions once they hold so many rows, ids and texts.
-AT_ONCE = 200_000
+AT_ONCE = 50_000
 ARROW = pa.schema([(name, {"string": pa.string(), "long": pa.int64()}[kind])
                    for name, kind in (c.split() for c in STATE.split(", "))])
 SUMS = ["total_events", *TALLIES]
